@@ -24,9 +24,16 @@ def scan_feedback(feedback: DataFrame, tenant: str | None = None, job: str | Non
         df = df.where(F.col("tenantId") == tenant)
     if job is not None:
         df = df.where(F.col("feedbackId").startswith(f"{job}#"))
-    return df.select(
+        jobs = F.array(F.lit(job))
+    else:
+        # every prefix before a '#' names a job this row belongs to; nearly always there is one
+        marks = F.regexp_count("feedbackId", F.lit("#"))
+        jobs = F.when(
+            marks > 0, F.transform(F.sequence(F.lit(1), marks), lambda i: F.call_function("substring_index", F.col("feedbackId"), F.lit("#"), i))
+        )
+    return df.withColumn("jobId", F.explode(jobs)).select(
         "tenantId",
-        F.substring_index("feedbackId", "#", 1).alias("jobId"),
+        "jobId",
         "feedbackId",
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),

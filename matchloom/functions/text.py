@@ -29,7 +29,7 @@ def nonempty(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove white space (all of it, not only blanks) from both ends."""
-    return F.regexp_replace(col(c), rf"\A[{R.SPACE}]++|(?<![{R.SPACE}])[{R.SPACE}]++\z", "")
+    return F.trim(col(c), F.lit(R.SPACE_CHARS))
 
 
 def line_text(c: Column | str) -> Column:
@@ -61,34 +61,39 @@ def line_count(line_text_col: Column | str) -> Column:
 
 # --- section labelling ----------------------------------------------------
 
-def _heading_regex(kind: str, cues: list[str]) -> str:
-    alternatives = "|".join(cues)
-    lead = r"[^\n]*" if kind == "contains" else ""
-    return rf"(?im)^{lead}(?:{alternatives})[^\n]*\n"
+def _heading_groups(headings: list) -> str:
+    """One capturing group per rule, in rule order, over the start of a line."""
+    rules = [
+        (r"[^\n]*" if kind == "contains" else "") + f"({'|'.join(cues)})" for _, kind, cues in headings
+    ]
+    return "|".join(rules)
 
 
-def mark_sections(line_text_col: Column | str, headings: list, default: str) -> Column:
-    """Replace each heading line by a section mark; text before the first heading
-    belongs to ``default``.
+def mark_sections(line_text_col: Column | str, headings: list) -> Column:
+    """Replace each heading line by U+001E and the cue found in it.
 
-    The mark starts with U+001E, a line break, which therefore cannot occur inside a line.
-    Rules are applied in order, so an earlier rule wins on a line that fits several.
+    U+001E is a line break, so it cannot occur inside a line. The alternatives are tried in
+    order: an earlier rule wins on a line that fits several. One pass over the text.
     """
-    marked = F.concat(col(line_text_col), F.lit("\n"))
-    for name, kind, cues in headings:
-        marked = F.regexp_replace(marked, _heading_regex(kind, cues), f"\x1e{name}\n")
-    return F.concat(F.lit(f"\x1e{default}\n"), marked)
+    cue = "".join(f"${i + 1}" for i in range(len(headings)))
+    pattern = rf"(?im)^(?:{_heading_groups(headings)})[^\n]*\n"
+    return F.regexp_replace(F.concat(col(line_text_col), F.lit("\n")), pattern, f"\x1e{cue}\n")
 
 
-def section_text(marked: Column | str, name: str) -> Column:
-    """All lines of one section, each ended by a line feed."""
-    found = F.regexp_extract_all(col(marked), F.lit(rf"\x1e{name}\n([^\x1e]*)"), F.lit(1))
-    # a marked text without any line is the mark plus one line feed
-    return F.regexp_replace(F.array_join(found, ""), r"\A\n", "")
+def section_text(marked: Column | str, name: str, headings: list, default: str = "summary") -> Column:
+    """All lines of one section, each ended by a line feed. Text before the first heading
+    belongs to ``default``."""
+    cues = "|".join(c for n, _, cs in headings if n == name for c in cs)
+    starts = [rf"\x1e(?:{cues})\n"] if cues else []
+    if name == default:
+        starts.append(r"\A")
+    found = F.regexp_extract_all(col(marked), F.lit(rf"(?i)(?:{'|'.join(starts)})([^\x1e]*)"), F.lit(1))
+    # a text without lines is one line feed
+    return F.regexp_replace(F.array_join(found, ""), r"\A\n", "") if name == default else F.array_join(found, "")
 
 
-def section_lines(marked: Column | str, name: str) -> Column:
-    return ended_lines(section_text(marked, name))
+def section_lines(marked: Column | str, name: str, headings: list, default: str = "summary") -> Column:
+    return ended_lines(section_text(marked, name, headings, default))
 
 
 def ended_lines(c: Column | str) -> Column:

@@ -41,9 +41,9 @@ def parse_job_descriptions(
 ) -> DataFrame:
     """Add the canonical job description of ``text`` as struct column ``out``."""
     staged = df.withColumn("_lines", X.line_text(text)).withColumn(
-        "_marked", X.mark_sections("_lines", R.JD_HEADINGS, "summary")
+        "_marked", X.mark_sections("_lines", R.JD_HEADINGS)
     )
-    section_skills = X.section_lines("_marked", "skills")
+    section_skills = X.section_lines("_marked", "skills", R.JD_HEADINGS)
     role = X.nonempty(_meta(metadata, "role"))
     title = F.coalesce(
         role,
@@ -51,7 +51,7 @@ def parse_job_descriptions(
         _meta(metadata, "title"),
         F.lit(R.UNKNOWN_TITLE),
     )
-    summary = F.replace(X.strip(X.section_text("_marked", "summary")), F.lit("\n"), F.lit(" "))
+    summary = F.replace(X.strip(X.section_text("_marked", "summary", R.JD_HEADINGS)), F.lit("\n"), F.lit(" "))
     job = F.struct(
         F.struct(
             title.alias("title"),
@@ -60,8 +60,8 @@ def parse_job_descriptions(
             F.coalesce(_meta(metadata, "source"), F.lit(R.DEFAULT_SOURCE)).alias("source"),
         ).alias("meta"),
         F.substring(summary, 1, R.JD_SUMMARY_CHARS).alias("summary"),
-        X.section_lines("_marked", "responsibilities").alias("responsibilities"),
-        X.section_lines("_marked", "requirements").alias("requirements"),
+        X.section_lines("_marked", "responsibilities", R.JD_HEADINGS).alias("responsibilities"),
+        X.section_lines("_marked", "requirements", R.JD_HEADINGS).alias("requirements"),
         F.when(F.size("_skills") > 0, F.col("_skills"))
         .otherwise(X.skill_words("_lines"))
         .alias("skills"),
@@ -88,10 +88,10 @@ def label_resume_sections(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _label(df: DataFrame, text: str, headings: list) -> DataFrame:
     keep = [c for c in df.columns if c != text]
-    marked = df.withColumn("_marked", X.mark_sections(X.line_text(text), headings, "summary"))
+    marked = df.withColumn("_marked", X.mark_sections(X.line_text(text), headings))
     names = list(dict.fromkeys(["summary", *[h[0] for h in headings]]))
     sections = F.array(
-        *[F.struct(F.lit(n).alias("section"), X.section_lines("_marked", n).alias("lines")) for n in names]
+        *[F.struct(F.lit(n).alias("section"), X.section_lines("_marked", n, headings).alias("lines")) for n in names]
     )
     per_section = marked.select(*keep, F.inline(sections))
     return per_section.select(*keep, "section", F.posexplode("lines").alias("line_no", "line"))
@@ -102,30 +102,29 @@ def _label(df: DataFrame, text: str, headings: list) -> DataFrame:
 _MONTH = rf"[{R.WORD}]++[{R.BLANKS}]++\p{{Nd}}{{4}}"
 _DATES = rf"(?<![{R.WORD}])({_MONTH})[{R.BLANKS}]*+[–\-][{R.BLANKS}]*+(Present|{_MONTH})"
 _DATED_LINE = rf"(?ium)^(?![{R.BULLETS}])(?=[^\n]*{_DATES})"
-_HEADER_DATES = rf"(?iu){_DATES}"
 
 
-def experience_from_text(section: Column | str) -> list[Column]:
-    """Stages that turn the lines of the experience section into roles.
+def experience_segments(section: Column | str) -> Column:
+    """Lines of the experience section, cut into [lines before any role, role, role, ...].
 
-    Returns (pre-role lines, role segments) as columns over a text whose dated lines
-    are marked and whose bullet signs are cut.
+    Each role starts with its two dates, set off by U+001D; both U+001D and the mark U+001E are
+    line breaks and so cannot occur inside a line. Bullet signs are cut.
     """
-    section = X.col(section)
-    marked = F.regexp_replace(section, _DATED_LINE, "\x1e")
+    marked = F.regexp_replace(X.col(section), _DATED_LINE, "\x1e$1\x1d$2\x1d")
     # bullets before anything opened a role belong to nobody
     opened = F.regexp_replace(marked, rf"\A(?:[{R.BULLETS}][^\n]*\n)++", "")
     return F.split(F.regexp_replace(opened, rf"(?m)^[{R.BULLETS}][{R.BLANKS}]*+", ""), "\x1e")
 
 
 def _role(segment: Column) -> Column:
-    header = F.substring_index(segment, "\n", 1)
-    rest = F.substr(segment, F.length(header) + 2)
+    first = F.substring_index(segment, "\n", 1)
+    header = F.substring_index(first, "\x1d", -1)
+    rest = F.substr(segment, F.length(first) + 2)
     return F.struct(
         X.strip(F.substring_index(header, " at ", 1)).alias("title"),
         X.strip(F.substring_index(header, " at ", -1)).alias("company"),
-        F.regexp_extract(header, _HEADER_DATES, 1).alias("startDate"),
-        F.regexp_extract(header, _HEADER_DATES, 2).alias("endDate"),
+        F.substring_index(first, "\x1d", 1).alias("startDate"),
+        F.substring_index(F.substring_index(first, "\x1d", 2), "\x1d", -1).alias("endDate"),
         X.ended_lines(rest).alias("achievements"),
     )
 
@@ -164,21 +163,21 @@ def parse_resumes(
 ) -> DataFrame:
     """Add the canonical resume of ``text`` as struct column ``out``."""
     staged = (
-        df.withColumn("_marked", X.mark_sections(X.line_text(text), R.RESUME_HEADINGS, "summary"))
-        .withColumn("_segments", experience_from_text(X.section_text("_marked", "experience")))
-        .withColumn("_projects", X.section_text("_marked", "projects"))
+        df.withColumn("_marked", X.mark_sections(X.line_text(text), R.RESUME_HEADINGS))
+        .withColumn("_segments", experience_segments(X.section_text("_marked", "experience", R.RESUME_HEADINGS)))
+        .withColumn("_projects", X.section_text("_marked", "projects", R.RESUME_HEADINGS))
     )
     meta = F.struct(
         *[_meta(metadata, k).alias(k) for k in ("sourceKey", "role", "industry", "outcome")],
         F.coalesce(_meta(metadata, "updatedAt"), F.date_format(F.current_date(), "yyyy-MM-dd")).alias("updatedAt"),
     )
-    summary = F.replace(X.strip(X.section_text("_marked", "summary")), F.lit("\n"), F.lit(" "))
+    summary = F.replace(X.strip(X.section_text("_marked", "summary", R.RESUME_HEADINGS)), F.lit("\n"), F.lit(" "))
     resume = F.struct(
         meta.alias("meta"),
         summary.alias("summary"),
         _roles(F.col("_segments")).alias("experience"),
-        X.section_lines("_marked", "education").alias("education"),
-        X.section_lines("_marked", "skills").alias("skills"),
+        X.section_lines("_marked", "education", R.RESUME_HEADINGS).alias("education"),
+        X.section_lines("_marked", "skills", R.RESUME_HEADINGS).alias("skills"),
         parse_projects("_projects").alias("projects"),
         F.col(text).alias("rawText"),
     )

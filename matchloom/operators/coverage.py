@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchloom import rules as R
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows
 from matchloom.operators.matching import contained
 from matchloom.operators.parsing import all_bullets
 
@@ -142,7 +143,7 @@ def token_coverage(
     frequent token nor a large key sends its repeats through the shuffle.
     """
     keys = list(keys)
-    have = texts.select(*keys, F.explode(X.tokens(text)).alias("token")).distinct().withColumn("hit", F.lit(1))
+    have = explode_rows(texts, keys, X.tokens(text), "token").distinct().withColumn("hit", F.lit(1))
     want = targets.select(*keys, F.col(target_id).alias("target_id"), F.explode_outer(X.tokens(target)).alias("token"))
     return (
         want.join(have, [*keys, "token"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as X
+from matchloom.functions.rows import inline_rows, settle
 from matchloom import schemas as S
 
 
@@ -101,7 +102,7 @@ def resume_items(df: DataFrame, keys: Sequence[str], resume: str = "resume") ->
         F.struct(F.lit("summary").alias("section"), F.lit("0").alias("slot"), F.coalesce(r["summary"], F.lit("")).alias("detail"))
     )
     items = F.concat(summary, listed("skills", r["skills"]), listed("education", r["education"]), bullets)
-    return df.select(*keys, F.inline(items))
+    return inline_rows(settle(df, **{resume: r}), keys, items)
 
 
 def resume_diff(base: DataFrame, tailored: DataFrame, keys: Sequence[str], resume: str = "resume") -> DataFrame:

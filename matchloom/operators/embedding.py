@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows
 from matchloom.operators.parsing import all_bullets
 from matchloom.operators.skills import validated_source
 from matchloom import rules as R
@@ -49,7 +50,7 @@ def build_embedding_docs(jobs: DataFrame, validated: DataFrame | None = None, sk
         make_chunk("job.summary", F.concat("job.requirements", "job.responsibilities")).alias("text"),
         _metadata("job-description", title=F.coalesce("job.meta.title", F.lit("unknown"))).alias("metadata"),
     )
-    roles = jobs.select(*KEYS, F.posexplode("resume.experience").alias("n", "role"))
+    roles = explode_rows(jobs, KEYS, "resume.experience", "role", "n")
     base = roles.select(
         *KEYS,
         _id(F.lit("base"), F.col("n").cast("string")).alias("id"),
@@ -97,7 +98,7 @@ def build_queries(jobs: DataFrame) -> DataFrame:
         F.coalesce(F.array_join("job.requirements", "\n"), empty),
         F.coalesce(F.array_join(all_bullets("resume"), "\n"), empty),
     )
-    return jobs.select(*KEYS, F.posexplode(texts).alias("query_no", "text"))
+    return explode_rows(jobs, KEYS, texts, "text", "query_no")
 
 
 EMBEDDING_DIMENSIONS = 64

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom import rules as R
 from matchloom.functions import text as X
+from matchloom.functions.rows import settle
 from matchloom.operators import coverage as C
 from matchloom.operators.parsing import all_bullets
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows, settle
 
 
 def _meta(metadata: str | None, key: str) -> Column:
@@ -24,7 +25,7 @@ def _meta(metadata: str | None, key: str) -> Column:
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per stripped, non-blank line, numbered from 0 in text order."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(X.lines(text)).alias("line_no", "line"))
+    return explode_rows(df, keep, X.lines(text), "line", "line_no")
 
 
 def first_regex_match(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -39,10 +40,13 @@ def first_regex_match(c: Column | str, pattern: str, group: int = 1) -> Column:
 def parse_job_descriptions(
     df: DataFrame, text: str = "text", metadata: str | None = "metadata", out: str = "job"
 ) -> DataFrame:
-    """Add the canonical job description of ``text`` as struct column ``out``."""
-    staged = df.withColumn("_lines", X.line_text(text)).withColumn(
-        "_marked", X.mark_sections("_lines", R.JD_HEADINGS)
-    )
+    """Add the canonical job description of ``text`` as struct column ``out``.
+
+    The struct is built from plain fields, so a query that reads some of them does not pay for the
+    others. A null text gives null fields.
+    """
+    staged = settle(df, _lines=X.line_text(text))
+    staged = settle(staged, _marked=X.mark_sections("_lines", R.JD_HEADINGS))
     section_skills = X.section_lines("_marked", "skills", R.JD_HEADINGS)
     role = X.nonempty(_meta(metadata, "role"))
     title = F.coalesce(
@@ -69,11 +73,7 @@ def parse_job_descriptions(
         F.array().cast("array<string>").alias("keywords"),
         F.col(text).alias("rawText"),
     )
-    return (
-        staged.withColumn("_skills", section_skills)
-        .withColumn(out, F.when(F.col(text).isNotNull(), job).cast(S.JOB_DESCRIPTION))
-        .drop("_lines", "_marked", "_skills")
-    )
+    return staged.withColumn("_skills", section_skills).withColumn(out, job).drop("_lines", "_marked", "_skills")
 
 
 def label_jd_sections(df: DataFrame, text: str = "text") -> DataFrame:
@@ -88,13 +88,13 @@ def label_resume_sections(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _label(df: DataFrame, text: str, headings: list) -> DataFrame:
     keep = [c for c in df.columns if c != text]
-    marked = df.withColumn("_marked", X.mark_sections(X.line_text(text), headings))
+    marked = settle(df, _marked=X.mark_sections(X.line_text(text), headings))
     names = list(dict.fromkeys(["summary", *[h[0] for h in headings]]))
     sections = F.array(
         *[F.struct(F.lit(n).alias("section"), X.section_lines("_marked", n, headings).alias("lines")) for n in names]
     )
-    per_section = marked.select(*keep, F.inline(sections))
-    return per_section.select(*keep, "section", F.posexplode("lines").alias("line_no", "line"))
+    per_section = explode_rows(marked, keep, sections, "_s")
+    return explode_rows(per_section, [*keep, F.col("_s.section").alias("section")], "_s.lines", "line", "line_no")
 
 
 # --- experience -----------------------------------------------------------
@@ -163,7 +163,7 @@ def parse_resumes(
 ) -> DataFrame:
     """Add the canonical resume of ``text`` as struct column ``out``."""
     staged = (
-        df.withColumn("_marked", X.mark_sections(X.line_text(text), R.RESUME_HEADINGS))
+        settle(df, _marked=X.mark_sections(X.line_text(text), R.RESUME_HEADINGS))
         .withColumn("_segments", experience_segments(X.section_text("_marked", "experience", R.RESUME_HEADINGS)))
         .withColumn("_projects", X.section_text("_marked", "projects", R.RESUME_HEADINGS))
     )
@@ -181,23 +181,21 @@ def parse_resumes(
         parse_projects("_projects").alias("projects"),
         F.col(text).alias("rawText"),
     )
-    return staged.withColumn(out, F.when(F.col(text).isNotNull(), resume).cast(S.RESUME)).drop(
-        "_marked", "_segments", "_projects"
-    )
+    return staged.withColumn(out, resume).drop("_marked", "_segments", "_projects")
 
 
 def resume_roles(df: DataFrame, resume: str = "resume") -> DataFrame:
     """Long form: one row per role."""
     keep = [c for c in df.columns if c != resume]
-    roles = df.select(*keep, F.posexplode(f"{resume}.experience").alias("role_no", "role"))
+    roles = explode_rows(df, keep, f"{resume}.experience", "role", "role_no")
     return roles.select(*keep, "role_no", "role.*")
 
 
 def resume_bullets(df: DataFrame, resume: str = "resume") -> DataFrame:
     """Long form: one row per achievement."""
     keep = [c for c in df.columns if c != resume]
-    roles = df.select(*keep, F.posexplode(f"{resume}.experience.achievements").alias("role_no", "_bullets"))
-    return roles.select(*keep, "role_no", F.posexplode("_bullets").alias("bullet_no", "text"))
+    roles = explode_rows(df, keep, f"{resume}.experience.achievements", "_bullets", "role_no")
+    return explode_rows(roles, [*keep, "role_no"], "_bullets", "text", "bullet_no")
 
 
 def all_bullets(resume: Column | str) -> Column:

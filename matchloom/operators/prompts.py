@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import inline_rows, settle
 from matchloom.session import materialise
 
 KEYS = ("tenantId", "jobId")
@@ -152,8 +153,8 @@ def parse_model_json(df: DataFrame, schema: str, raw: str = "raw", out: str = "d
     if not body.startswith("struct<"):
         raise ValueError("schema must be a struct")
     with_corrupt = body[:-1] + ",_corrupt:string>"
-    parsed = df.withColumn(
-        "_parsed", F.from_json(raw, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = settle(
+        df, _parsed=F.from_json(raw, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     )
     bad = F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull()
     good = parsed.where(~bad).withColumn(out, F.col("_parsed").dropFields("_corrupt")).drop("_parsed")
@@ -178,7 +179,7 @@ def prompt_metadata(df: DataFrame, model: str, keys: Sequence[str] = KEYS) -> Da
     raws = F.array(
         *[F.struct(F.lit(s).alias("stage"), F.col(f"out_{s}").alias("rawResponse")) for s in R.PROMPT_STAGES]
     )
-    return df.select(*keys, F.inline(raws)).select(
+    return inline_rows(df, keys, raws).select(
         *keys,
         "stage",
         F.lit(model).alias("model"),

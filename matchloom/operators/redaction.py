@@ -66,7 +66,7 @@ def redact_with_entities(
     collected next to it, so the list is bounded by the length of that text.
     """
     spans = entities.groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col("begin").cast("int"), F.col("end").cast("int"))).alias("_spans")
+        F.collect_list(F.struct(F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"))).alias("_spans")
     )
     return (
         df.join(spans, keys, "left").withColumn(out or text, X.redact_spans(text, "_spans")).drop("_spans")

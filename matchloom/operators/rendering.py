@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows, settle
 
 _LINES = "array<struct<section:string,kind:string,text:string>>"
 _STRINGS = "array<string>"
@@ -128,8 +129,9 @@ def _change_lines(change_log: Column) -> Column:
     )
 
 
-def _profile(df: DataFrame, profile: str | None) -> DataFrame:
+def _profile(df: DataFrame, profile: str | None, resume: str) -> DataFrame:
     col = F.lit(None).cast(S.STYLE_PROFILE) if profile is None else F.col(profile).cast(S.STYLE_PROFILE)
+    df = settle(df, **{resume: F.col(resume)})
     return (
         df.withColumn("_p", col)
         .withColumn("_case", F.coalesce(X.nonempty(F.col("_p.headingCase")), F.lit("title")))
@@ -151,7 +153,7 @@ def render_text_lines(
     profile: str | None = "profile",
 ) -> DataFrame:
     """Plain text form: (keys, line_no, section, kind, text); bullets are indented by two blanks."""
-    staged = _profile(df, profile)
+    staged = _profile(df, profile, resume)
     case = F.col("_case")
 
     def bullet(t):
@@ -169,7 +171,7 @@ def render_text_lines(
     ).otherwise(F.array().cast(_LINES))
     body = _in_order(_sections(F.col(resume), case, bullet, block, keep_empty_projects=True))
     laid_out = staged.withColumn("_all", F.concat(header, body, changes))
-    return laid_out.select(*keys, F.posexplode("_all").alias("line_no", "_l")).select(*keys, "line_no", "_l.*")
+    return explode_rows(laid_out, keys, "_all", "_l", "line_no").select(*keys, "line_no", "_l.*")
 
 
 def render_paragraphs(
@@ -180,7 +182,7 @@ def render_paragraphs(
     profile: str | None = "profile",
 ) -> DataFrame:
     """Paragraph form: (keys, para_no, section, kind, text, bold, font, size, spacing_after), text escaped."""
-    staged = _profile(df, profile)
+    staged = _profile(df, profile, resume)
     case = F.col("_case")
 
     def bullet(t):
@@ -206,13 +208,13 @@ def render_paragraphs(
         spacing = F.when(density == name, value).otherwise(spacing)
     base_size = F.coalesce(F.col("_p.fontSize"), F.lit(R.DEFAULT_FONT_SIZE))
     laid_out = staged.withColumn("_all", F.concat(header, body, changes))
-    long = laid_out.select(
+    keep = [
         *keys,
         F.coalesce("_p.fontFamily", F.lit(R.DEFAULT_FONT)).alias("font"),
         base_size.alias("_size"),
         spacing.alias("spacing_after"),
-        F.posexplode("_all").alias("para_no", "_l"),
-    )
+    ]
+    long = explode_rows(laid_out, keep, "_all", "_l", "para_no")
     extra = F.when(F.col("_l.kind") == "header", R.HEADER_SIZE_DELTA).otherwise(0)
     return long.select(
         *keys,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom import rules as R
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows, inline_rows
 
 JOB_KEYS = ("tenantId", "jobId")
 
@@ -24,13 +25,12 @@ def skill_lists(jobs: DataFrame, validated: DataFrame | None = None, keys: Seque
     ``jobs`` holds ``job`` and ``resume``; ``validated`` holds ``idx`` and ``resume``. The source
     of a validated resume is its key, or ``validated-<idx>`` when it has none.
     """
-    own = jobs.select(
-        *keys,
-        F.inline(
-            F.array(
-                F.struct(F.lit("job").alias("source"), F.col("job.skills").alias("skills")),
-                F.struct(F.lit("base").alias("source"), F.col("resume.skills").alias("skills")),
-            )
+    own = inline_rows(
+        jobs,
+        keys,
+        F.array(
+            F.struct(F.lit("job").alias("source"), F.col("job.skills").alias("skills")),
+            F.struct(F.lit("base").alias("source"), F.col("resume.skills").alias("skills")),
         ),
     )
     if validated is None:
@@ -51,7 +51,7 @@ def aggregate_skills(lists: DataFrame, keys: Sequence[str] = JOB_KEYS) -> DataFr
     that fills a third of all rows reaches the second step as one row per source.
     """
     per_source = (
-        lists.select(*keys, "source", F.explode("skills").alias("_raw"))
+        explode_rows(lists, [*keys, "source"], "skills", "_raw")
         .withColumn("skill", X.strip(F.lower("_raw")))
         .where(F.col("skill") != "")
         .groupBy(*keys, "skill", "source")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows, settle
 from matchloom.operators.matching import contained
 from matchloom.operators.parsing import all_bullets
 
@@ -175,7 +176,7 @@ def validate_resumes(
     coverage: str | None = None,
 ) -> DataFrame:
     """Add ``issues`` (in rule order), ``status`` and the metrics to each row."""
-    staged = df.withColumn("_json", F.to_json(resume))
+    staged = settle(df, **{resume: F.col(resume), "_json": F.to_json(resume)})
     parts = [resume_issues(resume, "_json")]
     if change_log:
         parts.append(change_log_issues(change_log))
@@ -189,7 +190,7 @@ def validate_resumes(
         (F.col(coverage) if coverage else F.lit(None).cast("string")).alias("jdCoverage"),
     )
     return (
-        staged.withColumn("issues", F.concat(*parts))
+        settle(staged, issues=F.concat(*parts))
         .withColumn("status", validation_status("issues"))
         .withColumn("metrics", metrics)
         .drop("_json")
@@ -202,7 +203,7 @@ def validation_status(issues: Column | str) -> Column:
 
 def explode_issues(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long form: (keys, ord, code, message)."""
-    return validated.select(*keys, F.posexplode("issues").alias("ord", "issue")).select(*keys, "ord", "issue.*")
+    return explode_rows(validated, keys, "issues", "issue", "ord").select(*keys, "ord", "issue.*")
 
 
 def gate(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

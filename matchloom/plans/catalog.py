@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import explode_rows, inline_rows
 from matchloom.operators import coverage as C
 from matchloom.operators import delta, embedding, evaluation, matching, parsing, prompts, redaction, rendering
 from matchloom.operators import retrieval, skills, style, validation
@@ -85,7 +86,7 @@ def resume_summary(spark, sf):
 
 @query
 def projects_fold(spark, sf):
-    return parsed_resumes(spark, sf).select(*KEYS, F.inline("resume.projects"))
+    return inline_rows(parsed_resumes(spark, sf), KEYS, "resume.projects")
 
 
 @query
@@ -108,7 +109,7 @@ def jd_canonical(spark, sf):
 @query
 def derive_skills(spark, sf):
     d = skills.derive_skills(_documents(spark, sf).select("doc_id", "text"))
-    return d.select("doc_id", F.explode("skills").alias("skill"))
+    return explode_rows(d, ["doc_id"], "skills", "skill")
 
 
 # --- style ----------------------------------------------------------------
@@ -164,7 +165,7 @@ def span_redact(spark, sf):
         F.struct((n - 5).alias("begin"), n.alias("end")),
         F.struct(F.lit(0).alias("begin"), F.lit(5).alias("end")),
     )
-    entities = docs.where(n >= 10).select("doc_id", F.inline(spans))
+    entities = inline_rows(docs.where(n >= 10), ["doc_id"], spans)
     return redaction.redact_with_entities(docs, entities, ["doc_id"])
 
 
@@ -172,13 +173,13 @@ def span_redact(spark, sf):
 
 @query
 def tokens(spark, sf):
-    return _documents(spark, sf).select("doc_id", F.explode(X.tokens("text")).alias("token"))
+    return explode_rows(_documents(spark, sf), ["doc_id"], X.tokens("text"), "token")
 
 
 @query
 def token_norm(spark, sf):
     texts = table(spark, sf, "conversations").select("text").unionByName(table(spark, sf, "benchmark").select("text"))
-    return texts.select(F.explode(X.tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    return explode_rows(texts, [], X.tokens("text"), "token").groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
 
 
 @query
@@ -345,7 +346,7 @@ def missing_targets(spark, sf):
 def keyword_coverage(spark, sf):
     asked, answered = _turns(spark, sf)
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"[^{R.SPACE}]+"), F.lit(0)))
-    keywords = asked.select("conv_id", F.explode(words).alias("keyword")).distinct().withColumn("text", F.col("keyword"))
+    keywords = explode_rows(asked, ["conv_id"], words, "keyword").distinct().withColumn("text", F.col("keyword"))
     return C.coverage_scores(C.token_coverage(keywords, answered, ["conv_id"], target_id="keyword"), ["conv_id"])
 
 

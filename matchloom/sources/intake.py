@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import inline_rows
 
 
 def _column(df: DataFrame, name: str, ddl: str) -> Column:
@@ -155,9 +156,8 @@ def request_documents(requests: DataFrame) -> DataFrame:
     validated = F.transform(
         "validatedResumes", lambda p, i: F.struct(F.lit("validated").alias("role"), i.alias("idx"), p.alias("pointer"))
     )
-    return requests.select("tenantId", "jobId", F.inline(F.concat(single, validated))).where(
-        F.col("pointer").isNotNull()
-    )
+    rows = inline_rows(requests, ["tenantId", "jobId"], F.concat(single, validated))
+    return rows.where(F.col("pointer").isNotNull())
 
 
 def resolve_documents(pointers: DataFrame, objects: DataFrame, pointer: str = "pointer") -> tuple[DataFrame, DataFrame]:

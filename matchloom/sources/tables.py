@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom import rules as R
+from matchloom.functions.rows import explode_rows
 
 STATUS_KEYS = ("tenantId", "jobId", "entityType")
 VECTOR_KEYS = ("tenantId", "id")
@@ -149,7 +150,7 @@ def manifest_keys(manifest: DataFrame) -> DataFrame:
     """Long form: one row per stored object (the style source is the caller's own file)."""
     names = ("docxKey", "pdfKey", "changeLogKey", "coverLetterKey", "styleProfileKey")
     keys = F.array_compact(F.array(*[F.col(f"artifacts.{n}") for n in names]))
-    return manifest.select("tenantId", "jobId", F.explode(keys).alias("key"), F.col("artifacts.expiresAt").alias("expiresAt"))
+    return explode_rows(manifest, ["tenantId", "jobId", F.col("artifacts.expiresAt").alias("expiresAt")], keys, "key")
 
 
 def list_artifacts(objects: DataFrame, tenant: str, job: str | None = None) -> DataFrame:

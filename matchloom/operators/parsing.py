@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
-from matchloom.functions.rows import explode_rows, settle
+from matchloom.functions.rows import explode_rows, inline_rows, settle
 
 
 def _meta(metadata: str | None, key: str) -> Column:
@@ -86,6 +86,23 @@ def label_resume_sections(df: DataFrame, text: str = "text") -> DataFrame:
     return _label(df, text, R.RESUME_HEADINGS)
 
 
+def section_sizes(df: DataFrame, text: str = "text", headings: list = R.RESUME_HEADINGS) -> DataFrame:
+    """Number of lines per section that has any, counted inside each row (no shuffle)."""
+    keep = [c for c in df.columns if c != text]
+    marked = settle(df, _marked=X.mark_sections(X.line_text(text), headings))
+    names = list(dict.fromkeys(["summary", *[h[0] for h in headings]]))
+    counts = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("section"),
+                F.regexp_count(X.section_text("_marked", n, headings), F.lit("\n")).cast("long").alias("lines"),
+            )
+            for n in names
+        ]
+    )
+    return inline_rows(marked, keep, counts).where(F.col("lines") > 0)
+
+
 def _label(df: DataFrame, text: str, headings: list) -> DataFrame:
     keep = [c for c in df.columns if c != text]
     marked = settle(df, _marked=X.mark_sections(X.line_text(text), headings))

@@ -23,7 +23,7 @@ from matchloom.plans.corpus import (
     spread,
     table,
 )
-from matchloom.session import shared_dir
+from matchloom.session import materialise, shared_dir
 from matchloom.sources import intake, tables
 from matchloom.streaming import jobs as streams
 
@@ -67,8 +67,7 @@ def resume_bullets(spark, sf):
 @query
 def resume_sections(spark, sf):
     """Lines per section. Counted inside each document's row, so nothing is shuffled."""
-    long = parsing.label_resume_sections(resume_corpus(spark, sf).select(*KEYS, "text"))
-    return long.groupBy(*KEYS, "section").agg(F.count(F.lit(1)).alias("lines"))
+    return parsing.section_sizes(resume_corpus(spark, sf).select(*KEYS, "text"))
 
 
 @query
@@ -457,10 +456,12 @@ def gate(spark, sf):
 # --- embedding documents, queries, prompts --------------------------------
 
 def _embedding_docs(spark, sf):
-    j = jobs(spark, sf)
+    # six reads of the parsed documents follow, so they are parsed once and written
+    resumes = materialise(parsed_resumes(spark, sf), "resumes")
+    j = materialise(resumes.join(parsed_jds(spark, sf).withColumnRenamed("pk", "jd_key"), "jd_key"), "jobs")
     # the resume of the order before serves as the one validated resume
-    validated = parsed_resumes(spark, sf).select((F.col("k") + 1).alias("k"), "resume").join(
-        resume_corpus(spark, sf).select("k", *KEYS), "k"
+    validated = resumes.select((F.col("k") + 1).alias("k"), "resume").join(
+        resumes.select("k", *KEYS), "k"
     ).select(*KEYS, F.lit(0).alias("idx"), "resume")
     counted = skills.rank_skills(skills.aggregate_skills(skills.skill_lists(j, validated)))
     return embedding.build_embedding_docs(j, validated, counted)

@@ -489,7 +489,7 @@ i AS (
   UNION ALL SELECT k, 50, 0, 0, 'CHANGE_LOG_FORMAT', 'Change log entry 0 missing type/detail' FROM b WHERE k % 19 = 0
   UNION ALL SELECT k, 50, 0, 1, 'CHANGE_LOG_RATIONALE', 'Change log entry 0 missing rationale' FROM b WHERE k % 23 = 0
   UNION ALL SELECT k, 60, 0, 0, 'COVER_LENGTH', 'Cover letter exceeds 4000 characters' FROM b WHERE k % 29 = 0
-  UNION ALL SELECT k, 61, 0, 0, 'COVER_TONE', 'Unsupported tone ''rude''' FROM b WHERE k % 31 = 0 AND k % 2 = 1
+  UNION ALL SELECT k, 61, 0, 0, 'COVER_TONE', 'Unsupported tone ''rude''' FROM b WHERE k % 31 = 0 AND (k % 2 = 1 OR k % 29 = 0)
   UNION ALL SELECT k, 70, 0, 0, 'BANNED_CLAIM', 'Banned keyword present: Freelance' FROM b WHERE k % 8 = 2)
 """
 
@@ -691,10 +691,10 @@ ORACLES["stream_upsert"] = ORACLES["latest_status"]
 
 ORACLES["stuck_jobs"] = """
 WITH s AS (
-  SELECT user_id % 3 AS t, event_id // 3 AS job, epoch_us(ts) // 1000000 AS at, event_type FROM events)
-SELECT 't' || t AS "tenantId", 'j' || job AS "jobId", max(at) AS "updatedAt" FROM s o WHERE event_type <> 'purchase'
+  SELECT user_id % 3 AS t, event_id // 3 AS job, epoch_us(ts) // 1000000 AS sec, event_type FROM events)
+SELECT 't' || t AS "tenantId", 'j' || job AS "jobId", max(sec) AS "updatedAt" FROM s o WHERE event_type <> 'purchase'
 AND NOT EXISTS (SELECT 1 FROM s d WHERE d.t = o.t AND d.job = o.job AND d.event_type = 'purchase')
-GROUP BY ALL HAVING max(at) < (SELECT max(epoch_us(ts) // 1000000) FROM events) - 900
+GROUP BY ALL HAVING max(sec) < (SELECT max(epoch_us(ts) // 1000000) FROM events) - 900
 """
 
 ORACLES["expired_artifacts"] = """

@@ -59,7 +59,7 @@ def upload_metadata(documents: DataFrame, created_at: Column | None = None) -> D
         F.concat_ws("#", "tenantId", "key").alias("tenantJobId"),
         F.lit("UPLOAD").alias("entityType"),
         F.to_json(merged).alias("metadata"),
-        F.coalesce(created_at, F.unix_timestamp()).alias("createdAt"),
+        (F.unix_timestamp() if created_at is None else created_at).alias("createdAt"),
     )
 
 

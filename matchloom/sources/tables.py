@@ -52,7 +52,7 @@ def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], or
 
 def upsert_vectors(df: DataFrame, path: str, version: Column | None = None) -> None:
     """Insert or replace vectors by document id (see :func:`vectors`)."""
-    stamped = df.withColumn("version", F.coalesce(version, F.unix_micros(F.current_timestamp())))
+    stamped = df.withColumn("version", F.unix_micros(F.current_timestamp()) if version is None else version)
     append_changes(stamped, path)
 
 
@@ -69,7 +69,7 @@ def status_rows(jobs: DataFrame, status: str = "RUNNING", at: Column | None = No
         "jobId",
         F.lit("STATUS").alias("entityType"),
         F.lit(status).alias("status"),
-        F.coalesce(at, F.unix_timestamp()).alias("updatedAt"),
+        (F.unix_timestamp() if at is None else at).alias("updatedAt"),
         F.lit(None).cast("string").alias("artifacts"),
     )
 
@@ -81,7 +81,7 @@ def result_rows(manifest: DataFrame, at: Column | None = None) -> DataFrame:
         "jobId",
         F.lit("RESULT").alias("entityType"),
         F.lit("COMPLETED").alias("status"),
-        F.coalesce(at, F.unix_timestamp()).alias("updatedAt"),
+        (F.unix_timestamp() if at is None else at).alias("updatedAt"),
         F.to_json("artifacts", {"ignoreNullFields": "false"}).alias("artifacts"),
     )
 

@@ -15,6 +15,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+LAST = {"spark": 0.0, "sql": 0.0}
+
+
 def canonical(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
 
@@ -38,15 +41,20 @@ def connect(sf_dir):
 
 def compare(spark, con, name, query, sql, sf_dir):
     """None when equal, else a short description of the difference."""
+    start = time.time()
     df = query(spark, sf_dir)
-    got = canonical(df.collect(), df.columns)
+    rows = df.collect()
+    LAST["spark"] = time.time() - start
+    got = canonical(rows, df.columns)
     if sql is None:
         return None if got else "no rows"
+    start = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     want = canonical(cur.fetchall(), names)
+    LAST["sql"] = time.time() - start
     if got == want:
         return None
     a, b = set(got), set(want)
@@ -66,14 +74,13 @@ def main(argv):
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = []
     for name in argv or queries:
-        start = time.time()
         try:
             problem = compare(spark, con, name, queries[name], sql.get(name), sf_dir)
         except Exception as exc:
             problem = f"{type(exc).__name__}: {str(exc)[:600]}"
             if os.environ.get("TRACE"):
                 traceback.print_exc()
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {'' if problem is None else problem}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} spark {LAST['spark']:.1f}s sql {LAST['sql']:.1f}s {'' if problem is None else problem}", flush=True)
         if problem:
             bad.append(name)
     print(f"{len(bad)} of {len(argv or queries)} differ: {bad}")

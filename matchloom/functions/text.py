@@ -46,8 +46,7 @@ def line_text(c: Column | str) -> Column:
 
 def to_lines(line_text_col: Column | str) -> Column:
     """Array of lines of a text made by :func:`line_text` (empty array if none)."""
-    c = col(line_text_col)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "\n"))
+    return F.array_remove(F.split(col(line_text_col), "\n"), "")
 
 
 def lines(c: Column | str) -> Column:
@@ -55,8 +54,7 @@ def lines(c: Column | str) -> Column:
 
 
 def line_count(line_text_col: Column | str) -> Column:
-    c = col(line_text_col)
-    return F.when(c == "", F.lit(0)).otherwise(F.regexp_count(c, F.lit("\n")) + 1).cast("int")
+    return F.regexp_count(col(line_text_col), F.lit(r"[^\n]+"))
 
 
 # --- section labelling ----------------------------------------------------
@@ -98,10 +96,7 @@ def section_lines(marked: Column | str, name: str, headings: list, default: str
 
 def ended_lines(c: Column | str) -> Column:
     """Array of lines of a text in which every line ends with a line feed."""
-    c = col(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(c, r"\n\z", ""), "\n")
-    )
+    return F.regexp_extract_all(col(c), F.lit(r"([^\n]*)\n"), F.lit(1))
 
 
 # --- words and tokens -----------------------------------------------------
@@ -112,14 +107,31 @@ def skill_words(c: Column | str) -> Column:
     return F.sort_array(F.array_distinct(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0))))
 
 
-def normalise_tokens_text(c: Column | str) -> Column:
-    """Lower case, punctuation to blanks, one plural/tense ending cut from each token."""
-    plain = F.regexp_replace(F.lower(col(c)), r"\p{Punct}", " ")
-    s = _NOT_SPACE
-    endings = rf"(?:(?<={s}{{2}})ing|(?<={s}{{2}})ed|(?<={s}{{3}})es|(?<={s}{{3}})s)(?!{s})"
+# Joins several texts into one for a single pass; a noncharacter, so no text holds it.
+JOINT = "\uffff"
+
+
+def joined(texts: Column) -> Column:
+    return F.array_join(texts, JOINT)
+
+
+def token_text(c: Column | str) -> Column:
+    """Normalised tokens of a text, one blank between them (and around them).
+
+    Lower case, punctuation and white space to single blanks, then one plural or tense ending
+    cut per token. The suffix letters are tested before the look-behind that checks the length.
+    """
+    plain = F.regexp_replace(F.lower(col(c)), rf"[\p{{Punct}}{R.SPACE}]++", " ")
+    t = f"[^ {JOINT}]"
+    endings = rf"(?:ing(?<={t}{{5}})|ed(?<={t}{{4}})|es(?<={t}{{5}})|s(?<={t}{{4}}))(?!{t})"
     return F.regexp_replace(plain, endings, "")
 
 
+def split_tokens(token_text_col: Column) -> Column:
+    """Array of tokens of a :func:`token_text` (repeats kept)."""
+    return F.array_remove(F.split(token_text_col, " "), "")
+
+
 def normalise_token(c: Column | str) -> Column:
     """The ending rules for one token: ``ing`` (length > 4), ``ed`` (> 3), ``es`` (> 4), ``s`` (> 3)."""
     c = col(c)
@@ -135,21 +147,31 @@ def normalise_token(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Distinct normalised tokens of a text; empty array for null or blank text."""
-    text = normalise_tokens_text(F.coalesce(col(c), F.lit("")))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{_NOT_SPACE}+"), F.lit(0)))
+    return F.array_distinct(split_tokens(token_text(F.coalesce(col(c), F.lit("")))))
 
 
 def word_count(c: Column | str) -> Column:
     return F.regexp_count(col(c), F.lit(f"{_NOT_SPACE}+"))
 
 
+def word_counts(texts: Column) -> Column:
+    """Word count of each text of an array; white space is folded in one pass over all of them."""
+    folded = F.split(F.regexp_replace(joined(texts), rf"[{R.SPACE}]++", " "), JOINT)
+
+    def count(t):
+        return F.size(F.array_remove(F.split(t, " "), ""))
+
+    return F.when(F.size(texts) == 0, F.array().cast("array<int>")).otherwise(F.transform(folded, count))
+
+
 def syllable_count(c: Column | str) -> Column:
     """Sum over all words of: vowel groups, less a final ``e`` if there is another group, at least 1."""
-    low = F.lower(col(c))
-    s, v, k = _NOT_SPACE, f"[{_VOWELS}]", f"[^{_VOWELS}{R.SPACE}]"
+    low = F.regexp_replace(F.lower(col(c)), rf"[{R.SPACE}]++", " ")
+    v, k = f"[{_VOWELS}]", f"[^{_VOWELS} ]"
     groups = F.regexp_count(low, F.lit(f"{v}+"))
-    silent_e = F.regexp_count(low, F.lit(rf"(?<!{s}){k}*+{v}++(?:{k}++{v}++)++(?<=e)(?!{s})"))
-    no_vowel = F.regexp_count(low, F.lit(rf"(?<!{s}){k}++(?!{s})"))
+    # from the first vowel of a word: two groups or more, the last of them ending the word with e
+    silent_e = F.regexp_count(low, F.lit(rf"{v}++(?:{k}++{v}++)++(?<=e)(?![^ ])"))
+    no_vowel = F.regexp_count(low, F.lit("[^ ]++")) - F.regexp_count(low, F.lit(rf"{v}[^ ]*+"))
     return groups - silent_e + no_vowel
 
 
@@ -208,11 +230,14 @@ def escape_xml(c: Column | str) -> Column:
 
 
 def has_email(c: Column | str) -> Column:
-    return col(c).rlike(R.EMAIL_PATTERN)
+    c = col(c)
+    return F.contains(c, F.lit("@")) & c.rlike(R.EMAIL_PATTERN)
 
 
 def has_phone(c: Column | str) -> Column:
-    return col(c).rlike(R.PHONE_PATTERN)
+    # every match ends like this; the short pattern rejects most texts cheaply
+    c = col(c)
+    return c.rlike(r"\d{3}[\s-]?\d{4}\b") & c.rlike(R.PHONE_PATTERN)
 
 
 def redact_patterns(c: Column | str) -> Column:

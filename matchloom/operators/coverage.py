@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matchloom import rules as R
 from matchloom.functions import text as X
-from matchloom.functions.rows import explode_rows
+from matchloom.functions.rows import explode_rows, settle
 from matchloom.operators.matching import contained
 from matchloom.operators.parsing import all_bullets
 
@@ -32,25 +32,25 @@ def score(hits: Column, total: Column) -> Column:
 
 # --- retrieved chunks against a job description ---------------------------
 
-def chunk_coverage(job: Column | str, chunk_texts: Column | str) -> Column:
-    """Share of requirements, responsibilities and skills found in any chunk, and their mean.
+def add_chunk_coverage(df: DataFrame, chunk_texts: Column, job: str = "job", out: str = "coverage") -> DataFrame:
+    """Add the share of requirements, responsibilities and skills found in any chunk, and their mean.
 
-    Without chunks the three shares are 0 and the mean is null.
+    Without chunks the three shares are 0 and the mean is null. The chunks of a row are
+    joined once (by a character no item holds), so each item costs one search.
     """
-    job = X.col(job)
-    chunk_texts = F.coalesce(X.col(chunk_texts), F.array().cast(_STRINGS))
-    lowered = F.transform(chunk_texts, F.lower)
+    names = ("requirements", "responsibilities", "skills")
+    texts = F.coalesce(chunk_texts, F.array().cast(_STRINGS))
+    staged = settle(df, _hay=F.lower(X.joined(texts)), _chunks=F.size(texts), **{job: F.col(job)})
 
     def share(items: Column) -> Column:
-        hits = F.size(
-            F.filter(_list(items), lambda i: F.exists(lowered, lambda t: F.contains(t, F.lower(i))))
-        )
-        return F.when(F.size(chunk_texts) == 0, F.lit(0.0)).otherwise(score(hits, F.size(_list(items))))
+        hits = F.size(F.filter(_list(items), lambda i: F.contains(F.col("_hay"), F.lower(i))))
+        return F.when(F.col("_chunks") == 0, F.lit(0.0)).otherwise(score(hits, F.size(_list(items))))
 
-    parts = {n: share(job[n]) for n in ("requirements", "responsibilities", "skills")}
-    total = parts["requirements"] + parts["responsibilities"] + parts["skills"]
-    mean = F.when(F.size(chunk_texts) > 0, F.round(total / 3, 3))
-    return F.struct(*[c.alias(n) for n, c in parts.items()], mean.alias("mean"))
+    staged = settle(staged, **{f"_{n}": share(F.col(f"{job}.{n}")) for n in names})
+    total = F.col("_requirements") + F.col("_responsibilities") + F.col("_skills")
+    mean = F.when(F.col("_chunks") > 0, F.round(total / 3, 3))
+    packed = F.struct(*[F.col(f"_{n}").alias(n) for n in names], mean.alias("mean"))
+    return staged.withColumn(out, packed).drop("_hay", "_chunks", *[f"_{n}" for n in names])
 
 
 def substring_coverage(
@@ -118,14 +118,21 @@ def resume_text(resume: Column | str) -> Column:
     return F.concat_ws("\n", resume["summary"], all_bullets(resume), _list(resume["skills"]), projects)
 
 
-def missing_targets(targets: Column | str, tokens: Column | str) -> Column:
-    """Targets (in order) with no token, or with a token that is not among ``tokens``."""
+def missing_targets(targets: str, tokens: str) -> Column:
+    """Targets (in order) with no token, or with a token that is not in the array ``tokens``.
+
+    Both are names of settled columns: the test runs per target and must not repeat the work
+    behind them. All targets of a row are normalised in one pass.
+    """
+    items = F.col(targets)
+    folded = F.split(X.token_text(X.joined(items)), X.JOINT)
 
-    def uncovered(target):
-        own = X.tokens(target)
-        return (F.size(own) == 0) | (F.size(F.array_except(own, X.col(tokens))) > 0)
+    def uncovered(pair):
+        own = X.split_tokens(pair["t"])
+        return (F.size(own) == 0) | (F.size(F.array_except(own, F.col(tokens))) > 0)
 
-    return F.filter(X.col(targets), uncovered)
+    pairs = F.zip_with(items, folded, lambda i, t: F.struct(i.alias("i"), t.alias("t")))
+    return F.transform(F.filter(pairs, uncovered), lambda p: p["i"])
 
 
 def token_coverage(
@@ -165,14 +172,13 @@ def coverage_scores(covered: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- evidence -------------------------------------------------------------
 
 def job_evidence(job: Column | str) -> Column:
-    """Every text of a job description as an array of lower-case strings."""
+    """Every text of a job description, as an array."""
     job = X.col(job)
     meta = job["meta"]
     fields = F.array(
         meta["title"], meta["industry"], meta["location"], meta["source"], job["summary"], job["rawText"]
     )
-    texts = F.concat(fields, jd_targets(job), _list(job["keywords"]))
-    return F.transform(F.filter(texts, lambda t: t.isNotNull()), F.lower)
+    return F.array_compact(F.concat(fields, jd_targets(job), _list(job["keywords"])))
 
 
 def bullet_needle(bullet: Column) -> Column:
@@ -180,13 +186,14 @@ def bullet_needle(bullet: Column) -> Column:
     return F.left(F.lower(bullet), F.lit(R.EVIDENCE_CHARS))
 
 
-def unsupported_bullets(resume: Column | str, job: Column | str, chunk_texts: Column | str) -> Column:
-    """Row form: achievements found in no chunk and nowhere in the job description."""
-    evidence = F.concat(F.transform(_list(chunk_texts), F.lower), job_evidence(job))
-    return F.filter(
-        all_bullets(resume),
-        lambda b: ~F.exists(evidence, lambda e: F.contains(e, bullet_needle(b))),
-    )
+def evidence_text(job: Column | str, chunk_texts: Column) -> Column:
+    """Chunks and job description of a row, lower-cased and joined."""
+    return F.lower(X.joined(F.concat(_list(chunk_texts), job_evidence(job))))
+
+
+def unsupported_bullets(bullets: str, evidence: str) -> Column:
+    """Row form: achievements found nowhere in the evidence (names of settled columns)."""
+    return F.filter(F.col(bullets), lambda b: ~F.contains(F.col(evidence), bullet_needle(b)))
 
 
 def unsupported(

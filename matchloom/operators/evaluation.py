@@ -18,13 +18,15 @@ def _allowed(mean: Column) -> Column:
     return F.greatest(mean * R.CONSISTENCY_SHARE, F.lit(R.CONSISTENCY_MIN))
 
 
-def consistency_of_lengths(lengths: Column | str) -> Column:
-    """Share of bullets whose word count lies near the mean; 0 without bullets."""
-    lengths = X.col(lengths)
-    n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x) / n
-    out = F.size(F.filter(lengths, lambda x: F.abs(x - mean) > _allowed(mean)))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(1.0 - out / n, 3))
+def add_consistency(df: DataFrame, bullets: Column, out: str = "consistency") -> DataFrame:
+    """Add the share of bullets whose word count lies near the mean; 0 without bullets."""
+    staged = settle(df, _lengths=X.word_counts(bullets))
+    n = F.size("_lengths")
+    total = F.aggregate("_lengths", F.lit(0), lambda a, x: a + x)
+    staged = settle(staged, _n=n, _mean=F.when(n > 0, total / n))
+    far = F.size(F.filter("_lengths", lambda x: F.abs(x - F.col("_mean")) > _allowed(F.col("_mean"))))
+    share = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.round(1.0 - far / F.col("_n"), 3))
+    return staged.withColumn(out, share).drop("_lengths", "_n", "_mean")
 
 
 def bullet_consistency(bullets: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -68,18 +70,25 @@ def evaluate(df: DataFrame, job: str = "job", resume: str = "resume", chunks: st
         if chunks
         else F.array().cast("array<string>")
     )
-    staged = (
-        df.withColumn("_tokens", X.tokens(C.resume_text(resume)))
-        .withColumn("_targets", C.jd_targets(job))
-        .withColumn("_keywords", C.jd_keywords(job))
-        .withColumn("_bullets", all_bullets(resume))
-        .withColumn("missingCoverageTargets", C.missing_targets("_targets", "_tokens"))
-        .withColumn("missingAtsKeywords", C.missing_targets("_keywords", "_tokens"))
-        .withColumn("hallucinations", C.unsupported_bullets(resume, job, chunk_texts))
-        .withColumn("_text", F.concat_ws(" ", F.coalesce(F.col(f"{resume}.summary"), F.lit("")), "_bullets"))
-        .withColumn("_words", X.word_count("_text"))
-        .withColumn("_sentences", X.sentence_count("_text"))
-        .withColumn("_syllables", X.syllable_count("_text"))
+    staged = settle(
+        df,
+        **{job: F.col(job), resume: F.col(resume)},
+        _tokens=X.tokens(C.resume_text(resume)),
+        _targets=C.jd_targets(job),
+        _keywords=C.jd_keywords(job),
+        _bullets=all_bullets(resume),
+        _evidence=C.evidence_text(job, chunk_texts),
+    )
+    staged = settle(
+        staged,
+        missingCoverageTargets=C.missing_targets("_targets", "_tokens"),
+        missingAtsKeywords=C.missing_targets("_keywords", "_tokens"),
+        hallucinations=C.unsupported_bullets("_bullets", "_evidence"),
+        _text=F.concat_ws(" ", F.coalesce(F.col(f"{resume}.summary"), F.lit("")), "_bullets"),
+    )
+    staged = add_consistency(staged, F.col("_bullets"))
+    staged = settle(
+        staged, _words=X.word_count("_text"), _sentences=X.sentence_count("_text"), _syllables=X.syllable_count("_text")
     )
     return (
         staged.withColumn("targets", F.size("_targets"))
@@ -88,12 +97,11 @@ def evaluate(df: DataFrame, job: str = "job", resume: str = "resume", chunks: st
         .withColumn("keywordHits", F.size("_keywords") - F.size("missingAtsKeywords"))
         .withColumn("jdCoverage", C.score(F.col("targetHits"), F.col("targets")))
         .withColumn("atsKeywordScore", C.score(F.col("keywordHits"), F.col("keywords")))
-        .withColumn("consistency", consistency_of_lengths(F.transform("_bullets", X.word_count)))
         .withColumn(
             "readabilityGradeLevel",
             X.grade_from_counts(F.col("_words"), F.col("_sentences"), F.col("_syllables")),
         )
-        .drop("_tokens", "_targets", "_keywords", "_bullets", "_text", "_words", "_sentences", "_syllables")
+        .drop("_tokens", "_targets", "_keywords", "_bullets", "_evidence", "_text", "_words", "_sentences", "_syllables")
     )
 
 

@@ -58,7 +58,8 @@ def build_prompts(rows: DataFrame, prompts: DataFrame) -> DataFrame:
     template = F.coalesce(
         "template", F.raise_error(F.concat(F.lit("unknown prompt "), F.col("stage"))).cast("string")
     )
-    return joined.withColumn("prompt", fill_template(template, "variables")).drop("template", "variables")
+    staged = settle(joined, variables=F.col("variables"), template=template)
+    return staged.withColumn("prompt", fill_template("template", "variables")).drop("template", "variables")
 
 
 def as_json(c: Column) -> Column:

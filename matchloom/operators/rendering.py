@@ -131,18 +131,20 @@ def _change_lines(change_log: Column) -> Column:
 
 def _profile(df: DataFrame, profile: str | None, resume: str) -> DataFrame:
     col = F.lit(None).cast(S.STYLE_PROFILE) if profile is None else F.col(profile).cast(S.STYLE_PROFILE)
-    df = settle(df, **{resume: F.col(resume)})
-    return (
-        df.withColumn("_p", col)
-        .withColumn("_case", F.coalesce(X.nonempty(F.col("_p.headingCase")), F.lit("title")))
-        .withColumn("_symbol", bullet_symbol(F.coalesce(F.col("_p.bulletStyle"), F.lit("bullet"))))
-        .withColumn("_order", order_sections(F.col("_p.sectionOrder")))
+    df = settle(df, **{resume: F.col(resume), "_p": col})
+    return settle(
+        df,
+        _case=F.coalesce(X.nonempty(F.col("_p.headingCase")), F.lit("title")),
+        _symbol=bullet_symbol(F.coalesce(F.col("_p.bulletStyle"), F.lit("bullet"))),
+        _order=order_sections(F.col("_p.sectionOrder")),
     )
 
 
-def _in_order(sections: dict[str, Column]) -> Column:
+def _in_order(df: DataFrame, sections: dict[str, Column]) -> DataFrame:
+    """Add ``_body``: the lines of all sections in the row's order, each section laid out once."""
     table = F.create_map(*[x for name, c in sections.items() for x in (F.lit(name), c)])
-    return F.flatten(F.transform("_order", lambda s: F.element_at(table, s)))
+    staged = settle(df, _table=table)
+    return staged.withColumn("_body", F.flatten(F.transform("_order", lambda s: F.element_at(F.col("_table"), s))))
 
 
 def render_text_lines(
@@ -169,8 +171,8 @@ def render_text_lines(
     changes = F.when(
         F.size(_list(log, S.CHANGE_LOG)) > 0, block("change_log", "Change Log", _change_lines(log), True)
     ).otherwise(F.array().cast(_LINES))
-    body = _in_order(_sections(F.col(resume), case, bullet, block, keep_empty_projects=True))
-    laid_out = staged.withColumn("_all", F.concat(header, body, changes))
+    staged = _in_order(staged, _sections(F.col(resume), case, bullet, block, keep_empty_projects=True))
+    laid_out = staged.withColumn("_all", F.concat(header, F.col("_body"), changes))
     return explode_rows(laid_out, keys, "_all", "_l", "line_no").select(*keys, "line_no", "_l.*")
 
 
@@ -200,14 +202,14 @@ def render_paragraphs(
 
     header = F.array(_line("header", "header", render_header(F.col(f"{resume}.meta.role"), case)))
     log = F.col(change_log).cast(S.CHANGE_LOG) if change_log else F.lit(None).cast(S.CHANGE_LOG)
-    body = _in_order(_sections(F.col(resume), case, bullet, block, keep_empty_projects=False))
+    staged = _in_order(staged, _sections(F.col(resume), case, bullet, block, keep_empty_projects=False))
     changes = block("change_log", "Change Log", _change_lines(log), True)
     density = F.coalesce(F.col("_p.layoutDensity"), F.lit("balanced"))
     spacing = F.lit(R.DEFAULT_SPACING_AFTER)
     for name, value in R.SPACING_AFTER.items():
         spacing = F.when(density == name, value).otherwise(spacing)
     base_size = F.coalesce(F.col("_p.fontSize"), F.lit(R.DEFAULT_FONT_SIZE))
-    laid_out = staged.withColumn("_all", F.concat(header, body, changes))
+    laid_out = staged.withColumn("_all", F.concat(header, F.col("_body"), changes))
     keep = [
         *keys,
         F.coalesce("_p.fontFamily", F.lit(R.DEFAULT_FONT)).alias("font"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import rules as R
-from matchloom.operators.coverage import chunk_coverage
+from matchloom.operators.coverage import add_chunk_coverage
 from matchloom.operators.matching import nearest
 
 KEYS = ("tenantId", "jobId")
@@ -138,4 +138,4 @@ def with_coverage(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add each job's chunks and their coverage of its description."""
     empty = F.array().cast("array<struct<text:string,score:double>>")
     joined = jobs.join(collect_chunks(chunks), list(KEYS), "left").withColumn("chunks", F.coalesce("chunks", empty))
-    return joined.withColumn("coverage", chunk_coverage("job", F.col("chunks.text")))
+    return add_chunk_coverage(joined, F.col("chunks.text"))

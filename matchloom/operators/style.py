@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
+from matchloom.functions.rows import settle
 
 
 def section_order(line_text: Column | str) -> Column:
@@ -35,19 +36,19 @@ def merge_section_order(preferred: Column | str, detected: Column | str) -> Colu
     return F.when(F.size(kept) > 0, kept).otherwise(default)
 
 
-def bullet_style(line_text: Column | str) -> Column:
-    sign = F.regexp_extract(X.col(line_text), rf"(?m)^([{R.BULLETS}])", 1)
+def first_bullet(line_text: Column | str) -> Column:
+    """Sign of the first bullet line, empty if there is none."""
+    return F.regexp_extract(X.col(line_text), rf"(?m)^([{R.BULLETS}])", 1)
+
+
+def bullet_style(sign: Column | str) -> Column:
+    sign = X.col(sign)
     out = F.lit("bullet")
     for symbol, name in R.BULLET_STYLES.items():
         out = F.when(sign == symbol, F.lit(name)).otherwise(out)
     return out
 
 
-def heading_case(line_text: Column | str) -> Column:
-    upper, title = X.upper_line_count(line_text), X.title_line_count(line_text)
-    return heading_case_from_counts(upper, title)
-
-
 def heading_case_from_counts(upper: Column, title: Column) -> Column:
     total = upper + title
     return (
@@ -58,8 +59,7 @@ def heading_case_from_counts(upper: Column, title: Column) -> Column:
     )
 
 
-def layout_density(line_text: Column | str) -> Column:
-    n = X.line_count(line_text)
+def layout_density(n: Column) -> Column:
     return (
         F.when(n > R.CONDENSED_OVER_LINES, "condensed")
         .when(n < R.SPACIOUS_UNDER_LINES, "spacious")
@@ -79,14 +79,16 @@ def font_size(points: Column) -> Column:
 def style_signals(df: DataFrame, text: str = "text") -> DataFrame:
     """Add what the text itself shows: detected_order, heading_case, bullet_style, layout_density."""
     return (
-        df.withColumn("_lines", X.line_text(text))
+        settle(df, _lines=X.line_text(text))
         .withColumn("_upper", X.upper_line_count("_lines"))
         .withColumn("_title", X.title_line_count("_lines"))
+        .withColumn("_sign", first_bullet("_lines"))
+        .withColumn("_n", X.line_count("_lines"))
         .withColumn("detected_order", section_order("_lines"))
         .withColumn("heading_case", heading_case_from_counts(F.col("_upper"), F.col("_title")))
-        .withColumn("bullet_style", bullet_style("_lines"))
-        .withColumn("layout_density", layout_density("_lines"))
-        .drop("_lines", "_upper", "_title")
+        .withColumn("bullet_style", bullet_style("_sign"))
+        .withColumn("layout_density", layout_density(F.col("_n")))
+        .drop("_lines", "_upper", "_title", "_sign", "_n")
     )
 
 

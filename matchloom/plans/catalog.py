@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.functions import text as X
-from matchloom.functions.rows import explode_rows, inline_rows
+from matchloom.functions.rows import explode_rows, inline_rows, settle
 from matchloom.operators import coverage as C
 from matchloom.operators import delta, embedding, evaluation, matching, parsing, prompts, redaction, rendering
 from matchloom.operators import retrieval, skills, style, validation
@@ -318,7 +318,7 @@ def substring_items(spark, sf):
 @query
 def chunk_coverage(spark, sf):
     chunks = F.array(F.array_join("resume.skills", " "), F.col("resume.summary"))
-    scored = jobs(spark, sf).withColumn("coverage", C.chunk_coverage("job", chunks))
+    scored = C.add_chunk_coverage(jobs(spark, sf), chunks)
     return scored.select(*KEYS, "coverage.requirements", "coverage.responsibilities", "coverage.skills")
 
 
@@ -366,12 +366,9 @@ def banned_claims(spark, sf):
 
 @query
 def bullet_consistency(spark, sf):
-    r = parsed_resumes(spark, sf).withColumn("_b", parsing.all_bullets("resume"))
-    return r.select(
-        *KEYS,
-        F.size("_b").cast("long").alias("bullets"),
-        evaluation.consistency_of_lengths(F.transform("_b", X.word_count)).alias("consistency"),
-    )
+    r = settle(parsed_resumes(spark, sf).select(*KEYS, "resume"), _b=parsing.all_bullets("resume"))
+    scored = evaluation.add_consistency(r, F.col("_b"))
+    return scored.select(*KEYS, F.size("_b").cast("long").alias("bullets"), "consistency")
 
 
 @query

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 # --- characters -----------------------------------------------------------
 # Line breaks and other white space, as Python's str.splitlines / str.strip
-# see them (Java regex class bodies; single characters are matched faster than ranges).
+# see them (Java regex class bodies; single characters are matched faster than ranges and properties).
 LINE_BREAKS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 BLANKS = r"\t\x1f\p{Zs}"
 SPACE = LINE_BREAKS + BLANKS

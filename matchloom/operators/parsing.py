@@ -118,7 +118,7 @@ def _label(df: DataFrame, text: str, headings: list) -> DataFrame:
 
 _MONTH = rf"[{R.WORD}]++[{R.BLANKS}]++\p{{Nd}}{{4}}"
 _DATES = rf"(?<![{R.WORD}])({_MONTH})[{R.BLANKS}]*+[–\-][{R.BLANKS}]*+(Present|{_MONTH})"
-_DATED_LINE = rf"(?ium)^(?![{R.BULLETS}])(?=[^\n]*{_DATES})"
+_DATED_LINE = rf"(?ium)^(?![{R.BULLETS}])(?=[^\n]*?{_DATES})"  # the first pair of dates counts
 
 
 def experience_segments(section: Column | str) -> Column:

@@ -147,14 +147,8 @@ def _in_order(df: DataFrame, sections: dict[str, Column]) -> DataFrame:
     return staged.withColumn("_body", F.flatten(F.transform("_order", lambda s: F.element_at(F.col("_table"), s))))
 
 
-def render_text_lines(
-    df: DataFrame,
-    keys: Sequence[str],
-    resume: str = "resume",
-    change_log: str | None = "changeLog",
-    profile: str | None = "profile",
-) -> DataFrame:
-    """Plain text form: (keys, line_no, section, kind, text); bullets are indented by two blanks."""
+def _text_layout(df: DataFrame, resume: str, change_log: str | None, profile: str | None) -> DataFrame:
+    """Add ``_all``: every line of the plain text form, in order."""
     staged = _profile(df, profile, resume)
     case = F.col("_case")
 
@@ -172,10 +166,33 @@ def render_text_lines(
         F.size(_list(log, S.CHANGE_LOG)) > 0, block("change_log", "Change Log", _change_lines(log), True)
     ).otherwise(F.array().cast(_LINES))
     staged = _in_order(staged, _sections(F.col(resume), case, bullet, block, keep_empty_projects=True))
-    laid_out = staged.withColumn("_all", F.concat(header, F.col("_body"), changes))
+    return staged.withColumn("_all", F.concat(header, F.col("_body"), changes))
+
+
+def render_text_lines(
+    df: DataFrame,
+    keys: Sequence[str],
+    resume: str = "resume",
+    change_log: str | None = "changeLog",
+    profile: str | None = "profile",
+) -> DataFrame:
+    """Plain text form: (keys, line_no, section, kind, text); bullets are indented by two blanks."""
+    laid_out = _text_layout(df, resume, change_log, profile)
     return explode_rows(laid_out, keys, "_all", "_l", "line_no").select(*keys, "line_no", "_l.*")
 
 
+def render_texts(
+    df: DataFrame,
+    keys: Sequence[str],
+    resume: str = "resume",
+    change_log: str | None = "changeLog",
+    profile: str | None = "profile",
+) -> DataFrame:
+    """Plain text form, whole: (keys, text), joined inside the row."""
+    laid_out = _text_layout(df, resume, change_log, profile)
+    return laid_out.select(*keys, F.array_join(F.col("_all.text"), "\n").alias("text"))
+
+
 def render_paragraphs(
     df: DataFrame,
     keys: Sequence[str],
@@ -231,8 +248,6 @@ def render_paragraphs(
     )
 
 
-def write_text_lines(lines: DataFrame, path: str, keys: Sequence[str] = ("tenantId", "jobId")) -> None:
-    """Rendered text as files below one folder per tenant, lines of a resume together and in order."""
-    whole = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l"))
-    text = whole.select(keys[0], F.array_join(F.transform("_l", lambda x: x["text"]), "\n").alias("value"))
-    text.write.mode("append").partitionBy(keys[0]).text(path)
+def write_texts(texts: DataFrame, path: str, partition: str = "tenantId") -> None:
+    """Rendered texts (output of :func:`render_texts`) as text files below one folder per tenant."""
+    texts.select(partition, F.col("text").alias("value")).write.mode("append").partitionBy(partition).text(path)

@@ -26,17 +26,21 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
     )
 
 
+_LOCAL_ROOT: list[str] = []  # one temporary root per local driver process
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder the cluster names.
 
     Only a local session may fall back to a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL_ROOT:
+            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="matchloom-"))
+        root = _LOCAL_ROOT[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -3,7 +3,8 @@
 Catalyst pushes a filter below the projection that computes its column by repeating the
 expression, and infers such a filter (``size(x) > 0``) for every plain explode. That is right for
 cheap columns and wrong for parsed text: the parser would run again for each level it is
-pushed through. Filters do not move below an outer explode, which both helpers use.
+pushed through. Filters do not move below an outer explode, which these helpers use. The exploded
+value is a column of a projection of its own: only there are common subexpressions shared.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ def explode_rows(
     """One row per array element, numbered from 0; rows with a null or empty array give none."""
     array = F.col(array) if isinstance(array, str) else array
     at = pos or "_pos"
-    rows = df.select(*keep, F.posexplode_outer(array).alias(at, name)).where(F.col(at).isNotNull())
+    staged = df.select(*keep, array.alias("_array"))
+    kept = [F.col(c) for c in staged.columns if c != "_array"]
+    rows = staged.select(*kept, F.posexplode_outer("_array").alias(at, name)).where(F.col(at).isNotNull())
     return rows if pos else rows.drop(at)
 
 
@@ -33,8 +36,7 @@ def inline_rows(df: DataFrame, keep: Sequence[str | Column], structs: Column | s
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row, whatever is built on them."""
-    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    kept = [c for c in df.columns if c not in columns]
-    return df.select(*[F.col(c) for c in kept], F.explode_outer(packed).alias("_settled")).select(
-        *[F.col(c) for c in kept], "_settled.*"
-    )
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    staged = df.select(*kept, *[c.alias(n) for n, c in columns.items()])
+    packed = F.array(F.struct(*columns))
+    return staged.select(*kept, F.explode_outer(packed).alias("_settled")).select(*kept, "_settled.*")

@@ -54,7 +54,8 @@ def lines(c: Column | str) -> Column:
 
 
 def line_count(line_text_col: Column | str) -> Column:
-    return F.regexp_count(col(line_text_col), F.lit(r"[^\n]+"))
+    c = col(line_text_col)
+    return count_char(c, "\n") + F.when(c == "", 0).otherwise(1)
 
 
 # --- section labelling ----------------------------------------------------
@@ -150,8 +151,20 @@ def tokens(c: Column | str) -> Column:
     return F.array_distinct(split_tokens(token_text(F.coalesce(col(c), F.lit("")))))
 
 
+def count_char(c: Column, char: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+
+
+def count_matches(c: Column, pattern: str) -> Column:
+    """Number of matches, by the growth of the text when each match gets one character more.
+
+    ``regexp_count`` would build an array of all matches first.
+    """
+    return F.length(F.regexp_replace(c, pattern, f"$0{JOINT}")) - F.length(c)
+
+
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(f"{_NOT_SPACE}+"))
+    return count_matches(col(c), f"{_NOT_SPACE}++")
 
 
 def word_counts(texts: Column) -> Column:
@@ -166,17 +179,18 @@ def word_counts(texts: Column) -> Column:
 
 def syllable_count(c: Column | str) -> Column:
     """Sum over all words of: vowel groups, less a final ``e`` if there is another group, at least 1."""
-    low = F.regexp_replace(F.lower(col(c)), rf"[{R.SPACE}]++", " ")
+    low = F.trim(F.regexp_replace(F.lower(col(c)), rf"[{R.SPACE}]++", " "))
     v, k = f"[{_VOWELS}]", f"[^{_VOWELS} ]"
-    groups = F.regexp_count(low, F.lit(f"{v}+"))
+    groups = count_matches(low, f"{v}++")
     # from the first vowel of a word: two groups or more, the last of them ending the word with e
-    silent_e = F.regexp_count(low, F.lit(rf"{v}++(?:{k}++{v}++)++(?<=e)(?![^ ])"))
-    no_vowel = F.regexp_count(low, F.lit("[^ ]++")) - F.regexp_count(low, F.lit(rf"{v}[^ ]*+"))
+    silent_e = count_matches(low, rf"{v}++(?:{k}++{v}++)++(?<=e)(?![^ ])")
+    words = count_char(low, " ") + F.when(low == "", 0).otherwise(1)
+    no_vowel = words - count_matches(low, rf"{v}[^ ]*+")
     return groups - silent_e + no_vowel
 
 
 def sentence_count(c: Column | str) -> Column:
-    return F.greatest(F.regexp_count(col(c), F.lit(r"\.")), F.lit(1))
+    return F.greatest(count_char(col(c), "."), F.lit(1))
 
 
 def grade_from_counts(words: Column, sentences: Column, syllables: Column) -> Column:

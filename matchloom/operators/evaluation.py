@@ -70,9 +70,9 @@ def evaluate(df: DataFrame, job: str = "job", resume: str = "resume", chunks: st
         if chunks
         else F.array().cast("array<string>")
     )
+    staged = settle(df, **{job: F.col(job), resume: F.col(resume)})
     staged = settle(
-        df,
-        **{job: F.col(job), resume: F.col(resume)},
+        staged,
         _tokens=X.tokens(C.resume_text(resume)),
         _targets=C.jd_targets(job),
         _keywords=C.jd_keywords(job),

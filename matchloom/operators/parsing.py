@@ -95,7 +95,7 @@ def section_sizes(df: DataFrame, text: str = "text", headings: list = R.RESUME_H
         *[
             F.struct(
                 F.lit(n).alias("section"),
-                F.regexp_count(X.section_text("_marked", n, headings), F.lit("\n")).cast("long").alias("lines"),
+                X.count_char(X.section_text("_marked", n, headings), "\n").cast("long").alias("lines"),
             )
             for n in names
         ]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import rules as R
+from matchloom.functions import text as X
 from matchloom.operators.coverage import add_chunk_coverage
 from matchloom.operators.matching import nearest
 
@@ -27,7 +28,7 @@ def scan_feedback(feedback: DataFrame, tenant: str | None = None, job: str | Non
         jobs = F.array(F.lit(job))
     else:
         # every prefix before a '#' names a job this row belongs to; nearly always there is one
-        marks = F.regexp_count("feedbackId", F.lit("#"))
+        marks = X.count_char(F.col("feedbackId"), "#")
         jobs = F.when(
             marks > 0, F.transform(F.sequence(F.lit(1), marks), lambda i: F.call_function("substring_index", F.col("feedbackId"), F.lit("#"), i))
         )

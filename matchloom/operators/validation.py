@@ -176,7 +176,8 @@ def validate_resumes(
     coverage: str | None = None,
 ) -> DataFrame:
     """Add ``issues`` (in rule order), ``status`` and the metrics to each row."""
-    staged = settle(df, **{resume: F.col(resume), "_json": F.to_json(resume)})
+    staged = settle(df, **{resume: F.col(resume)})
+    staged = settle(staged, _json=F.to_json(resume))
     parts = [resume_issues(resume, "_json")]
     if change_log:
         parts.append(change_log_issues(change_log))

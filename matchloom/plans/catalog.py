@@ -42,6 +42,15 @@ def _joined(c: str, sep: str = "|"):
     return F.array_join(c, sep)
 
 
+def _instant(ts: str):
+    """The event times carry no zone and are meant as UTC, whatever the zone of the session."""
+    return F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone())
+
+
+def _epoch(ts: str):
+    return F.unix_timestamp(_instant(ts))
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"), "doc_id")
 
@@ -689,7 +698,7 @@ def _status_rows(events: DataFrame) -> DataFrame:
         F.when(kind == "purchase", "RESULT").otherwise("STATUS").alias("entityType"),
         F.when(kind == "purchase", "COMPLETED").when(kind == "error", "FAILED").otherwise("RUNNING").alias("status"),
         "event_id",
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("updatedAt"),
+        _epoch("ts").alias("updatedAt"),
     )
 
 
@@ -735,9 +744,9 @@ def stuck_jobs(spark, sf):
         F.concat(F.lit("j"), F.floor(F.col("event_id") / 3)).alias("jobId"),
         F.when(kind == "purchase", "RESULT").otherwise("STATUS").alias("entityType"),
         F.lit("RUNNING").alias("status"),
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("updatedAt"),
+        _epoch("ts").alias("updatedAt"),
     )
-    clock = table(spark, sf, "events").agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()[0]
+    clock = table(spark, sf, "events").agg(F.max(_epoch("ts"))).first()[0]
     return tables.stuck_jobs(events, F.lit(clock))
 
 
@@ -745,7 +754,7 @@ def _objects(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id",
         (F.col("user_id") % 3).alias("tenant"),
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lastModified"),
+        _epoch("ts").alias("lastModified"),
     )
 
 
@@ -787,7 +796,7 @@ def list_artifacts(spark, sf):
 @query
 def stream_fail_alarm(spark, sf):
     path, checkpoint = shared_dir(spark, "alarms"), shared_dir(spark, "alarms-checkpoint")
-    events = _event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events = _event_stream(spark, sf).select(_instant("ts").alias("ts"), "event_type")
     streams.stream_alarms(events, F.col("event_type") == "error", path, checkpoint).awaitTermination()
     alarms = streams.current_alarms(spark.read.schema("window_start timestamp, failures long, batch_id long").parquet(path))
     return alarms.withColumn("window_start", F.unix_timestamp("window_start"))

@@ -33,7 +33,11 @@ def templates(spark, tmp_path_factory):
 
 
 def job_rows(spark, options):
-    df = spark.createDataFrame([("t", "j", "Role: X\nRequirements\nPython", "Summary\nhi", options)], "tenantId string, jobId string, jd text_t, cv text_t, options o".replace("text_t", "string").replace("options o", "options struct<tone:string,keywords:array<string>,length:string,includeCoverLetter:boolean>"))
+    schema = (
+        "tenantId string, jobId string, jd string, cv string, "
+        "options struct<tone:string,keywords:array<string>,length:string,includeCoverLetter:boolean>"
+    )
+    df = spark.createDataFrame([("t", "j", "Role: X\nRequirements\nPython", "Summary\nhi", options)], schema)
     df = parsing.parse_job_descriptions(df, "jd", None)
     df = parsing.parse_resumes(df, "cv", None)
     none = {"validated": "array<string>", "chunks": S.CHUNKS, "skills": "array<string>", "profile": S.STYLE_PROFILE}

@@ -7,15 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import simhash, substring
+from matchloom.llm import packing, pii, quality, simhash, substring
 from matchloom.llm.common import table
 
 
+#: Key of the pseudonyms of the registered query.
+KEY = "matchloom"
+
+
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(packing.document_items(table(spark, sf_dir, "documents")))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+    return found.select("doc_id", "n_replaced", "text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -23,7 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_substring, op10_simhash)
+    f.__name__: f for f in (op1_best_fit, op4_substring, op5_quality, op6_pii, op10_simhash)
 }
 
 ORACLES = {

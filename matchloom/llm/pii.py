@@ -13,11 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.functions.rows import settle
+
 ROUNDS = 8
 # A mark cannot be mistaken for text: \x01 of the text is written \x01\x02 until the end.
 _ESC, _KEPT, _MARK = "\x01", "\x01\x02", "\x01\x03"
 
-EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|sk_live_|xoxb-)[0-9A-Za-z_-]{16,96})(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -270,16 +272,18 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     if not key:
         raise ValueError("a key is needed")
-    # a text without @, long digits or hexadecimal runs costs one short search
-    may = F.coalesce(F.col(text).rlike(r"@|[0-9]{3}|[0-9][.][0-9]|[0-9a-fA-F]{32}|[0-9]{2}[./-][0-9]{2}"), F.lit(False))
-    safe = F.replace(F.col(text), F.lit(_ESC), F.lit(_KEPT))
+    # a text without digits, @ and known beginnings of keys costs a short search only
+    value = F.col(text)
+    heads = reduce(lambda a, b: a | b, [F.contains(value, F.lit(h)) for h in ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-")])
+    may = F.coalesce(value.rlike("[0-9@]") | heads, F.lit(False))
+    safe = F.replace(value, F.lit(_ESC), F.lit(_KEPT))
     marked = F.regexp_replace(safe, f"(?:{ANY})", f"{_MARK}$0{_MARK}")
-    parts = F.when(may, F.split(marked, _MARK))
-    new = F.transform(parts, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))
-    cut = docs.drop("n_replaced").withColumn("_parts", F.explode_outer(F.array(F.struct(parts.alias("old"), new.alias("new")))))
+    parts = settle(docs.drop("n_replaced"), _old=F.when(may, F.split(marked, _MARK)))
+    new = F.transform("_old", lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))
+    cut = settle(parts, _parts=F.struct(F.col("_old").alias("old"), F.when(F.size("_old") > 1, new).alias("new")))
     changed = F.coalesce(F.size(F.filter(F.zip_with("_parts.old", "_parts.new", lambda a, b: a != b), lambda x: x)), F.lit(0))
     whole = F.replace(F.array_join("_parts.new", ""), F.lit(_KEPT), F.lit(_ESC))
     done = cut.withColumn("n_replaced", F.greatest(changed, F.lit(0)).cast("long")).withColumn(
         text, F.when(F.col("n_replaced") > 0, whole).otherwise(F.col(text))
     )
-    return done.drop("_parts")
+    return done.drop("_parts", "_old")

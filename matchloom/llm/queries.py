@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import packing, pii, quality, simhash, substring
+from matchloom.llm import bitplane, bpe, packing, pii, quality, simhash, substring
 from matchloom.llm.common import table
 
 
@@ -33,6 +34,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_replaced", "text")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -40,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit, op4_substring, op5_quality, op6_pii, op10_simhash)
+    f.__name__: f for f in (op1_best_fit, op4_substring, op5_quality, op6_pii, op7_bpe, op8_bitplane, op10_simhash)
 }
 
 ORACLES = {

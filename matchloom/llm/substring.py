@@ -92,7 +92,7 @@ def _anchors(window: int, anchor: int):
                 hashes, places = np.concatenate(hashes), np.concatenate(places)
                 new = np.r_[True, places[1:] != places[:-1]]  # the chosen place never moves back
                 values, counts = np.unique(hashes[new], return_counts=True)
-                found.append((values, np.full(len(values), key), np.minimum(counts, 2)))
+                found.append((values, np.full(len(values), key), counts))
             if found:
                 values, keys, counts = map(np.concatenate, zip(*found))
                 yield pa.record_batch(
@@ -128,7 +128,8 @@ def _places(window: int, anchor: int):
                     hit = np.flatnonzero(wanted[k] == chosen)
                     salts = np.maximum(1, -(-totals[k[hit]] // PLACES))
                     cols[0].append(chosen[hit].view(np.int64))
-                    cols[1].append((key & 0x7FFFFFFF) % salts)
+                    spread = (key ^ (first[hit] + at) * 0x9E3779B1) >> 7  # by document and place
+                    cols[1].append((spread & 0x7FFFFFFF) % salts)
                     cols[2].append(salts)
                     cols[3].append(np.full(len(hit), key))
                     cols[4].append(first[hit] + at)

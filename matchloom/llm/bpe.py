@@ -65,6 +65,7 @@ class Transducer:
 
     def __init__(self, definition: str):
         spec = json.loads(definition)
+        self._definition, self._library = definition, None
         model = spec["model"]
         self.vocabulary: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -126,13 +127,21 @@ class Transducer:
             buffer[-1] += self.suffix
             yield from self.merged(buffer)
 
-    def _word(self, word: str) -> list[int]:
-        return [self.vocabulary[t] for t in self.stream(map(self.symbols.__getitem__, word.encode()))]
+    def _split(self, text: str) -> list[str]:
+        """Words as byte symbols. For characters newer than this Python's tables the library's own steps are asked."""
+        if text.isascii() or all(unicodedata.category(c) != "Cn" for c in text):
+            return ["".join(map(self.symbols.__getitem__, w.encode())) for w in self.words.findall(self._normal(text))]
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._definition)
+        normal = self._library.normalizer.normalize_str(text)
+        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def _chunk(self, chunk: bytes) -> bytes:
         if chunk in self.older:
             return self.older[chunk]
-        ids = [i for w in self.words.findall(self._normal(chunk.decode())) for i in self._word(w)]
+        ids = [self.vocabulary[t] for w in self._split(chunk.decode()) for t in self.stream(w)]
         return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:

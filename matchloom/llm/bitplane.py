@@ -59,7 +59,7 @@ class Encoder:
 
     def _chunks(self, chunks: list[str]) -> bytes | None:
         """Ids of chunks that each follow a blank; None if one begins or ends with white space."""
-        new = set(chunks) - self.known.keys()
+        new = [c for c in set(chunks) if c not in self.known]
         if new:
             missing = []
             for c in new:

@@ -155,8 +155,9 @@ class Transducer:
                 if len(self.known) > REMEMBERED:
                     self.older, self.known = self.known, {}
                 chunks = piece.split()
-                for c in set(chunks) - self.known.keys():
-                    self.known[c] = self._chunk(c)
+                for c in set(chunks):
+                    if c not in self.known:
+                        self.known[c] = self._chunk(c)
                 out.append(b"".join(map(self.known.__getitem__, chunks)))
         return b"".join(out)
 

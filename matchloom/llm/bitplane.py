@@ -26,7 +26,7 @@ BLOCK_IDS = 1 << 16
 #: A row is closed when it holds so many ids; a longer document has a row of its own.
 ROW_IDS = 1 << 20
 #: Chunks of text whose ids are remembered by a worker, for each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _CUT_CHARS = 1 << 20
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -50,6 +50,9 @@ class Encoder:
             and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -57,6 +60,14 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _together(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks encoded as one text: a token that begins with the blank's byte begins a chunk."""
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype="<u4")
+        starts = [4 * int(i) for i in np.flatnonzero(self.begins[ids])]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+
     def _chunks(self, chunks: list[str]) -> bytes | None:
         """Ids of chunks that each follow a blank; None if one begins or ends with white space."""
         new = [c for c in set(chunks) if c not in self.known]
@@ -69,9 +80,9 @@ class Encoder:
                     return None
                 else:
                     missing.append(c)
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                self.known.update(zip(some, self._whole([" " + c for c in some])))
+            for at in range(0, len(missing), 512):
+                some = missing[at : at + 512]
+                self.known.update(zip(some, self._together(some)))
         return b"".join(map(self.known.__getitem__, chunks))
 
     def _part(self, text: str, follows: bool) -> bytes:

@@ -80,6 +80,7 @@ class Transducer:
         self._read_steps(spec)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.words_known: dict[str, bytes] = {}
 
     def _read_steps(self, spec: dict) -> None:
         normal = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
@@ -101,22 +102,30 @@ class Transducer:
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge by rank, leftmost first, until no pair is left."""
         ranks, none = self.ranks.get, len(self.ranks)
-        while len(symbols) > 1:
-            found = [ranks(p, none) for p in zip(symbols, symbols[1:])]
+        found = [ranks(p, none) for p in zip(symbols, symbols[1:])]
+        while found:
             least = min(found)
             if least == none:
-                return symbols
+                break
             at = found.index(least)
-            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del found[at]
+            if at < len(found):
+                found[at] = ranks((symbols[at], symbols[at + 1]), none)
+            if at:
+                found[at - 1] = ranks((symbols[at - 1], symbols[at]), none)
         return symbols
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word from its symbols, as soon as they are stable."""
+        if isinstance(symbols, str) and 0 < len(symbols) <= READ_SYMBOLS:  # the buffer would take it whole
+            yield from self.merged([*symbols[:-1], symbols[-1] + self.suffix])
+            return
         buffer: list[str] = []
         for symbol in symbols:
             if len(buffer) >= self.lookahead + READ_SYMBOLS:
                 stable, done = len(buffer) - self.lookahead, 0
-                for token in self.merged(buffer):
+                for token in self.merged(buffer.copy()):
                     if done + len(token) > stable:
                         break
                     yield token
@@ -141,8 +150,15 @@ class Transducer:
     def _chunk(self, chunk: bytes) -> bytes:
         if chunk in self.older:
             return self.older[chunk]
-        ids = [self.vocabulary[t] for w in self._split(chunk.decode()) for t in self.stream(w)]
-        return np.array(ids, dtype="<u4").tobytes()
+        return b"".join([self.words_known.get(w) or self._word(w) for w in self._split(chunk.decode())])
+
+    def _word(self, word: str) -> bytes:
+        ids = np.array([self.vocabulary[t] for t in self.stream(word)], dtype="<u4").tobytes()
+        if len(self.words_known) > REMEMBERED:
+            self.words_known.clear()
+        if len(word) <= READ_SYMBOLS:
+            self.words_known[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text."""

@@ -56,18 +56,22 @@ def block_grid(
 
     def blocks(df, weight, name):
         expr, limit = weight
-        return df.groupBy(*keys).agg(F.ceil(F.sum(expr) / F.lit(limit)).cast("int").alias(name))
+        number = F.greatest(F.ceil(F.sum(expr) / F.lit(limit)).cast("int"), F.lit(1)).alias(name)
+        return df.groupBy(*keys).agg(number) if keys else df.agg(F.coalesce(number, F.lit(1)).alias(name))
 
-    grid = blocks(left, left_weight, "_nl").join(blocks(right, right_weight, "_nr"), keys)
-    grid = grid.select(*keys, F.greatest("_nl", F.lit(1)).alias("_nl"), F.greatest("_nr", F.lit(1)).alias("_nr"))
+    n_left, n_right = blocks(left, left_weight, "_nl"), blocks(right, right_weight, "_nr")
+    if keys:
+        grid = n_left.join(n_right, keys)
+    else:  # two numbers, so no join
+        fixed = {"_nl": n_left.first()[0], "_nr": n_right.first()[0]}
 
     def spread(df, id_col, own, n_own, other, n_other):
-        return (
-            df.join(grid, keys)
-            .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-            .drop("_nl", "_nr")
+        sized = df.join(grid, keys) if keys else df.withColumns({n: F.lit(v) for n, v in fixed.items()})
+        dealt = sized.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(n_own)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
         )
+        # new column identities: both sides may come from one table
+        return dealt.select(*[F.col(c).alias(c) for c in dealt.columns if c not in ("_nl", "_nr")])
 
     return (
         spread(left, left_id, "_lb", "_nl", "_rb", "_nr"),
@@ -122,12 +126,14 @@ def contained(
 
     ``pairs=False`` gives distinct (keys, needle_id): the needles found at all.
     ``pairs=True`` gives distinct (keys, text_id, needle_id). An empty needle occurs in every text.
+    Rows with a null key, needle or text take no part, nor do needles (for pairs also texts) with a null id.
     Lower-case both sides before the call where case must not matter. Each text is scanned
     once for all needles (of a block), so the work is linear in the text.
     """
     keys = list(keys)
-    texts = texts.select(*keys, text_id, text).where(F.col(text).isNotNull())
-    needles = needles.select(*keys, needle_id, needle).where(F.col(needle).isNotNull()).distinct()
+    # a null key equals none, a hit without an id says nothing; and ids stay whole numbers in pandas
+    texts = texts.select(*keys, text_id, text).dropna(subset=[*keys, text, *([text_id] if pairs else [])])
+    needles = needles.select(*keys, needle_id, needle).dropna().distinct()
     fields = [texts.schema[k] for k in keys]
     if pairs:
         fields.append(texts.schema[text_id])
@@ -149,7 +155,7 @@ def contained(
             for batch in batches:
                 out = []
                 key_cols = [batch[k].tolist() for k in keys]
-                for pos, (tid, body) in enumerate(zip(batch[text_id].tolist(), batch[text].tolist())):
+                for pos, (tid, body) in enumerate(zip(batch[text_id], batch[text].tolist())):
                     key = tuple(c[pos] for c in key_cols)
                     for nid in scanner.hits(body, key):
                         if pairs:
@@ -161,14 +167,10 @@ def contained(
 
         return texts.mapInPandas(scan, schema).distinct()
 
-    one = [] if keys else ["_one"]
-    if one:
-        texts, needles = texts.withColumn("_one", F.lit(1)), needles.withColumn("_one", F.lit(1))
-    group = [*keys, *one]
     lt, rt = block_grid(
         texts,
         needles,
-        group,
+        keys,
         text_id,
         needle_id,
         (F.length(text) + 1, TEXT_BLOCK_CHARS),
@@ -187,7 +189,7 @@ def contained(
                 found.add((*key, tid, nid) if pairs else (*key, nid))
         return pd.DataFrame(list(found), columns=names)
 
-    by = [*group, "_lb", "_rb"]
+    by = [*keys, "_lb", "_rb"]
     return lt.groupBy(*by).cogroup(rt.groupBy(*by)).applyInPandas(match, schema).distinct()
 
 
@@ -238,8 +240,8 @@ def nearest(
     ``keys=()`` searches across tenants. Rank starts at 1; ties go to the smaller id.
     """
     keys = list(keys)
-    queries = queries.select(*keys, query_id, vector).where(F.size(vector) > 0)
-    vectors = vectors.select(*keys, doc_id, vector).where(F.size(vector) > 0)
+    queries = queries.select(*keys, query_id, vector).where(F.size(vector) > 0).dropna(subset=[*keys, query_id])
+    vectors = vectors.select(*keys, doc_id, vector).where(F.size(vector) > 0).dropna(subset=[*keys, doc_id])
     schema = T.StructType(
         [T.StructField(n, vectors.schema[n].dataType) for n in keys]
         + [
@@ -288,14 +290,10 @@ def nearest(
 
         hits = vectors.mapInPandas(scan, schema)
     else:
-        one = [] if keys else ["_one"]
-        if one:
-            queries, vectors = queries.withColumn("_one", F.lit(1)), vectors.withColumn("_one", F.lit(1))
-        group = [*keys, *one]
         left, right = block_grid(
             queries,
             vectors,
-            group,
+            keys,
             query_id,
             doc_id,
             (F.lit(1), QUERY_BLOCK_ROWS),
@@ -309,7 +307,7 @@ def nearest(
             rows = _best_rows(qs[query_id].tolist(), _matrix(qs[vector]), vs[doc_id].to_numpy(), _matrix(vs[vector]), k)
             return pd.DataFrame([(*key, *r) for r in rows], columns=names)
 
-        by = [*group, "_lb", "_rb"]
+        by = [*keys, "_lb", "_rb"]
         hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(match, schema)
 
     order = Window.partitionBy(*keys, query_id).orderBy(F.desc("score"), F.asc(doc_id))

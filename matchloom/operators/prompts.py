@@ -204,10 +204,11 @@ def run_stage(
     repeated because an executor was lost.
     """
     asked = build_prompts(stage_rows(jobs, stage), prompts)
-    answered = asked.withColumn(f"out_{stage}", extract_output(generate(F.col("prompt"), F.col("stopSequences")))).drop(
-        "prompt", "stopSequences", "stage"
-    )
-    checked = answered.withColumn(
+    # the model is asked once per row, and its answers are kept before anything is checked
+    raw = asked.withColumn("_answer", generate(F.col("prompt"), F.col("stopSequences")))
+    raw = materialise(raw, f"stage-{stage}") if durable else settle(asked, _answer=generate(F.col("prompt"), F.col("stopSequences")))
+    out = settle(raw.drop("prompt", "stopSequences", "stage"), **{f"out_{stage}": extract_output(F.col("_answer"))}).drop("_answer")
+    return out.withColumn(
         f"out_{stage}",
         F.when(F.try_parse_json(f"out_{stage}").isNotNull(), F.col(f"out_{stage}")).otherwise(
             F.raise_error(
@@ -215,7 +216,6 @@ def run_stage(
             ).cast("string")
         ),
     )
-    return materialise(checked, f"stage-{stage}") if durable else checked
 
 
 def run_chain(

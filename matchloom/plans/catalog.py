@@ -721,9 +721,8 @@ def job_status(spark, sf):
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return (
         spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", 1)
-        .parquet(sf)
+        .parquet(f"{sf}/[e]vents.parquet")  # as a pattern, both a file and a folder are read
     )
 
 

@@ -43,7 +43,8 @@ def ingest_uploads(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         _column(df, "metadata", S.METADATA).alias("metadata"),
     )
     rejects = staged.where(F.col("reason").isNotNull()).drop("content")
-    return documents, rejects
+    # equal contents of a tenant and kind are one object
+    return documents.dropDuplicates(["key"]), rejects
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -67,7 +68,7 @@ def normalise_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pipeline inputs, rejects) from request rows.
 
     An explicit ``executionInput`` wins over the single columns; ``styleGuide`` wins over its key
-    columns; a missing job id is generated. Both documents need a key or a text.
+    columns; a missing job id is a hash of the request, the same in every pass. Both documents need a key or a text.
     """
     pointer = S.DOCUMENT_POINTER
 
@@ -103,10 +104,12 @@ def normalise_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         explicit("styleGuide", pointer),
     )
-    job_id = F.coalesce(X.nonempty(_column(df, "jobId", "string")), F.expr("uuid()"))
+    hashed = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    as_uuid = F.regexp_replace(hashed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    job_id = F.coalesce(X.nonempty(_column(df, "jobId", "string")), as_uuid)
     out = df.select(
         "tenantId",
-        chosen("jobId", "string", job_id).alias("jobId"),
+        F.coalesce(chosen("jobId", "string", job_id), job_id).alias("jobId"),
         chosen("jobDescription", pointer, by_key(_column(df, "jobDescriptionKey", "string"))).alias("jobDescription"),
         chosen("baseResume", pointer, by_key(_column(df, "baseResumeKey", "string"))).alias("baseResume"),
         chosen(
@@ -171,7 +174,11 @@ def resolve_documents(pointers: DataFrame, objects: DataFrame, pointer: str = "p
     by_key = (
         pointers.where(inline.isNull() & F.col(f"{pointer}.s3Key").isNotNull())
         .withColumn("_key", F.col(f"{pointer}.s3Key"))
-        .join(objects.select(F.col("key").alias("_key"), F.decode("content", "UTF-8").alias("text")), "_key", "left")
+        .join(
+            objects.dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.decode("content", "UTF-8").alias("text")),
+            "_key",
+            "left",
+        )
         .drop("_key")
     )
     nowhere = pointers.where(inline.isNull() & F.col(f"{pointer}.s3Key").isNull())

@@ -104,15 +104,17 @@ def current_job_status(jobs: DataFrame, status: DataFrame, raw: bool = False) ->
 
 
 def stuck_jobs(status: DataFrame, now: Column, limit: int = R.STUCK_AFTER_SECONDS) -> DataFrame:
-    """Jobs RUNNING for longer than the limit without a RESULT row."""
-    running = (
-        status.where((F.col("entityType") == "STATUS") & (F.col("status") == "RUNNING"))
-        .groupBy("tenantId", "jobId")
-        .agg(F.max("updatedAt").alias("updatedAt"))
-        .where(F.col("updatedAt") < now - limit)
+    """Jobs whose latest STATUS is RUNNING for longer than the limit and that have no RESULT row.
+
+    A later FAILED ends a job as a RESULT does. Both are found in one aggregate per job.
+    """
+    is_status = F.col("entityType") == "STATUS"
+    per_job = status.groupBy("tenantId", "jobId").agg(
+        F.max(F.when(is_status, F.struct("updatedAt", "status"))).alias("_last"),
+        F.max(F.col("entityType") == "RESULT").alias("_done"),
     )
-    done = status.where(F.col("entityType") == "RESULT").select("tenantId", "jobId").distinct()
-    return running.join(done, ["tenantId", "jobId"], "left_anti")
+    stuck = (F.col("_last.status") == "RUNNING") & (F.col("_last.updatedAt") < now - limit)
+    return per_job.where(~F.coalesce("_done", F.lit(False)) & stuck).select("tenantId", "jobId", F.col("_last.updatedAt").alias("updatedAt"))
 
 
 # --- artifacts ------------------------------------------------------------

@@ -92,3 +92,27 @@ def test_retrieve_context(spark):
     both = retrieval.retrieve_context(queries, vectors, None, cross_tenant=True).collect()
     assert {r.text for r in both} == {"Built ML pipeline", "Foreign", "Other"}
     assert retrieval.scan_feedback(feedback, "t", "job").count() == 2
+
+
+def test_both_plans_on_null_keys_and_large_ids(spark):
+    big = 1152921504606846977
+    texts = spark.createDataFrame([("a", 1, "x needle y"), (None, 2, "needle"), ("a", None, "needle")], "k string, text_id long, text string")
+    needles = spark.createDataFrame([("a", big, "needle"), (None, 11, "needle"), ("a", None, "x")], "k string, needle_id long, needle string")
+    for pairs, want in ((False, [("a", big)]), (True, [("a", 1, big)])):
+        for grid in (False, True):
+            got = matching.contained(texts, needles, ["k"], pairs=pairs, force_grid=grid).collect()
+            assert sorted(tuple(r) for r in got) == want
+
+
+def test_grid_of_one_table_and_without_keys(spark):
+    rows = [(t, i, [float(i % 7), float(i % 5), 1.0]) for i in range(60) for t in ("a", "b")]
+    df = spark.createDataFrame(rows, "tenantId string, id long, embedding array<double>")
+    for keys in (["tenantId"], []):
+        found = []
+        for grid in (False, True):
+            queries = df.where("id < 9 and tenantId = 'a'").withColumnRenamed("id", "query_id")
+            hits = matching.nearest(queries, df.withColumnRenamed("id", "doc_id"), 5, keys, force_grid=grid)
+            plan = hits._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+            found.append(sorted(map(tuple, hits.collect())))
+        assert found[0] == found[1]

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import slices
+from matchloom.llm.common import slices, small_batches
 from matchloom.session import shared_dir
 
 BLOCK_IDS = 1 << 16
@@ -208,7 +208,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, plane
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = small_batches(docs).select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(_write_shard(definition, end_id, plane), ROW_DDL).write.parquet(path)
 
 

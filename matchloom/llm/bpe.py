@@ -22,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces
+from matchloom.llm.common import encoded, pieces, small_batches
 
 #: Symbols read beyond the lookahead before stable tokens are emitted.
 READ_SYMBOLS = 256
@@ -258,6 +258,6 @@ def decode(ids: Column | str, tokenizer: str) -> Column:
 def round_trip(docs, tokenizer: str):
     """``doc_id``, ``n_tokens``, ``ids`` (binary) and ``decoded`` for every row; repeated rows and null doc_ids are kept,
     an empty table gives an empty result, other columns are not read."""
-    found = docs.select("doc_id", encode("text", tokenizer).alias("ids"))
+    found = small_batches(docs).select("doc_id", encode("text", tokenizer).alias("ids"))
     found = found.withColumn("decoded", decode("ids", tokenizer))
     return found.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")

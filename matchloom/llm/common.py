@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 PIECE_BYTES = 1 << 20
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 512
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 #: The words of the text operators, as a pattern for Java and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -44,6 +46,14 @@ def slices(batches, rows: int = SLICE_ROWS):
             yield batch.slice(at, rows)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Hand whole texts to Python in smaller Arrow batches than Spark's usual 10,000 rows, unless the session sets fewer."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name, "10000")) > BATCH_ROWS or int(conf.get(name, "10000")) <= 0:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def row_key(*columns: str) -> Column:
     """A key from the content of a row, never null; equal rows share it."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces
+from matchloom.llm.common import encoded, pieces, small_batches
 from matchloom.session import materialise
 
 #: Bounds of the fitted sample: rows of trusted positives and of unlabelled text.
@@ -199,7 +199,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored as empty texts. Without positive labels every score is 0.5. An empty table gives an
     empty result. Columns other than doc_id and text are not read.
     """
-    measured = materialise(docs.select("doc_id", features("text").alias("features")), "features")
+    measured = materialise(small_batches(docs).select("doc_id", features("text").alias("features")), "features")
     model = fit(measured, labels)
     scored = measured.select("doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold; all rows if there is nothing to learn from."""
-    model = fit(materialise(docs.select("doc_id", features("text").alias("features")), "features"), labels)
+    model = fit(materialise(small_batches(docs).select("doc_id", features("text").alias("features")), "features"), labels)
     if model is None:
         return docs
     score = score_column(model, "_features")

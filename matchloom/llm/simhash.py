@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces
+from matchloom.llm.common import encoded, pieces, small_batches
 from matchloom.llm.graph import components
 from matchloom.session import materialise
 
@@ -180,7 +180,7 @@ def near_duplicates(
     others. Repeated rows are all returned. Documents without words share fingerprint zero. A null doc_id keeps its
     row and names no component. An empty table gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle_words, seed).alias("fingerprint"))
+    rows = small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle_words, seed).alias("fingerprint"))
     rows = materialise(rows, "fingerprints")
     classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     linked = components(fingerprint_links(rows, "fingerprint", distance))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces, row_key, slices
+from matchloom.llm.common import encoded, pieces, row_key, slices, small_batches
 from matchloom.session import materialise
 
 #: Windows hashed at once within a document.
@@ -249,7 +249,7 @@ def remove_repeats(
     document or another; repeated rows are such other places. Windows are judged on the input. Null, blank and short
     texts keep all their words; a null text gives none. Columns of ``docs`` with one of the new names are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept")
+    docs = small_batches(docs).drop("n_words", "n_removed", "kept")
     keyed = docs.withColumn("_key", row_key(doc_id, text))
     marks = repeated_windows(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), window, anchor)
     joined = keyed.join(marks.select(F.col("key").alias("_key"), F.col("marks").alias("_marks")), "_key", "left")

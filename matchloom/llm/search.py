@@ -174,8 +174,8 @@ SAMPLE_ROWS, PARTS, NEIGHBOURS = 8192, 16, 16
 
 def neighbour_graph(rows: np.ndarray, k: int) -> np.ndarray:
     out = []
-    for at in range(0, len(rows), 1024):
-        s = rows[at : at + 1024] @ rows.T
+    for at in range(0, len(rows), 128):  # small, for it runs in the driver
+        s = rows[at : at + 128] @ rows.T
         s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
         out.append(np.argpartition(-s, min(k, len(rows) - 1) - 1, axis=1)[:, :k])
     return np.concatenate(out)

@@ -27,7 +27,7 @@ from matchloom.llm.common import encoded, pieces, small_batches
 #: Symbols read beyond the lookahead before stable tokens are emitted.
 READ_SYMBOLS = 256
 #: Chunks of text remembered by a worker, for each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -255,9 +255,25 @@ def decode(ids: Column | str, tokenizer: str) -> Column:
     return run(ids)
 
 
+def encode_decode(text: Column | str, tokenizer: str) -> Column:
+    """``ids`` and ``decoded`` of each whole text as one struct: ``encode``, then ``decode``, in one worker with one
+    copy of the tables."""
+    definition = _definition(tokenizer)
+
+    @pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tool = transducer(definition)
+        for texts in batches:
+            ids = [tool.encode(t) for t in texts]
+            columns = {"ids": ids, "decoded": [tool.decode(i) for i in ids]}
+            yield pd.DataFrame({name: pd.Series(c, dtype=object) for name, c in columns.items()})
+
+    return run(text)
+
+
 def round_trip(docs, tokenizer: str):
     """``doc_id``, ``n_tokens``, ``ids`` (binary) and ``decoded`` for every row; repeated rows and null doc_ids are kept,
     an empty table gives an empty result, other columns are not read."""
-    found = small_batches(docs).select("doc_id", encode("text", tokenizer).alias("ids"))
-    found = found.withColumn("decoded", decode("ids", tokenizer))
+    found = small_batches(docs).select("doc_id", encode_decode("text", tokenizer).alias("_found"))
+    found = found.select("doc_id", F.col("_found.ids").alias("ids"), F.col("_found.decoded").alias("decoded"))
     return found.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")

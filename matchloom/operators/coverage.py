@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom import rules as R
 from matchloom.functions import text as X
 from matchloom.functions.rows import explode_rows, settle
 from matchloom.operators.matching import contained
@@ -181,9 +180,10 @@ def job_evidence(job: Column | str) -> Column:
     return F.array_compact(F.concat(fields, jd_targets(job), _list(job["keywords"])))
 
 
-def bullet_needle(bullet: Column) -> Column:
-    """What must occur in the evidence: the lower-cased start of the bullet (80 characters, by definition)."""
-    return F.left(F.lower(bullet), F.lit(R.EVIDENCE_CHARS))
+def bullet_needle(bullet: Column, chars: int | None = None) -> Column:
+    """What must occur in the evidence: the lower-cased bullet, or only its first ``chars`` characters
+    (``rules.EVIDENCE_CHARS`` to match reports made with that limit)."""
+    return F.lower(bullet) if chars is None else F.left(F.lower(bullet), F.lit(chars))
 
 
 def evidence_text(job: Column | str, chunk_texts: Column) -> Column:
@@ -191,9 +191,9 @@ def evidence_text(job: Column | str, chunk_texts: Column) -> Column:
     return F.lower(X.joined(F.concat(_list(chunk_texts), job_evidence(job))))
 
 
-def unsupported_bullets(bullets: str, evidence: str) -> Column:
+def unsupported_bullets(bullets: str, evidence: str, chars: int | None = None) -> Column:
     """Row form: achievements found nowhere in the evidence (names of settled columns)."""
-    return F.filter(F.col(bullets), lambda b: ~F.contains(F.col(evidence), bullet_needle(b)))
+    return F.filter(F.col(bullets), lambda b: ~F.contains(F.col(evidence), bullet_needle(b, chars)))
 
 
 def unsupported(
@@ -203,9 +203,10 @@ def unsupported(
     bullet_id: str = "bullet_id",
     text_id: str = "text_id",
     force_grid: bool = False,
+    chars: int | None = None,
 ) -> DataFrame:
     """Corpus form: bullets (keys, bullet_id, text) found in no evidence text of their key."""
-    needles = bullets.select(*keys, F.col(bullet_id).alias("needle_id"), bullet_needle(F.col("text")).alias("needle"))
+    needles = bullets.select(*keys, F.col(bullet_id).alias("needle_id"), bullet_needle(F.col("text"), chars).alias("needle"))
     bodies = evidence.select(*keys, F.col(text_id).alias("text_id"), F.lower("text").alias("text"))
     found = contained(bodies, needles, keys, force_grid=force_grid).withColumnRenamed("needle_id", bullet_id)
     return bullets.join(found, [*keys, bullet_id], "left_anti")

@@ -38,12 +38,13 @@ def first_regex_match(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 
 def parse_job_descriptions(
-    df: DataFrame, text: str = "text", metadata: str | None = "metadata", out: str = "job"
+    df: DataFrame, text: str = "text", metadata: str | None = "metadata", out: str = "job", summary_chars: int | None = None
 ) -> DataFrame:
     """Add the canonical job description of ``text`` as struct column ``out``.
 
     The struct is built from plain fields, so a query that reads some of them does not pay for the
-    others. A null text gives null fields.
+    others. A null text gives null fields. The summary is whole unless ``summary_chars`` limits it
+    (``rules.JD_SUMMARY_CHARS`` to match documents made with that limit).
     """
     staged = settle(df, _lines=X.line_text(text))
     staged = settle(staged, _marked=X.mark_sections("_lines", R.JD_HEADINGS))
@@ -63,7 +64,7 @@ def parse_job_descriptions(
             F.coalesce(_meta(metadata, "location"), F.lit(R.UNKNOWN)).alias("location"),
             F.coalesce(_meta(metadata, "source"), F.lit(R.DEFAULT_SOURCE)).alias("source"),
         ).alias("meta"),
-        F.substring(summary, 1, R.JD_SUMMARY_CHARS).alias("summary"),
+        (summary if summary_chars is None else F.substring(summary, 1, summary_chars)).alias("summary"),
         X.section_lines("_marked", "responsibilities", R.JD_HEADINGS).alias("responsibilities"),
         X.section_lines("_marked", "requirements", R.JD_HEADINGS).alias("requirements"),
         F.when(F.size("_skills") > 0, F.col("_skills"))

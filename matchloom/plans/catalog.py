@@ -262,7 +262,7 @@ def knn_cross_tenant(spark, sf):
 
 
 def _feedback(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type") == "signup")
+    e = table(spark, sf, "events")
     job = F.concat(F.lit("j"), "user_id")
     return e.select(
         F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenantId"),
@@ -328,7 +328,7 @@ def substring_items(spark, sf):
 def chunk_coverage(spark, sf):
     chunks = F.array(F.array_join("resume.skills", " "), F.col("resume.summary"))
     scored = C.add_chunk_coverage(jobs(spark, sf), chunks)
-    return scored.select(*KEYS, "coverage.requirements", "coverage.responsibilities", "coverage.skills")
+    return scored.select(*KEYS, "coverage.requirements", "coverage.responsibilities", "coverage.skills", "coverage.mean")
 
 
 def _turns(spark, sf):
@@ -826,3 +826,101 @@ def resume_diff(spark, sf):
     )
     changes = delta.resume_diff(base, tailored, KEYS)
     return changes.select(*KEYS, "section", "slot", "action", F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+# --- redaction, style packages, vectors, model answers --------------------
+
+@query
+def redact_fields(spark, sf):
+    redacted = redaction.redact_jobs(jobs(spark, sf), enabled=F.col("k") % 2 == 0)
+    return redacted.select(*KEYS, F.col("resume.summary").alias("resume_summary"), F.col("job.summary").alias("job_summary"))
+
+
+@query
+def package_style(spark, sf):
+    k = F.col("k")
+    profile = F.when(k % 2 == 0, F.struct(F.lit("dash").alias("bulletStyle")))
+    sample = F.struct(
+        F.struct(F.element_at("metadata", "role").alias("role")).alias("meta"),
+        F.when(k % 6 != 0, F.concat(F.lit("guide "), k)).alias("rawText"),
+    )
+    pointer = F.struct(
+        F.concat(F.lit("style/"), k).alias("s3Key"), F.col("metadata"), F.lit("styleGuide").alias("documentType")
+    )
+    rows = resume_corpus(spark, sf).select(
+        *KEYS,
+        profile.alias("profile"),
+        F.when(k % 3 == 0, sample).alias("sample"),
+        F.when(k % 5 != 0, pointer).alias("pointer"),
+    )
+    packed = rows.select(*KEYS, style.package_style("profile", "sample", "pointer").alias("p"))
+    empty = F.lit("")
+    return packed.select(
+        *KEYS,
+        F.col("p").isNotNull().alias("packaged"),
+        F.coalesce("p.profile.bulletStyle", empty).alias("bullet_style"),
+        F.coalesce("p.sample.meta.role", empty).alias("sample_role"),
+        F.coalesce("p.sample.rawText", empty).alias("sample_text"),
+        F.coalesce("p.source.s3Key", empty).alias("source_key"),
+    )
+
+
+@query
+def empty_resumes(spark, sf):
+    rows = _generated(spark, sf).withColumn("resume", F.when(F.col("k") % 3 != 0, F.col("resume")))
+    checked = validation.validate_resumes(rows).select(*KEYS, "status", F.explode("issues.code").alias("code"))
+    return checked.where("code = 'EMPTY_RESUME'")
+
+
+@query
+def embed_texts(spark, sf):
+    """Vectors by a column function in the place of a model: length and blanks of a text."""
+    def model(text):
+        blanks = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+        return F.array(F.length(text), blanks).cast("array<float>")
+
+    rows = embedding.embed(embedding.build_queries(jobs(spark, sf)), model, drop_empty=True)
+    part = F.col("embedding")
+    return rows.select(*KEYS, "query_no", part[0].cast("int").alias("n_chars"), part[1].cast("int").alias("blanks"))
+
+
+@query
+def upsert_vectors(spark, sf):
+    """Every vector once, then every second one again; read back as the latest of each."""
+    path = shared_dir(spark, "vectors")
+    rows = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("t"), F.col("vec_id") % 3).alias("tenantId"),
+        F.concat(F.lit("d"), "vec_id").alias("id"),
+        F.lit("first").alias("text"),
+        "embedding",
+        "vec_id",
+    )
+    again = rows.where("vec_id % 2 = 0").withColumn("text", F.lit("second"))
+    tables.upsert_vectors(rows.drop("vec_id"), path, F.lit(1).cast("long"))
+    tables.upsert_vectors(again.drop("vec_id"), path, F.lit(2).cast("long"))
+    return tables.vectors(spark, path).select("tenantId", "id", "text", "version")
+
+
+@query
+def generation_result(spark, sf):
+    """Final answers of a batch: the good ones as results, the others as rejects."""
+    k = F.col("k")
+    entry = F.lit(', "changeLog": [{"type": "bullet", "detail": "d", "rationale": "r"}]')
+    answer = F.concat(
+        F.lit('{"tailoredResume": {"summary": "Resume '), k, F.lit('"}'),
+        F.when(k % 3 == 0, entry).otherwise(""),
+        F.lit(', "coverLetter": {"body": "Letter '), k, F.lit('"}}'),
+    )
+    rows = resume_corpus(spark, sf).select(*KEYS, "k", F.when(k % 10 == 0, "no answer").otherwise(answer).alias("raw"))
+    good, bad = prompts.parse_model_json(rows, S.GENERATION)
+    done = prompts.generation_result(good, include_cover=k % 2 == 0).select(
+        *KEYS,
+        "tailoredResume.summary",
+        F.size("changeLog").alias("changes"),
+        F.coalesce("coverLetter.body", F.lit("")).alias("letter"),
+        F.lit("ok").alias("outcome"),
+    )
+    empty = F.lit("")
+    return done.unionByName(
+        bad.select(*KEYS, empty.alias("summary"), F.lit(0).alias("changes"), empty.alias("letter"), F.lit("reject").alias("outcome"))
+    )

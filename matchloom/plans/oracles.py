@@ -336,7 +336,7 @@ p AS (SELECT q."tenantId", q."jobId", q.query_no, v.id, v.text, {_COS} AS s FROM
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "tenantId", "jobId", query_no ORDER BY s DESC, id) AS rank FROM p) WHERE rank <= 10),
 f AS (
   SELECT 't' || (user_id % 3) AS "tenantId", 'j' || user_id AS "jobId", 'j' || user_id || '#' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS id,
-         event_type || ' ' || (event_id % 4) AS text, value / 100.0 AS s FROM events WHERE event_type = 'signup'),
+         event_type || ' ' || (event_id % 4) AS text, value / 100.0 AS s FROM events),
 c AS (
   SELECT "tenantId", "jobId", text, s, 'q' || lpad(CAST(query_no AS VARCHAR), 10, '0') || '#' || lpad(CAST(rank AS VARCHAR), 10, '0') AS arrival, id FROM h
   UNION ALL SELECT f."tenantId", f."jobId", text, s, 'r#' || id, id FROM f
@@ -350,7 +350,7 @@ SELECT "tenantId", "jobId", CAST(chunk_no AS INTEGER) AS chunk_no, id, text FROM
 
 ORACLES["feedback_prefix"] = """
 SELECT 't' || (user_id % 3) AS "tenantId", 'j' || user_id AS "jobId", count(*) AS items, max(value / 100.0) AS best
-FROM events WHERE event_type = 'signup' GROUP BY ALL
+FROM events GROUP BY ALL
 """
 
 # --- coverage -------------------------------------------------------------
@@ -373,8 +373,9 @@ it AS (
   UNION ALL SELECT pk, 'responsibilities', unnest(responsibilities) FROM jds UNION ALL SELECT pk, 'skills', unnest(skills) FROM jds),
 h AS (SELECT k, kind, round(count(*) FILTER (contains(a, lower(item)) OR contains(z, lower(item)))::DOUBLE / count(*), 3) AS s
       FROM ch JOIN it ON ch.c = it.pk GROUP BY ALL)
-SELECT "tenantId", "jobId", max(s) FILTER (kind = 'requirements') AS requirements, max(s) FILTER (kind = 'responsibilities') AS responsibilities,
-       max(s) FILTER (kind = 'skills') AS skills FROM h JOIN b USING (k) GROUP BY ALL
+SELECT *, round((requirements + responsibilities + skills) / 3, 3) AS mean FROM (
+  SELECT "tenantId", "jobId", max(s) FILTER (kind = 'requirements') AS requirements, max(s) FILTER (kind = 'responsibilities') AS responsibilities,
+         max(s) FILTER (kind = 'skills') AS skills FROM h JOIN b USING (k) GROUP BY ALL)
 """
 
 _TURNS = f"""
@@ -406,7 +407,7 @@ SELECT conv_id, count(*) AS total, count(*) FILTER (covered) AS hits, {_score("c
 
 ORACLES["unsupported"] = """
 SELECT item_id, text FROM benchmark b
-WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), left(lower(b.text), 80)))
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(b.text)))
 """
 
 ORACLES["banned_claims"] = """
@@ -745,3 +746,50 @@ FROM o FULL OUTER JOIN t USING ("tenantId", "jobId", k, skill_pos) WHERE o.skill
 UNION ALL SELECT "tenantId", "jobId", 'summary', '0', 'update', 'short' FROM b WHERE k % 5 = 0
 UNION ALL SELECT "tenantId", "jobId", 'education', '1', 'remove', '' FROM b WHERE k % 4 = 0
 """
+
+# --- redaction, style packages, vectors, model answers --------------------
+
+def _redacted(expr: str) -> str:
+    return f"regexp_replace(regexp_replace({expr}, '{_EMAIL}', '[REDACTED]', 'g'), '{_PHONE}', '[REDACTED]', 'g')"
+
+
+ORACLES["redact_fields"] = f"""
+WITH {_RESUME}, {_JD}
+SELECT "tenantId", "jobId", CASE WHEN k % 2 = 0 THEN {_redacted("s.summary")} ELSE s.summary END AS resume_summary,
+       CASE WHEN k % 2 = 0 THEN {_redacted("jds.summary")} ELSE jds.summary END AS job_summary
+FROM summaries s JOIN jds ON s.c = jds.pk
+"""
+
+ORACLES["package_style"] = f"""
+WITH {_RESUME}
+SELECT "tenantId", "jobId", k % 2 = 0 OR k % 3 = 0 AS packaged, CASE WHEN k % 2 = 0 THEN 'dash' ELSE '' END AS bullet_style,
+       CASE WHEN k % 3 = 0 THEN pr || ' buyer' ELSE '' END AS sample_role,
+       CASE WHEN k % 3 = 0 AND k % 6 <> 0 THEN 'guide ' || k ELSE '' END AS sample_text,
+       CASE WHEN (k % 2 = 0 OR k % 3 = 0) AND k % 5 <> 0 THEN 'style/' || k ELSE '' END AS source_key
+FROM b
+"""
+
+ORACLES["empty_resumes"] = f"""
+WITH {_RESUME}
+SELECT "tenantId", "jobId", 'FAILED' AS status, 'EMPTY_RESUME' AS code FROM b WHERE k % 3 = 0
+"""
+
+ORACLES["embed_texts"] = f"""
+SELECT "tenantId", "jobId", query_no, CAST(length(text) AS INTEGER) AS n_chars,
+       CAST(length(text) - length(replace(text, ' ', '')) AS INTEGER) AS blanks
+FROM ({ORACLES["query_texts"]}) WHERE text <> ''
+"""
+
+ORACLES["upsert_vectors"] = """
+SELECT 't' || (vec_id % 3) AS "tenantId", 'd' || vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'second' ELSE 'first' END AS text,
+       CAST(CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM embeddings
+"""
+
+ORACLES["generation_result"] = f"""
+WITH {_RESUME}
+SELECT "tenantId", "jobId", CASE WHEN k % 10 = 0 THEN '' ELSE 'Resume ' || k END AS summary,
+       CAST(CASE WHEN k % 10 <> 0 AND k % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS changes,
+       CASE WHEN k % 10 <> 0 AND k % 2 = 0 THEN 'Letter ' || k ELSE '' END AS letter,
+       CASE WHEN k % 10 = 0 THEN 'reject' ELSE 'ok' END AS outcome
+FROM b
+"""

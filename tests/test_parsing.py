@@ -31,7 +31,10 @@ def test_job_title_sources(spark):
     assert job(spark, text, {"role": "Chief"})["meta"]["title"] == "Chief"
     assert job(spark, "role:\nx", {"title": "T"})["meta"]["title"] == "T"
     assert job(spark, text)["skills"] == ["SQL"]
-    assert len(job(spark, "word " * 1000)["summary"]) == 2000
+    assert len(job(spark, "word " * 1000)["summary"]) == 4999  # whole, less the last blank
+    df = spark.createDataFrame([("word " * 1000,)], "text string")
+    short = parsing.parse_job_descriptions(df, metadata=None, summary_chars=2000).first()["job"]
+    assert len(short["summary"]) == 2000
 
 
 def test_headings_are_lines_with_a_cue(spark):

@@ -6,6 +6,9 @@ Manhattan distance 4 or less agree in at least 4 of them, whichever these are. S
 grid cell for every choice of 4 groups, points of one cell are compared by Manhattan distance, and the rest is
 verified on the fingerprints. In a cell only a spanning forest of the links is kept: a group of n near copies yields
 at most n - 1 links per cell, never all pairs, and no link between different groups is lost.
+
+``similar_documents`` links by similarity of the texts instead, where dozens of bits may differ: its fingerprints have 256
+bits, and its grids take segments at random, as many grids as the share of pairs that must meet asks for.
 """
 
 from __future__ import annotations
@@ -195,10 +198,206 @@ def near_duplicates(
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The columns of ``docs`` for one document of each near-duplicate group: the one with the smallest doc_id, among
     repeated doc_ids the one whose text hashes least. Documents with a null doc_id are groups of their own."""
-    found = near_duplicates(docs, distance=distance)
+    return _firsts(docs, near_duplicates(docs, distance=distance))
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     chosen = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     # the join has dealt the rows out by doc_id already
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     first = chosen.withColumn("_kept", F.row_number().over(order)).where("_kept = 1").drop("_kept")
     return first.unionByName(docs.where("doc_id is null"))
+
+
+#: Width of the fingerprints that estimate similarity, as 64-bit words.
+WIDE = 4
+#: Fingerprints of a cell that one group compares with each other or with as many others.
+BLOCK = 8_000
+#: Share of the pairs at the similarity asked for that must meet in a cell, and unrelated fingerprints a cell may hold.
+RECALL, UNRELATED = 0.99, 1_000
+_WORDS = [f"f{i}" for i in range(WIDE)]
+_MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & _ALL) for i in range(WIDE)]
+
+
+def _wide(text: str | None, words_each: int, seed: int) -> list[int]:
+    """Fingerprint of the set of shingles; bits set in exactly half of them are 0 and 1 by turns."""
+    found, tail, digest = [], [], xxhash.xxh64_intdigest
+    for piece in pieces(encoded(text).lower()):
+        words = tail + piece.split()
+        if len(words) < words_each:
+            tail = words
+            continue
+        joined = b" ".join(words)
+        starts = [0, *accumulate(len(w) + 1 for w in words)]
+        ends = starts[words_each:]
+        found.append(np.fromiter([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends)], np.uint64, len(ends)))
+        tail = words[len(words) - words_each + 1 :]
+    if not found:
+        if not tail:
+            return [0] * WIDE
+        found = [np.array([digest(b" ".join(tail), seed)], dtype=np.uint64)]
+    hashes = np.unique(np.concatenate(found))
+    counts = np.zeros(BITS * WIDE, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        some = hashes[at : at + (1 << 14)]
+        x = np.stack([some + m for m in _MIX], axis=1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    ties = np.arange(len(counts)) % 2
+    return np.packbits(2 * counts + ties > len(hashes)).view(np.int64).tolist()
+
+
+def wide_fingerprint(text: Column | str, shingle_words: int = 5, seed: int = 42) -> Column:
+    """Fingerprint of 256 bits of the set of a text's shingles, as array<long>; zero for a text without words."""
+
+    @pandas_udf("array<long>")
+    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_wide(t, shingle_words, seed) for t in texts], dtype=object)
+
+    return compute(text)
+
+
+def _angle(similarity: float) -> float:
+    """Share of differing bits expected of two equally large sets of that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_distance(similarity: float) -> int:
+    """Differing bits up to which fingerprints count as similar: those expected, and one standard error."""
+    p, bits = _angle(similarity), BITS * WIDE
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def grid_size(count: int, similarity: float) -> tuple[int, int]:
+    """Coordinates of a cell, by the number of fingerprints, and grids needed for ``RECALL`` at the similarity."""
+    coordinates = max(14, int(np.ceil(np.log2(max(count, 1) / UNRELATED))))
+    agree = 1 - _angle(similarity)
+    return coordinates, int(np.ceil(np.log(1 - RECALL) / np.log1p(-(agree**coordinates))))
+
+
+def _wide_cells(coordinates: int, grids: int) -> Column:
+    rng = np.random.default_rng(5)
+    keys = []
+    for grid in range(grids):
+        masks = [0] * WIDE
+        for c in rng.choice(WIDE * BITS, coordinates, replace=False).tolist():
+            masks[c // BITS] |= 1 << (c % BITS)
+        parts = [F.col(_WORDS[i]).bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(masks) if m]
+        keys.append(F.xxhash64(F.lit(grid), *parts))
+    return F.array(*keys)
+
+
+def _wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forest of the links of a cell, compared in strips."""
+    points, labels, links = _points(fps), np.arange(len(nodes)), []
+    for at in range(0, len(nodes) - 1, 64):
+        strip = slice(at, at + 64)
+        apart = np.zeros((len(points[strip]), len(nodes) - at), dtype=np.uint16)
+        for w in range(WIDE):
+            apart += np.bitwise_count(points[strip, w, None] ^ points[None, at:, w])
+        near = apart <= distance  # the Manhattan bound
+        for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+            close = np.flatnonzero(near[i]) + at
+            close = close[np.bitwise_count(fps[close] ^ fps[at + i]).sum(axis=1, dtype=np.int64) <= distance]
+            groups, first = np.unique(labels[close], return_index=True)
+            if len(groups) > 1:
+                others = close[first[groups != labels[at + i]]]
+                links.append((np.full(len(others), nodes[at + i]), nodes[others]))
+                labels[np.isin(labels, groups)] = labels[at + i]
+    return links
+
+
+def _link_wide(distance: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        held_cell, held = None, []  # the cell that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fps = np.stack([batch.column(2 + w).to_numpy().view(np.uint64) for w in range(WIDE)], axis=1)
+            bounds = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            links = []
+            for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(cell)]):
+                if cell[a] != held_cell:
+                    links += close(held)
+                    held_cell, held = cell[a], []
+                held.append((nodes[a:b], fps[a:b]))
+            if links:
+                yield out(links)
+        if links := close(held):
+            yield out(links)
+
+    def close(held):
+        if sum(len(n) for n, _ in held) < 2:
+            return []
+        nodes, fps = held[0] if len(held) == 1 else map(np.concatenate, zip(*held))
+        return _wide_forest(nodes, fps, distance)
+
+    def out(links):
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*links)], schema=schema)
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links ``a``, ``b`` between the nodes of ``nodes`` (``node`` and the words ``f0`` to ``f3``, distinct) within
+    ``wide_distance(similarity)``; a spanning forest of each grid cell, bounded by the Manhattan distance of two-bit
+    counts before it is verified.
+
+    Each grid takes some segments of one bit, whose count is the bit, as these part unrelated fingerprints best; a cell
+    holds the fingerprints that agree in all of them. The number of grids follows from the share of pairs that must
+    meet. A cell of more than ``BLOCK`` fingerprints is cut into blocks, and every two blocks are one group, so that no
+    task holds the cell and none of its links is lost.
+    """
+    coordinates, grids = grid_size(nodes.count(), similarity)
+    dealt = nodes.select(F.explode(_wide_cells(coordinates, grids)).alias("cell"), "node", *_WORDS)
+    hot = dealt.groupBy("cell").count().where(F.col("count") > BLOCK)
+    hot = materialise(hot.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot_cells")
+    dealt = dealt.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != own) | (F.col("blocks") == 1))
+    dealt = dealt.select("cell", own.alias("own"), "blocks", F.explode(others).alias("other"), "node", *_WORDS)
+    group = F.when(F.col("blocks") == 1, F.col("cell")).otherwise(
+        F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    )
+    parted = dealt.select(group.alias("cell"), "node", *_WORDS).repartition("cell").sortWithinPartitions("cell")
+    return parted.mapInArrow(_link_wide(wide_distance(similarity)), "a long, b long").distinct()
+
+
+def similar_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5, seed: int = 42
+) -> DataFrame:
+    """``doc_id``, ``component_id`` (smallest doc_id reachable) for every document whose doc_id is not null.
+
+    Documents link if the similarity of their shingle sets, as fingerprints of 256 bits estimate it, reaches
+    ``similarity`` but for one standard error (6 bits). Equal shingle sets always link; documents without words are one
+    group. A repeated doc_id is one node. An empty table gives an empty result. Other columns are not read.
+    """
+    rows = small_batches(docs).where(F.col(doc_id).isNotNull())
+    rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), wide_fingerprint(F.col(text), shingle_words, seed).alias("f"))
+    rows = rows.select("doc_id", *[F.col("f")[i].alias(w) for i, w in enumerate(_WORDS)])
+    rows = materialise(rows, "wide_fingerprints")
+    nodes = materialise(rows.groupBy(*_WORDS).agg(F.min("doc_id").alias("node")), "nodes")
+    named = components(similar_links(nodes, similarity).union(_repeated(rows, nodes)))
+    owners = rows.join(nodes, _WORDS).select("doc_id", "node").distinct()
+    found = owners.join(named, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _repeated(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of doc_ids that occur with different fingerprints."""
+    several = rows.distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return rows.join(several, "doc_id").join(nodes, _WORDS).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
+def keep_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+    """The columns of ``docs`` for one document of each group of similar documents (``similar_documents``): the one with
+    the smallest doc_id, among repeated doc_ids the one whose text hashes least. Documents with a null doc_id are groups
+    of their own."""
+    return _firsts(docs, similar_documents(docs, similarity=similarity, shingle_words=shingle_words))

@@ -92,6 +92,62 @@ def test_near_duplicates(spark, rows):
     assert kept == [*sorted({c for d, _, c in got if d is not None}), None]
 
 
+def _similar_rows():
+    """Twelve unrelated texts, each with copies of known word edits, and rows the operator must bear."""
+    rnd = random.Random(3)
+    rows, doc = [], 0
+    for base in range(12):
+        words = [f"w{rnd.randint(0, 4000)}" for _ in range(300)]
+        for edits in (0, 0, 2, 5, 60):
+            changed = list(words)
+            for at in rnd.sample(range(300), edits):
+                changed[at] = f"new{rnd.randint(0, 9999)}"
+            rows.append((100 * base + edits + (1 if doc % 5 == 1 else 0), " ".join(changed)))
+            doc += 1
+    return rows + [(5000, None), (5001, ""), (5002, "one two"), (None, rows[0][1]), (5002, rows[5][1])]
+
+
+def _jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_against_exact_similarity(spark):
+    rows = _similar_rows()
+    got = dict(simhash.similar_documents(frame(spark, rows)).collect())
+    assert set(got) == {d for d, _ in rows if d is not None}
+    assert got[5000] == got[5001] == 5000 and got[5002] == 100
+    plain = [(d, t) for d, t in rows if d is not None and d < 5000]
+    for i, (d, t) in enumerate(plain):
+        for e, u in plain[:i]:
+            f, g = (np.array(simhash._wide(x, 5, 42)).view(np.uint64) for x in (t, u))
+            bits = int(np.bitwise_count(f ^ g).sum(dtype=np.int64))
+            if bits <= simhash.wide_distance(0.8) or _jaccard(t, u) >= 0.9:
+                assert got[d] == got[e], (d, e, bits)
+            if _jaccard(t, u) < 0.5:
+                assert got[d] != got[e], (d, e)
+    kept = [r.doc_id for r in simhash.keep_similar(frame(spark, rows)).collect()]
+    assert sorted(kept, key=lambda d: (d is None, d)) == sorted(set(got.values())) + [None]
+    empty = frame(spark, rows).where("false")
+    assert simhash.similar_documents(empty).count() == 0 and simhash.keep_similar(empty).count() == 0
+
+
+def test_similar_links_of_crowded_cells(spark, monkeypatch):
+    rows = [(d, t) for d, t in _similar_rows() if d is not None]
+    whole = dict(simhash.similar_documents(frame(spark, rows)).collect())
+    monkeypatch.setattr(simhash, "BLOCK", 1)
+    assert dict(simhash.similar_documents(frame(spark, rows)).collect()) == whole
+
+
+def test_wide_fingerprint_is_the_majority_of_distinct_shingles():
+    text = "A b c d e f g h " * 3
+    assert simhash._wide(text, 5, 42) == simhash._wide("a b c d e f g h a b c d", 5, 42)
+    assert simhash._wide(None, 5, 42) == simhash._wide(" ", 5, 42) == [0] * simhash.WIDE
+    assert simhash._wide("one two", 5, 42) != simhash._wide("one", 5, 42)
+    assert simhash.wide_distance(0.8) == 44 and simhash.wide_distance(1.0) == 0
+    assert simhash.grid_size(10, 0.8)[0] == 14 < simhash.grid_size(10**9, 0.8)[0]
+
+
 def test_dense_groups_give_no_pairs(spark):
     centre, rnd = 0x0123456789ABCDEF, random.Random(2)
     fps = {centre ^ sum(1 << b for b in rnd.sample(range(20), 2)) for _ in range(400)}

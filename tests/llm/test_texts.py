@@ -67,6 +67,29 @@ def test_repeats(spark, rows, places, monkeypatch):
     assert substring.remove_repeats(df.where("doc_id < 0")).count() == 0
 
 
+def test_marks_of_a_shared_passage_grow_with_its_documents(spark, monkeypatch):
+    rnd = random.Random(8)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    shared, counts = say(120), []
+    made = substring._compared
+    monkeypatch.setattr(substring, "materialise", lambda df, name: df)
+    for n in (100, 400):
+        sizes = []
+
+        def counted(places):
+            out = made(places).cache()
+            sizes.append((places.count(), out.where("not again").count()))
+            return out
+
+        monkeypatch.setattr(substring, "_compared", counted)
+        df = spark.createDataFrame([(i, f"{say(20)} {shared} {say(20)}") for i in range(n)], "key long, text string")
+        assert substring.repeated_windows(df).count() == n
+        places, marks = sizes[0]
+        assert marks <= places
+        counts.append(marks)
+    assert counts[1] <= 4.2 * counts[0]
+
+
 def brute_components(rows):
     fps = []
     for _, t in rows:

@@ -8,13 +8,15 @@ verified on the fingerprints. In a cell only a spanning forest of the links is k
 at most n - 1 links per cell, never all pairs, and no link between different groups is lost.
 
 ``similar_documents`` links by similarity of the texts instead, where dozens of bits may differ: its fingerprints have 256
-bits, and its grids take segments at random, as many grids as the share of pairs that must meet asks for.
+bits, and its grids take segments at random, as many grids as the share of pairs that must meet asks for. There the
+fingerprints only find families of candidates; within a family the sets of shingles themselves decide about each link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces, small_batches
+from matchloom.llm.common import encoded, pieces, slices, small_batches
 from matchloom.llm.graph import components
 from matchloom.session import materialise
 
@@ -214,14 +216,16 @@ def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
 WIDE = 4
 #: Fingerprints of a cell that one group compares with each other or with as many others.
 BLOCK = 8_000
+#: Shingles of a family that one group compares with each other or with as many others.
+SHINGLES = 1_000_000
 #: Share of the pairs at the similarity asked for that must meet in a cell, and unrelated fingerprints a cell may hold.
 RECALL, UNRELATED = 0.99, 1_000
 _WORDS = [f"f{i}" for i in range(WIDE)]
 _MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & _ALL) for i in range(WIDE)]
 
 
-def _wide(text: str | None, words_each: int, seed: int) -> list[int]:
-    """Fingerprint of the set of shingles; bits set in exactly half of them are 0 and 1 by turns."""
+def _shingles(text: str | None, words_each: int, seed: int) -> np.ndarray:
+    """Sorted hashes of the set of shingles; a text of fewer words has its word sequence as the only one."""
     found, tail, digest = [], [], xxhash.xxh64_intdigest
     for piece in pieces(encoded(text).lower()):
         words = tail + piece.split()
@@ -234,10 +238,18 @@ def _wide(text: str | None, words_each: int, seed: int) -> list[int]:
         found.append(np.fromiter([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends)], np.uint64, len(ends)))
         tail = words[len(words) - words_each + 1 :]
     if not found:
-        if not tail:
-            return [0] * WIDE
-        found = [np.array([digest(b" ".join(tail), seed)], dtype=np.uint64)]
-    hashes = np.unique(np.concatenate(found))
+        return np.array([digest(b" ".join(tail), seed)] if tail else [], dtype=np.uint64)
+    return np.unique(np.concatenate(found))
+
+
+def _wide(text: str | None, words_each: int, seed: int) -> list[int]:
+    """Fingerprint of the set of shingles; bits set in exactly half of them are 0 and 1 by turns."""
+    return _majority(_shingles(text, words_each, seed))
+
+
+def _majority(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return [0] * WIDE
     counts = np.zeros(BITS * WIDE, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         some = hashes[at : at + (1 << 14)]
@@ -251,16 +263,32 @@ def _wide(text: str | None, words_each: int, seed: int) -> list[int]:
 
 
 def wide_fingerprint(text: Column | str, shingle_words: int = 5, seed: int = 42) -> Column:
-    """Fingerprint of 256 bits of the set of a text's shingles, as array<long>; zero for a text without words."""
+    """As array<long>: fingerprint of 256 bits of the set of a text's shingles, zero for a text without words, and
+    behind it a hash that names the set."""
 
     @pandas_udf("array<long>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([_wide(t, shingle_words, seed) for t in texts], dtype=object)
+            sets = (_shingles(t, shingle_words, seed) for t in texts)
+            yield pd.Series([[*_majority(h), _name(h)] for h in sets], dtype=object)
 
     return compute(text)
 
 
+def _name(hashes: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
+
+
+def _shingle_sets(shingle_words: int, seed: int):
+    @pandas_udf("set long, n long, shingles binary")
+    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = (_shingles(t, shingle_words, seed) for t in texts)
+            yield pd.DataFrame([(_name(h), len(h), h.tobytes()) for h in sets], columns=["set", "n", "shingles"])
+
+    return compute
+
+
 def _angle(similarity: float) -> float:
     """Share of differing bits expected of two equally large sets of that Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -272,11 +300,27 @@ def wide_distance(similarity: float) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
+def candidate_distance(similarity: float) -> int:
+    """Differing bits up to which fingerprints are candidates: those expected, and four standard errors."""
+    p, bits = _angle(similarity), BITS * WIDE
+    return int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
+
+
 def grid_size(count: int, similarity: float) -> tuple[int, int]:
-    """Coordinates of a cell, by the number of fingerprints, and grids needed for ``RECALL`` at the similarity."""
+    """Coordinates of a cell, by the number of fingerprints, and grids needed for ``RECALL`` at the similarity, over
+    all numbers of differing bits that pairs of that similarity have."""
     coordinates = max(14, int(np.ceil(np.log2(max(count, 1) / UNRELATED))))
-    agree = 1 - _angle(similarity)
-    return coordinates, int(np.ceil(np.log(1 - RECALL) / np.log1p(-(agree**coordinates))))
+    p, bits = _angle(similarity), BITS * WIDE
+    if p < 1e-6:  # rounding of the angle of equal sets
+        return coordinates, 1
+    differ = np.arange(bits)
+    ways = np.array([lgamma(bits + 1) - lgamma(d + 1) - lgamma(bits - d + 1) for d in range(bits)])
+    share = np.exp(ways + differ * np.log(p) + (bits - differ) * np.log1p(-p))
+    meet = np.log1p(-np.minimum((1 - differ / bits) ** coordinates, 1 - 1e-12))
+    grids = 1
+    while (share * np.exp(grids * meet)).sum() > 1 - RECALL:
+        grids += 1
+    return coordinates, grids
 
 
 def _wide_cells(coordinates: int, grids: int) -> Column:
@@ -346,8 +390,8 @@ def _link_wide(distance: int):
 
 
 def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links ``a``, ``b`` between the nodes of ``nodes`` (``node`` and the words ``f0`` to ``f3``, distinct) within
-    ``wide_distance(similarity)``; a spanning forest of each grid cell, bounded by the Manhattan distance of two-bit
+    """Candidate links ``a``, ``b`` between the nodes of ``nodes`` (``node`` and the words ``f0`` to ``f3``) within
+    ``candidate_distance(similarity)``; a spanning forest of each grid cell, bounded by the Manhattan distance of two-bit
     counts before it is verified.
 
     Each grid takes some segments of one bit, whose count is the bit, as these part unrelated fingerprints best; a cell
@@ -367,7 +411,85 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
         F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
     )
     parted = dealt.select(group.alias("cell"), "node", *_WORDS).repartition("cell").sortWithinPartitions("cell")
-    return parted.mapInArrow(_link_wide(wide_distance(similarity)), "a long, b long").distinct()
+    return parted.mapInArrow(_link_wide(candidate_distance(similarity)), "a long, b long").distinct()
+
+
+_VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _set_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose sets have the Jaccard similarity; only pairs not yet connected are compared."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    nodes, sizes = nodes[order], sizes[order]
+    distinct, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts, labels, links = np.r_[0, np.cumsum(sizes)], np.arange(len(nodes)), []
+    mark = np.zeros(len(distinct), dtype=bool)
+    for i in range(len(nodes) - 1):
+        last = np.searchsorted(sizes, sizes[i] / similarity + 1, "right")
+        others = np.flatnonzero(labels[i + 1 : last] != labels[i]) + i + 1
+        if not len(others) or not sizes[i]:
+            continue
+        own = ids[starts[i] : starts[i + 1]]
+        mark[own] = True
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            taken = np.concatenate([ids[starts[j] : starts[j + 1]] for j in some.tolist()])
+            bounds = np.r_[0, np.cumsum(sizes[some])[:-1]]
+            shared = np.add.reduceat(mark[taken], bounds, dtype=np.int64)
+            near = some[shared / (sizes[some] + sizes[i] - shared) >= similarity]
+            groups, first = np.unique(labels[near], return_index=True)
+            fresh = groups != labels[i]
+            links += [(int(nodes[i]), int(nodes[j])) for j in near[first[fresh]].tolist()]
+            labels[np.isin(labels, groups[fresh])] = labels[i]
+        mark[own] = False
+    return links
+
+
+def _verify(similarity: float):
+    def close(held):
+        if len(held) > 1:
+            nodes = np.array([n for n, _ in held])
+            links = _set_forest(nodes, [np.frombuffer(s, dtype=np.uint64) for _, s in held], similarity)
+            if links:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], schema=_VERIFIED)
+
+    def run(batches):
+        held_group, held = None, []
+        for part in slices(batches):
+            for group, node, shingles in zip(*[c.to_pylist() for c in part.columns]):
+                if group != held_group:
+                    yield from close(held)
+                    held_group, held = group, []
+                held.append((node, shingles))
+        yield from close(held)
+
+    return run
+
+
+def _verified_links(docs: DataFrame, nodes: DataFrame, families: DataFrame, similarity: float, shingles) -> DataFrame:
+    """Links ``a``, ``b`` that connect the nodes of a family just as all its pairs of ``similarity`` do.
+
+    ``docs`` has ``doc_id`` and ``text``, ``nodes`` ``node`` and ``set``, ``families`` the ``component`` of each ``node``
+    but the least. Sets are made anew from the texts of these nodes. A family of more than ``SHINGLES`` is cut into
+    blocks, and every two blocks are one group, so that no task holds the family and no pair is left out.
+    """
+    members = families.union(families.select(F.col("component").alias("node"), "component").distinct())
+    wanted = nodes.select("node", "set").join(members, "node")
+    found = docs.join(wanted, F.col("doc_id") == F.col("node"))
+    found = found.withColumn("_s", shingles(F.col("text"))).where("set = _s.set")
+    found = found.groupBy("node", "set").agg(
+        F.first("component").alias("family"), F.first("_s.n").alias("n"), F.first("_s.shingles").alias("shingles")
+    )
+    found = materialise(found, "shingle_sets")
+    blocks = found.groupBy("family").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("blocks"))
+    dealt = found.join(blocks, "family").withColumn("blocks", F.greatest("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("set", "family"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != own) | (F.col("blocks") == 1))
+    dealt = dealt.select("family", own.alias("own"), F.explode(others).alias("other"), "node", "shingles")
+    group = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))
+    parted = dealt.select(group.alias("group"), "node", "shingles").repartition("group").sortWithinPartitions("group")
+    return parted.mapInArrow(_verify(similarity), "a long, b long").distinct()
 
 
 def similar_documents(
@@ -375,25 +497,29 @@ def similar_documents(
 ) -> DataFrame:
     """``doc_id``, ``component_id`` (smallest doc_id reachable) for every document whose doc_id is not null.
 
-    Documents link if the similarity of their shingle sets, as fingerprints of 256 bits estimate it, reaches
-    ``similarity`` but for one standard error (6 bits). Equal shingle sets always link; documents without words are one
-    group. A repeated doc_id is one node. An empty table gives an empty result. Other columns are not read.
+    Documents link if the Jaccard similarity of their shingle sets is ``similarity`` or more. Fingerprints of 256 bits
+    find the candidates (``candidate_distance``), the sets decide. Equal sets always link; documents without words are
+    one group. A repeated doc_id is one node. An empty table gives an empty result. Other columns are not read.
     """
-    rows = small_batches(docs).where(F.col(doc_id).isNotNull())
-    rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), wide_fingerprint(F.col(text), shingle_words, seed).alias("f"))
-    rows = rows.select("doc_id", *[F.col("f")[i].alias(w) for i, w in enumerate(_WORDS)])
+    docs = small_batches(docs).where(F.col(doc_id).isNotNull())
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select("doc_id", wide_fingerprint(F.col("text"), shingle_words, seed).alias("f"))
+    rows = rows.select("doc_id", *[F.col("f")[i].alias(w) for i, w in enumerate([*_WORDS, "set"])])
     rows = materialise(rows, "wide_fingerprints")
-    nodes = materialise(rows.groupBy(*_WORDS).agg(F.min("doc_id").alias("node")), "nodes")
-    named = components(similar_links(nodes, similarity).union(_repeated(rows, nodes)))
-    owners = rows.join(nodes, _WORDS).select("doc_id", "node").distinct()
+    nodes = materialise(rows.groupBy("set", *_WORDS).agg(F.min("doc_id").alias("node")), "nodes")
+    rows = rows.select("doc_id", "set")
+    families = components(similar_links(nodes, similarity))
+    links = _verified_links(docs, nodes, families, similarity, _shingle_sets(shingle_words, seed))
+    named = components(links.union(_repeated(rows, nodes)))
+    owners = rows.join(nodes, "set").select("doc_id", "node").distinct()
     found = owners.join(named, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def _repeated(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the nodes of doc_ids that occur with different fingerprints."""
+    """Links between the nodes of doc_ids that occur with different shingle sets."""
     several = rows.distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return rows.join(several, "doc_id").join(nodes, _WORDS).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return rows.join(several, "doc_id").join(nodes, "set").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
 def keep_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:

@@ -373,3 +373,30 @@ def test_sql(spark, name):
     assert compare(spark, connect(sf), name, QUERIES[name], ORACLES[name], sf) is None
 
 
+
+
+def _graded_rows():
+    """Isolated pairs of known similarity, from 0.5 to 0.9 and many from 0.80 to 0.82."""
+    rnd, rows = random.Random(11), []
+    for pair in range(150):
+        words = [f"p{pair}w{i}" for i in range(304)]
+        changed, gap = list(words), 9  # places that share no shingle
+        edits = 6 if pair < 60 else rnd.randint(3, 18)
+        for at in rnd.sample(range(5, 299, gap), edits):
+            changed[at] = f"new{pair}x{at}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(changed))]
+    return rows
+
+
+def test_isolated_pairs_link_by_exact_similarity(spark, monkeypatch):
+    rows = _graded_rows()
+    texts = dict(rows)
+    alike = [_jaccard(texts[2 * p], texts[2 * p + 1]) for p in range(150)]
+    assert all(0.80 <= j <= 0.82 for j in alike[:60]) and min(alike) < 0.6 and any(0.7 < j < 0.8 for j in alike)
+    for shingles in (simhash.SHINGLES, 100):
+        monkeypatch.setattr(simhash, "SHINGLES", shingles)
+        got = dict(simhash.similar_documents(frame(spark, rows)).collect())
+        linked = [got[2 * p] == got[2 * p + 1] for p in range(150)]
+        assert not any(x for x, j in zip(linked, alike) if j < 0.8)
+        # the grids are to bring 99 of 100 together
+        assert sum(linked) >= sum(j >= 0.8 for j in alike) - 2

@@ -4,7 +4,8 @@ Seeds: every window of ``window`` words picks its least ``anchor``-word run (win
 anchors, so a repeat of at least ``window`` words always shares one. Only anchors that occur twice are followed.
 Extend: around a shared anchor, both ways, the windows that hold it are compared between all places of the anchor
 at once, by their hashes. Overlapping equal windows join into maximal repeats. Places of an anchor are grouped,
-never paired; an anchor with very many places is dealt out over salts, and each salt hands on one place per window.
+never paired; an anchor with very many places is dealt out over salts, and each salt hands on one place per window,
+which are then counted by window: no task holds all places of an anchor.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -143,7 +144,7 @@ def _places(window: int, anchor: int):
 
 _MARKS = pa.schema(
     [("again", pa.bool_()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]
-    + [("windows", pa.binary())]
+    + [("windows", pa.list_(pa.int64()))]
 )
 
 
@@ -172,7 +173,7 @@ def _compare(batches):
             if salts > 1:
                 edges = np.flatnonzero(np.diff(np.r_[0, first[at : at + n].view(np.int8), 0]))
                 for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                    yield True, anchor, key, start + a, start + b, windows[8 * a : 8 * b]
+                    yield True, anchor, key, start + a, start + b, values[at + a : at + b].view(np.int64)
             at += n
 
     def out(rows):
@@ -193,7 +194,8 @@ def _compare(batches):
 
 def _ddl(schema: pa.Schema) -> str:
     names = {"int64": "long", "int32": "int", "bool": "boolean", "binary": "binary"}
-    return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
+    ddl = lambda t: f"array<{ddl(t.value_type)}>" if pa.types.is_list(t) else names[str(t)]
+    return ", ".join(f"{f.name} {ddl(f.type)}" for f in schema)
 
 
 def _compared(places: DataFrame) -> DataFrame:
@@ -201,6 +203,15 @@ def _compared(places: DataFrame) -> DataFrame:
     return parted.mapInArrow(_compare, _ddl(_MARKS))
 
 
+def _across_salts(again: DataFrame) -> DataFrame:
+    """Marks of the windows that more than one salt of an anchor handed on. A group is one window of one anchor and has
+    a row per salt at most."""
+    rows = again.select("anchor", "key", "start", F.posexplode("windows").alias("i", "window"))
+    copies = F.count("*").over(Window.partitionBy("anchor", "window"))
+    start = F.col("start") + F.col("i")
+    return rows.withColumn("copies", copies).where("copies > 1").select("key", start.alias("start"), (start + 1).alias("stop"))
+
+
 def repeated_windows(texts: DataFrame, window: int = 35, anchor: int = 8) -> DataFrame:
     """``key``, ``marks``: for each key, the runs (``start``, ``stop``) of first words of windows that start elsewhere too.
 
@@ -211,10 +222,8 @@ def repeated_windows(texts: DataFrame, window: int = 35, anchor: int = 8) -> Dat
     hits = seeds.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "total")).alias("hits"))
     around = texts.join(hits, "key").select("key", "text", "hits").mapInArrow(_places(window, anchor), _ddl(_PLACES))
     marks = materialise(_compared(around), "marks")
-    again = marks.where("again").select(
-        "anchor", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "key", "start", "windows"
-    )
-    found = marks.where("not again").unionByName(_compared(again)).select("key", F.struct("start", "stop").alias("mark"))
+    found = marks.where("not again").select("key", "start", "stop").unionByName(_across_salts(marks.where("again")))
+    found = found.select("key", F.struct("start", "stop").alias("mark"))
     return found.groupBy("key").agg(F.collect_list("mark").alias("marks"))
 
 

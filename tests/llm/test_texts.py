@@ -400,3 +400,22 @@ def test_isolated_pairs_link_by_exact_similarity(spark, monkeypatch):
         assert not any(x for x, j in zip(linked, alike) if j < 0.8)
         # the grids are to bring 99 of 100 together
         assert sum(linked) >= sum(j >= 0.8 for j in alike) - 2
+
+
+def test_no_group_holds_all_places_of_a_hot_anchor(spark, monkeypatch):
+    rnd = random.Random(9)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    phrase, made, largest = say(20), substring._compared, []
+
+    def counted(places):
+        largest.append(places.groupBy("anchor", "salt").count().agg({"count": "max"}).first()[0] or 0)
+        return made(places)
+
+    monkeypatch.setattr(substring, "PLACES", 20)
+    monkeypatch.setattr(substring, "_compared", counted)
+    rows = [(i, f"{say(40)} {phrase} {say(40)}") for i in range(400)]
+    rows += [(400 + i, rows[i][1] + f" end{i}") for i in range(3)]
+    got = substring.remove_repeats(frame(spark, rows))
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
+    assert sorted(found) == sorted(brute_repeats(rows)) and sum(r[2] > 0 for r in found) == 6
+    assert max(largest) <= 100

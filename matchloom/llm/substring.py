@@ -203,6 +203,15 @@ def _compared(places: DataFrame) -> DataFrame:
     return parted.mapInArrow(_compare, _ddl(_MARKS))
 
 
+def _n_words():
+    @pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([len(encoded(t).split()) for t in texts], dtype="int32")
+
+    return count
+
+
 def _across_salts(again: DataFrame) -> DataFrame:
     """Marks of the windows that more than one salt of an anchor handed on. A group is one window of one anchor and has
     a row per salt at most."""
@@ -216,13 +225,20 @@ def repeated_windows(texts: DataFrame, window: int = 35, anchor: int = 8) -> Dat
     """``key``, ``marks``: for each key, the runs (``start``, ``stop``) of first words of windows that start elsewhere too.
 
     ``texts`` has ``key`` (long, never null) and ``text``; rows that share a key must share the text, and count apart.
+    They are one text in all that follows: every window of it is repeated, which one mark says.
     """
+    copied = materialise(texts.groupBy("key").count().where("count > 1").select("key"), "copied")
+    copies = texts.join(copied, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    copies = materialise(copies.select("key", "text"), "copies")
+    texts = texts.join(copied, "key", "left_anti").select("key", "text").unionByName(copies)
     seeds = materialise(texts.mapInArrow(_anchors(window, anchor), _ddl(_ANCHORS)), "anchors")
     repeated = seeds.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
     hits = seeds.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "total")).alias("hits"))
     around = texts.join(hits, "key").select("key", "text", "hits").mapInArrow(_places(window, anchor), _ddl(_PLACES))
     marks = materialise(_compared(around), "marks")
     found = marks.where("not again").select("key", "start", "stop").unionByName(_across_salts(marks.where("again")))
+    whole = copies.select("key", F.lit(0).alias("start"), (_n_words()(F.col("text")) - window + 1).alias("stop"))
+    found = found.join(copied, "key", "left_anti").unionByName(whole.where("stop > 0"))
     found = found.select("key", F.struct("start", "stop").alias("mark"))
     return found.groupBy("key").agg(F.collect_list("mark").alias("marks"))
 

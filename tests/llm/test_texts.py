@@ -419,3 +419,21 @@ def test_no_group_holds_all_places_of_a_hot_anchor(spark, monkeypatch):
     found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
     assert sorted(found) == sorted(brute_repeats(rows)) and sum(r[2] > 0 for r in found) == 6
     assert max(largest) <= 100
+
+
+def test_repeated_rows_are_one_text(spark, rows, monkeypatch):
+    many = rows + [(3000, rows[12][1])] * 60 + [(None, rows[9][1])] * 60 + [(3001, "short one")] * 5 + [(3002, None)] * 3
+    read, made = [], substring._compared
+
+    def counted(places):
+        read.append(places.count())
+        return made(places)
+
+    monkeypatch.setattr(substring, "_compared", counted)
+    got = substring.remove_repeats(frame(spark, many))
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
+    assert sorted(found, key=key) == sorted(brute_repeats(many), key=key)
+    keyed = frame(spark, [(3000, rows[6][1])] * 200).selectExpr("doc_id as key", "text")
+    marks = substring.repeated_windows(keyed).collect()
+    assert [(r.key, [tuple(m) for m in r.marks]) for r in marks] == [(3000, [(0, 266)])]
+    assert read[-1] < 266

@@ -21,7 +21,26 @@ _ESC, _KEPT, _MARK = "\x01", "\x01\x02", "\x01\x03"
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|sk_live_|xoxb-)[0-9A-Za-z_-]{16,96})(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+#: Countries by the length of their account numbers.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# of a known country its own length first, so that what follows is not taken; then any other
+_KNOWN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{_account(n)}" for n, c in _LENGTHS.items())
+IBAN = (
+    rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:(?:{_KNOWN})(?![0-9A-Za-z])"
+    r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
+)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 DATE = (
@@ -32,7 +51,11 @@ PHONE = (
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
 )
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9A-Za-z])"
+# a last group that begins a date, an expiry or an address is not taken
+CARD = (
+    r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+    r"|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3}(?![0-9A-Za-z]|[./:-][0-9]))?)(?![0-9A-Za-z])"
+)
 ANY = "|".join((EMAIL, SECRET, IBAN, ADDRESS, DATE, PHONE, SOCIAL, CARD))
 
 #: First and last code points of the classes a character moves in; each class maps onto itself.
@@ -122,6 +145,14 @@ def _card(value: Column, key: str) -> Column:
     return _refilled(value, F.concat(body, check))
 
 
+def _card_reading(value: Column) -> Column:
+    """The part of a found number that is a card: four groups of four without what follows (a security code), else
+    all of it; null if the check refuses both."""
+    four = F.regexp_extract(value, "^[0-9]{4}(?:[ -][0-9]{4}){3}(?=[ -])", 0)
+    valid = lambda v: F.length(_digits(v)).between(13, 19) & (luhn_sum(_digits(v)) % 10 == 0)
+    return F.when((four != "") & valid(four), four).when(valid(value), value)
+
+
 def _remainder97(text: Column) -> Column:
     digits = F.transform(F.split(text, ""), lambda c: F.conv(c, 36, 10))
     return F.aggregate(F.split(F.array_join(digits, ""), ""), F.lit(0), lambda a, d: (a * 10 + d.cast("int")) % 97)
@@ -152,6 +183,19 @@ def _iban_valid(value: Column) -> Column:
     return F.length(plain).between(15, 34) & (_remainder97(turned) == 1)
 
 
+def _iban_reading(value: Column) -> Column:
+    """The longest part of a found account number, all of it or without groups at its end, that the check accepts."""
+    groups = F.split(value, " ")
+    parts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    return F.get(F.filter(parts, _iban_valid), F.lit(0))
+
+
+def _read(value: Column, reading: Column, change) -> Column:
+    """The reading changed and the rest of the value behind it; without a reading the value."""
+    rest = F.substring(value, F.length(reading) + 1, F.length(value))
+    return F.when(reading.isNull(), value).otherwise(F.concat(change(reading), rest))
+
+
 def _number(stream: Column, size: int) -> Column:
     return F.conv(F.substring(stream, F.lit(1), F.lit(12)), 16, 10).cast("long") % size
 
@@ -180,11 +224,18 @@ def permuted_number(value: Column, key: str, kind: str, high: int, low: int, siz
     )
 
 
-_DATE_FORMS = (("yyyy-MM-dd", r"^[0-9]{4}-"), ("dd.MM.yyyy", r"^[0-9]{2}\."), ("MM/dd/yyyy", r"^[0-9]{2}/"))
+_DATE_FORMS = (
+    ("yyyy-MM-dd", r"^[0-9]{4}-"),
+    ("dd.MM.yyyy", r"^[0-9]{2}\."),
+    ("MM/dd/yyyy", r"^(?:0[0-9]|1[0-2])/"),
+    ("dd/MM/yyyy", r"^(?:1[3-9]|[2-9][0-9])/"),
+)
 
 
 def _date(value: Column, key: str) -> Column:
-    """Calendar dates from 1900 to 2099 in three forms; anything else stays."""
+    """Calendar dates from 1900 to 2099 in four forms; anything else stays. With slashes the month comes first unless
+    the first number is above 12. A day has one pseudonym in all forms, so one with the day first may look like one with
+    the month first."""
     out = value
     for form, start in _DATE_FORMS:
         day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), F.lit(_FIRST_DAY).cast("date"))
@@ -254,12 +305,12 @@ def pseudonym(value: Column, key: str) -> Column:
     return (
         F.when(F.contains(value, F.lit("@")), _email(value, key))
         .when(secret | value.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xoxb-)"), _secret(value, key))
-        .when(value.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_iban_valid(value), _iban(value, key)).otherwise(value))
+        .when(value.rlike("^[A-Z]{2}[0-9]{2}"), _read(value, _iban_reading(value), lambda v: _iban(v, key)))
         .when(whole(ADDRESS), _address(value, key))
         .when(whole(DATE), _date(value, key))
         .when(whole(PHONE), _numbers(value, key, "phone"))
         .when(whole(SOCIAL), _refilled(value, permuted(digits, key, "social")))
-        .when(F.length(digits).between(13, 19) & whole(CARD), F.when(luhn_sum(digits) % 10 == 0, _card(value, key)).otherwise(value))
+        .when(whole(CARD), _read(value, _card_reading(value), lambda v: _card(v, key)))
         .otherwise(value)
     )
 

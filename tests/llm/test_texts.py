@@ -437,3 +437,25 @@ def test_repeated_rows_are_one_text(spark, rows, monkeypatch):
     marks = substring.repeated_windows(keyed).collect()
     assert [(r.key, [tuple(m) for m in r.marks]) for r in marks] == [(3000, [(0, 266)])]
     assert read[-1] < 266
+
+
+def test_pseudonyms_of_numbers_with_something_behind(spark):
+    card, amex, iban = "4111 1111 1111 1111", "3782 822463 10005", "ES91 2100 0418 4502 0005 1332"
+    values = [(card, " 123"), (card, " 12/27"), (card, " 12.05.2027"), (amex, ""), (amex.replace(" ", "-"), " 123")]
+    values += [(iban, " BIC"), (iban.replace(" ", ""), " 2024"), (iban, " 4111 1111 1111 1111"), (iban, "")]
+    values += [("GB82 WEST 1234 5698 7654 32", " ABC"), ("DE89370400440532013000", " 12"), ("31/12/2024", ""), (card, " 5")]
+    values += [("ZZ68 1234 5678 9012 345", " AB")]
+    df = spark.createDataFrame([(i, f"pay {v}{rest}, then") for i, (v, rest) in enumerate(values)], "doc_id int, text string")
+    got = [r.text for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    new = []
+    for (v, rest), text in zip(values[:13], got):
+        assert text.startswith("pay ") and v not in text and text.endswith(", then"), (v, text)
+        new.append(text[4 : 4 + len(v)])
+        if "." not in rest and len(rest) < 10:
+            assert text == f"pay {new[-1]}{rest}, then"
+    assert new[0] == new[1] == new[2] == new[12] and "12.05.2027" not in got[2]
+    assert new[3] == new[4].replace("-", " ") and new[5] == new[7] == new[8] and new[6] == new[5].replace(" ", "")
+    assert got[7] == f"pay {new[5]} {new[0]}, then"
+    plain = spark.createDataFrame([(0, "31.12.2024")], "doc_id int, text string")
+    d, m, y = pii.pseudonymise(plain, "key").first().text.split(".")
+    assert new[11] == f"{d}/{m}/{y}"

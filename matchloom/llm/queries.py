@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import bitplane, bpe, chat, packing, pii, quality, search, simhash, substring
+from matchloom.llm import bitplane, bpe, chat, exact, negatives, packing, pii, quality, resample, search, simhash, substring
 from matchloom.llm.common import table
 
 
@@ -81,9 +81,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit, op2_ann, op3_chat, op4_substring, op5_quality, op6_pii, op7_bpe, op8_bitplane, op9_topk, op10_simhash)
-}
+    f.__name__: f
+    for f in (
+        op1_best_fit, op2_ann, op3_chat, op4_substring, op5_quality, op6_pii, op7_bpe, op8_bitplane, op9_topk, op10_simhash,
+        op11_negatives, op12_exact, op13_resample,
+    )
+}
 
 ORACLES = {
     "op3_chat": r"""
@@ -136,5 +154,82 @@ with words as (
 select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k.n, 0) as bigint) as n_removed,
        sha256(coalesce(k.t, '')) as kept_sha256
 from words w left join kept k using (doc_id)
+""",
+    "op11_negatives": """
+with valid as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+    select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+           cast(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from valid a join valid c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0
+), positive as (
+    select anchor_id, vec_id as positive_id, score as positive_score
+    from pairs where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from (
+    select p.*, n.vec_id as negative_id, n.score as negative_score,
+           row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as rank
+    from positive p join pairs n
+      on p.anchor_id = n.anchor_id and not n.same
+     and 100 * n.score between 50 * p.positive_score and 95 * p.positive_score
+) where rank <= 3
+""",
+    "op12_exact": """
+with low as (
+    select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), grouped as (
+    select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+           row_number() over (partition by t, doc_id) as copy
+    from low
+)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id and copy = 1 as kept, sha256(t) as text_sha256
+from grouped
+""",
+    "op13_resample": r"""
+with texts as (
+    select doc_id, true as own, text from documents union all select item_id, false, text from benchmark
+), split as (
+    select doc_id, own, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+    from texts
+), counted as (
+    select doc_id, own, word, count(*) as n from (select doc_id, own, unnest(ws) as word from split) group by doc_id, own, word
+), crc_steps as (
+    select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as steps
+), words as (
+    select word, list_transform(range(0, cast(length(hex(word)) / 2 as bigint)),
+        lambda k: cast('0x' || substr(hex(word), cast(2 * k + 1 as bigint), 2) as bigint)) as octets
+    from (select distinct word from counted)
+), bucketed as (
+    select word, xor(list_reduce(list_prepend(4294967295, octets),
+        lambda c, o: xor(c >> 8, steps[(xor(c, o) & 255) + 1])), 4294967295) % 10000 as bucket
+    from words, crc_steps
+), found as (
+    select doc_id, own, bucket, n from counted join bucketed using (word)
+), sums as (
+    select bucket, coalesce(sum(n) filter (own), 0) as s, coalesce(sum(n) filter (not own), 0) as t from found group by bucket
+), gains as (
+    select bucket, floor(1000 * ln((cast(t + 1 as double) * (sum(s) over () + 10000)) / (cast(s + 1 as double) * (sum(t) over () + 10000)))) as gain
+    from sums
+), weighed as (
+    select doc_id, sum(n) as n_features, cast(floor(sum(gain * n) / sum(n)) as bigint) as weight
+    from found join gains using (bucket) where own group by doc_id
+), numbered as (
+    select d.doc_id, cast(coalesce(w.n_features, 0) as bigint) as n_features, coalesce(w.weight, 0) as weight,
+           cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) as h
+    from documents d left join weighed w using (doc_id)
+), scored as (
+    select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from numbered
+), ranked as (
+    select doc_id, row_number() over (order by score desc, doc_id) as rank, floor(10 * count(*) over () / 100) as drawn
+    from scored where n_features >= 20
+)
+select s.doc_id, s.n_features, s.weight, s.score, r.rank from scored s left join ranked r on s.doc_id = r.doc_id and r.rank <= r.drawn
 """,
 }

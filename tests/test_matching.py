@@ -61,7 +61,10 @@ def test_nearest_equals_brute_force(spark, monkeypatch, grid, keyed):
 def test_unsupported_and_coverage_plans_agree(spark, grid):
     bullets = spark.createDataFrame([("j", 1, "Built X" + "y" * 100), ("j", 2, "Never seen"), ("k", 3, "Built X")], "job string, bullet_id int, text string")
     evidence = spark.createDataFrame([("j", 1, "we built x" + "y" * 73 + " indeed")], "job string, text_id int, text string")
+    # whole bullets are looked for unless a limit is asked for
     left = coverage.unsupported(bullets, evidence, ["job"], force_grid=grid)
+    assert {r.bullet_id for r in left.collect()} == {1, 2, 3}
+    left = coverage.unsupported(bullets, evidence, ["job"], chars=80, force_grid=grid)
     assert {r.bullet_id for r in left.collect()} == {2, 3}
     items = bullets.withColumnRenamed("bullet_id", "item_id")
     rows = coverage.substring_coverage(items, evidence, ["job"], force_grid=grid).collect()

@@ -24,7 +24,7 @@ from matchloom.plans.corpus import (
     table,
 )
 from matchloom.session import materialise, shared_dir
-from matchloom.sources import intake, tables
+from matchloom.sources import intake, snapshots, tables, vector_index
 from matchloom.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +261,41 @@ def knn_cross_tenant(spark, sf):
     return matching.nearest(queries, vectors, keys=()).withColumn("score", F.round("score", 6))
 
 
+def _stored_vectors(spark, sf, path):
+    """The vectors in an index: three quarters when it is made, the others and new versions of some by upserts."""
+    e = table(spark, sf, "embeddings").select(
+        F.concat(F.lit("t"), "label").alias("tenantId"), F.col("vec_id").alias("id"), "embedding"
+    )
+    turned = e.where("id % 5 = 0").withColumn("embedding", F.reverse("embedding"))  # mostly another bucket
+    vector_index.create(e.where("id % 4 <> 3").where("id % 5 <> 0").unionByName(turned), path)
+    vector_index.upsert(e.where("id % 4 = 3"), path, version=2)
+    vector_index.compact(spark, path)
+    vector_index.upsert(e.where("id % 5 = 0"), path, version=3)
+    return e.withColumnRenamed("id", "query_id")
+
+
+@query
+def knn_index(spark, sf):
+    """All buckets of the stored index: the exact answer, whatever moved from bucket to bucket."""
+    path = shared_dir(spark, "vector-index")
+    queries = _stored_vectors(spark, sf, path)
+    found = vector_index.search(spark, path, queries, probes=vector_index.MAX_BUCKETS)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def knn_index_recall(spark, sf):
+    """The usual search of the stored index against the exact neighbours, per tenant."""
+    path = shared_dir(spark, "vector-index")
+    queries = _stored_vectors(spark, sf, path)
+    found = vector_index.search(spark, path, queries).select("tenantId", "query_id", "doc_id", F.lit(1).alias("hit"))
+    vectors = queries.withColumnRenamed("query_id", "doc_id")
+    exact = matching.nearest(queries, vectors).select("tenantId", "query_id", "doc_id")
+    met = exact.join(found, ["tenantId", "query_id", "doc_id"], "left")
+    counted = met.groupBy("tenantId").agg(F.count(F.lit(1)).alias("neighbours"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
+    return counted.select("tenantId", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("recalled"))
+
+
 def _feedback(spark, sf):
     e = table(spark, sf, "events")
     job = F.concat(F.lit("j"), "user_id")
@@ -732,21 +767,67 @@ def stream_upsert(spark, sf):
     rows = _status_rows(_event_stream(spark, sf))
     order = ("updatedAt", "event_id")
     streams.stream_upsert(rows, path, checkpoint, tables.STATUS_KEYS, order, ["tenantId"]).awaitTermination()
-    return tables.read_latest(spark, path, tables.STATUS_KEYS, order, rows.schema)
+    return snapshots.read(spark, path, tables.STATUS_KEYS, order)
 
 
 @query
-def stuck_jobs(spark, sf):
+def keyed_table(spark, sf):
+    """Three writes with a compaction between them, and what a reader then finds."""
+    path, order = shared_dir(spark, "status-table"), ("updatedAt", "event_id")
+    rows = _status_rows(table(spark, sf, "events"))
+    snapshots.append(rows.where("event_id % 3 = 0"), path, "first", ["tenantId"])
+    snapshots.append(rows.where("event_id % 3 = 1"), path, "second", ["tenantId"])
+    snapshots.compact(spark, path, tables.STATUS_KEYS, order, ["tenantId"])
+    snapshots.append(rows.where("event_id % 3 = 2"), path, "third", ["tenantId"])
+    snapshots.append(rows.where("event_id % 3 = 2"), path, "third", ["tenantId"])  # a repeated write adds nothing
+    return snapshots.read(spark, path, tables.STATUS_KEYS, order)
+
+
+def _job_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    events = table(spark, sf, "events").select(
+    return events.select(
         F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenantId"),
         F.concat(F.lit("j"), F.floor(F.col("event_id") / 3)).alias("jobId"),
         F.when(kind == "purchase", "RESULT").otherwise("STATUS").alias("entityType"),
-        F.lit("RUNNING").alias("status"),
+        F.when(kind == "error", "FAILED").otherwise("RUNNING").alias("status"),
         _epoch("ts").alias("updatedAt"),
+        _instant("ts").alias("ts"),
     )
-    clock = table(spark, sf, "events").agg(F.max(_epoch("ts"))).first()[0]
-    return tables.stuck_jobs(events, F.lit(clock))
+
+
+@query
+def stuck_jobs(spark, sf):
+    events = _job_events(table(spark, sf, "events"))
+    return tables.stuck_jobs(events, events.agg(F.max("updatedAt")).scalar())
+
+
+@query
+def stuck_jobs_stream(spark, sf):
+    """The rule of ``stuck_jobs`` by timers in event time, over the same events as a stream."""
+    path, checkpoint = shared_dir(spark, "stuck"), shared_dir(spark, "stuck-checkpoint")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streams.ROCKSDB)
+    try:
+        found = streams.stream_stuck(_job_events(_event_stream(spark, sf)), lateness="0 seconds")
+        writer = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    rows = spark.read.schema(found.schema).parquet(path)
+    return rows.select(*KEYS, F.unix_millis("startedAt").alias("started_ms"))
+
+
+@query
+def retention(spark, sf):
+    """What is left of the objects after two runs of the clean-up."""
+    path = shared_dir(spark, "objects")
+    objects = _objects(table(spark, sf, "events")).select(F.concat(F.lit("t"), "tenant").alias("tenantId"), "event_id", "lastModified")
+    tables.write_objects(objects, path)
+    for _ in range(2):
+        tables.prune_objects(spark, path, NOW)
+    left = spark.read.schema("event_id long, lastModified long, tenantId string, day date").parquet(path)
+    return left.select("tenantId", "event_id", "lastModified")
 
 
 def _objects(events: DataFrame) -> DataFrame:

@@ -327,6 +327,18 @@ SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FRO
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM p) WHERE rank <= 10
 """
 
+ORACLES["knn_index"] = f"""
+WITH {_VEC},
+p AS (SELECT q.label, q.vec_id AS query_id, v.vec_id AS doc_id, {_COS} AS s FROM e q JOIN e v ON q.label = v.label)
+SELECT 't' || label AS "tenantId", query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY label, query_id ORDER BY s DESC, doc_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+ORACLES["knn_index_recall"] = """
+SELECT 't' || label AS "tenantId", CAST(count(*) * least(10, count(*)) AS BIGINT) AS neighbours, true AS recalled
+FROM embeddings WHERE label IS NOT NULL GROUP BY label
+"""
+
 ORACLES["retrieve_context"] = f"""
 WITH {_VEC},
 v AS (SELECT 't' || (e.vec_id % 3) AS "tenantId", 'd' || lpad(CAST(e.vec_id AS VARCHAR), 9, '0') AS id, e.e, coalesce(d.text, '') AS text
@@ -690,12 +702,24 @@ LEFT JOIN l t ON t."tenantId" = j."tenantId" AND t."jobId" = j."jobId" AND t."en
 
 ORACLES["stream_upsert"] = ORACLES["latest_status"]
 
-ORACLES["stuck_jobs"] = """
+ORACLES["keyed_table"] = ORACLES["latest_status"]
+
+_STUCK = """
 WITH s AS (
-  SELECT user_id % 3 AS t, event_id // 3 AS job, epoch_us(ts) // 1000000 AS sec, event_type FROM events)
-SELECT 't' || t AS "tenantId", 'j' || job AS "jobId", max(sec) AS "updatedAt" FROM s o WHERE event_type <> 'purchase'
-AND NOT EXISTS (SELECT 1 FROM s d WHERE d.t = o.t AND d.job = o.job AND d.event_type = 'purchase')
-GROUP BY ALL HAVING max(sec) < (SELECT max(epoch_us(ts) // 1000000) FROM events) - 900
+  SELECT 't' || (user_id % 3) AS t, 'j' || (event_id // 3) AS job, {unit} AS moment, event_type,
+         CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'RUNNING' END AS status FROM events),
+j AS (
+  SELECT t, job, max({{'moment': moment, 'status': status}}) FILTER (event_type <> 'purchase') AS latest, bool_or(event_type = 'purchase') AS done
+  FROM s GROUP BY ALL)
+SELECT t AS "tenantId", job AS "jobId", latest['moment'] AS "{name}" FROM j
+WHERE NOT done AND latest['status'] = 'RUNNING' AND latest['moment'] < (SELECT max(moment) FROM s) - {limit}
+"""
+ORACLES["stuck_jobs"] = _STUCK.format(unit="epoch_us(ts) // 1000000", name="updatedAt", limit=900)
+ORACLES["stuck_jobs_stream"] = _STUCK.format(unit="epoch_us(ts) // 1000", name="started_ms", limit=900_000)
+
+ORACLES["retention"] = """
+SELECT 't' || (user_id % 3) AS "tenantId", event_id, epoch_us(ts) // 1000000 AS "lastModified" FROM events
+WHERE epoch_us(ts) // 1000000 >= 1706659200 - 7 * 86400
 """
 
 ORACLES["expired_artifacts"] = """

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from matchloom import rules as R
 from matchloom.functions.rows import explode_rows
+from matchloom.session import materialise
+from matchloom.sources.files import Files
 
 STATUS_KEYS = ("tenantId", "jobId", "entityType")
 VECTOR_KEYS = ("tenantId", "id")
@@ -176,6 +178,39 @@ def surviving_artifacts(
     return objects.where(F.col(modified).isNull() | (F.col(modified) >= now - ttl_days * 86400))
 
 
+def write_objects(objects: DataFrame, path: str, modified: str = "lastModified") -> None:
+    """Append object rows below ``path``, by tenant and day of their last change (seconds since 1970)."""
+    day = F.to_date(F.timestamp_seconds(modified))
+    objects.withColumn("day", day).write.mode("append").partitionBy("tenantId", "day").parquet(path)
+
+
+def prune_objects(spark: SparkSession, path: str, now: int, ttl_days: int = R.ARTIFACT_TTL_DAYS, modified: str = "lastModified") -> int:
+    """Take expired rows out of the folder of ``write_objects``; returns how many.
+
+    Only partitions up to the day of the limit are read. Those that keep rows are written again by dynamic partition
+    overwrite, those that keep none are deleted. A second run, or one after a crash, finds what is still to be done.
+    """
+    limit = F.lit(now - ttl_days * 86400)
+    old = spark.read.parquet(path).where(F.col("day") <= F.to_date(F.timestamp_seconds(limit)))
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    counts = old.groupBy("tenantId", "day", folder.alias("folder")).agg(
+        F.count_if(F.col(modified) < limit).alias("expired"), F.count(F.lit(1)).alias("n")
+    )
+    touched = counts.where("expired > 0").collect()  # a row per partition, as many as the reader lists anyway
+    mixed = [r for r in touched if r.expired < r.n]
+    if mixed:
+        wanted = spark.createDataFrame([(r.tenantId, r.day) for r in mixed], old.select("tenantId", "day").schema)
+        same = old["tenantId"].eqNullSafe(wanted["tenantId"]) & (old["day"] == wanted["day"])
+        left = materialise(old.join(F.broadcast(wanted), same, "left_semi").where(F.col(modified) >= limit), "survivors")
+        left = left.repartition("tenantId", "day")
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenantId", "day").parquet(path)
+    files = Files(spark, path)
+    for r in touched:
+        if r.expired == r.n:
+            files.delete_uri(r.folder)
+    return sum(r.expired for r in touched)
+
+
 def write_json_artifacts(
     jobs: DataFrame, path: str, change_log: str = "changeLog", profile: str = "profile", cover_letter: str = "coverLetter"
 ) -> None:

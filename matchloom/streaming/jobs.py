@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from matchloom import rules as R
-from matchloom.sources import tables
+from matchloom.sources import snapshots, tables
 
 
 def stream_upsert(
@@ -21,15 +23,15 @@ def stream_upsert(
     partition: Sequence[str] = (),
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Append each micro-batch's last row per key to ``path``; read it with ``tables.read_latest``.
+    """Add each micro-batch's last row per key to the keyed table at ``path``; read it with ``snapshots.read``.
 
-    A batch that is retried appends the same rows again, which changes no latest row.
+    A batch is published under the id of its query and its own number, so one that is run again adds its rows once.
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        rows = tables.latest(batch, keys, order)
-        writer = rows.write.mode("append")
-        (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        name = f"{json.loads(known)['id']}-{batch_id}"
+        snapshots.append(tables.latest(batch, keys, order), path, name, partition)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -88,40 +90,60 @@ def stream_retention(
 
 
 STUCK_OUTPUT = "tenantId string, jobId string, startedAt timestamp"
-STUCK_STATE = "startedAt timestamp"
+
+
+class StuckJobs(StatefulProcessor):
+    """State of a job: its latest STATUS, and whether a RESULT has come, early or late. A timer waits for the limit.
+
+    A job is reported when event time passes its latest RUNNING plus the limit while neither a later STATUS
+    (such as FAILED) nor a RESULT is there: the rule of ``tables.stuck_jobs``.
+    """
+
+    def __init__(self, limit_seconds: int):
+        self.limit_ms = limit_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "millis long, status string")
+        self.ended = handle.getValueState("ended", "ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = tuple(self.last.get()) if self.last.exists() else None
+        ended = self.ended.exists()
+        for row in rows:
+            if row.entityType == "RESULT" and not ended:
+                ended = True
+                self.ended.update((True,))
+            elif row.entityType == "STATUS" and row.millis is not None:
+                last = max(last or (row.millis, row.status or ""), (row.millis, row.status or ""))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if last is not None:
+            self.last.update(last)
+            if last[1] == "RUNNING" and not ended:
+                # event time may have passed the limit already
+                self.handle.registerTimer(max(last[0] + self.limit_ms, timerValues.getCurrentWatermarkInMs()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        millis = self.last.get()[0]
+        yield Row(tenantId=key[0], jobId=key[1], startedAt=dt.datetime.fromtimestamp(millis / 1000, dt.timezone.utc))
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_stuck(stream: DataFrame, limit_seconds: int = R.STUCK_AFTER_SECONDS, ts: str = "ts", lateness: str = "10 minutes") -> DataFrame:
-    """Jobs RUNNING without a RESULT when event time passes their start plus the limit.
+    """Jobs whose latest STATUS is RUNNING for longer than the limit in event time, without a RESULT.
 
-    State holds one start time per open job and is dropped at the result or at the timeout.
+    The session must keep state in RocksDB (``spark.sql.streaming.stateStore.providerClass``). The mark of an ended
+    job stays, so that a RESULT that comes before its STATUS ends the job too.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame({"tenantId": [key[0]], "jobId": [key[1]], "startedAt": [started]})
-            return
-        started, done = (state.get[0] if state.exists else None), False
-        for batch in batches:
-            done = done or bool((batch["entityType"] == "RESULT").any())
-            running = batch.loc[(batch["entityType"] == "STATUS") & (batch["status"] == "RUNNING"), ts]
-            if len(running):
-                latest = running.max().to_pydatetime()
-                started = latest if started is None or latest > started else started
-        if done:
-            if state.exists:
-                state.remove()
-        elif started is not None:
-            state.update((started,))
-            due = pd.Timestamp(started, tz="UTC") if pd.Timestamp(started).tzinfo is None else pd.Timestamp(started)
-            deadline = int(due.timestamp() * 1000) + limit_seconds * 1000
-            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-
-    rows = stream.withWatermark(ts, lateness).select("tenantId", "jobId", "entityType", "status", ts)
-    return rows.groupBy("tenantId", "jobId").applyInPandasWithState(
-        step, STUCK_OUTPUT, STUCK_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    rows = stream.withWatermark(ts, lateness)
+    rows = rows.select("tenantId", "jobId", "entityType", "status", F.unix_millis(F.col(ts).cast("timestamp")).alias("millis"), ts)
+    return rows.groupBy("tenantId", "jobId").transformWithState(
+        StuckJobs(limit_seconds), STUCK_OUTPUT, outputMode="append", timeMode="eventTime"
     )

@@ -2,7 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from matchloom.sources import tables
+import pytest
+
+from matchloom.sources import snapshots, tables, vector_index
 from matchloom.streaming import jobs as streams
 
 
@@ -71,7 +73,11 @@ def test_stream_upsert_equals_batch_and_survives_replay(spark, tmp_path):
     path = str(tmp_path / "out")
     for checkpoint in ("c1", "c2"):  # the second run replays everything
         streams.stream_upsert(stream, path, str(tmp_path / checkpoint), ["k"], ["v"]).awaitTermination()
-        assert {(r.k, r.x) for r in tables.read_latest(spark, path, ["k"], ["v"]).collect()} == {(1, "d"), (2, "b")}
+        assert {(r.k, r.x) for r in snapshots.read(spark, path, ["k"], ["v"]).collect()} == {(1, "d"), (2, "b")}
+        snapshots.compact(spark, path, ["k"], ["v"])
+    before = snapshots.current(spark, path)
+    streams.stream_upsert(stream, path, str(tmp_path / "c2"), ["k"], ["v"]).awaitTermination()
+    assert snapshots.current(spark, path) == before  # nothing new, nothing published
 
 
 def at(minute):
@@ -90,19 +96,134 @@ def test_alarms_equal_batch(spark, tmp_path):
     assert got == want and len(got) == 2
 
 
-def test_stuck_stream(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streams.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_stuck_stream(spark, tmp_path, rocksdb):
     schema = "tenantId string, jobId string, entityType string, status string, ts timestamp"
     batches = [
-        [("t", "slow", "STATUS", "RUNNING", at(0)), ("t", "fine", "STATUS", "RUNNING", at(0))],
-        [("t", "fine", "RESULT", "COMPLETED", at(5))],
-        [("t", "new", "STATUS", "RUNNING", at(60))],
+        [("t", "slow", "STATUS", "RUNNING", at(0)), ("t", "fine", "STATUS", "RUNNING", at(0)), ("t", "early", "RESULT", "COMPLETED", at(1))],
+        [("t", "fine", "RESULT", "COMPLETED", at(5)), ("t", "early", "STATUS", "RUNNING", at(6)), ("t", "broken", "STATUS", "RUNNING", at(6))],
+        [("t", "broken", "STATUS", "FAILED", at(7)), ("t", "again", "STATUS", "FAILED", at(7)), ("t", "again", "STATUS", "RUNNING", at(8))],
+        [("t", "new", "STATUS", "RUNNING", at(60)), ("t", None, "STATUS", None, None)],
         [("t", "other", "RESULT", "COMPLETED", at(61))],
     ]
     stream = write_batches(spark, tmp_path, batches, schema)
     out = streams.stream_stuck(stream)
-    query = (
-        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    assert [r.jobId for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["slow"]
+    for _ in range(2):  # the second run goes on from the checkpoint and reports nothing twice
+        query = (
+            out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert sorted(r.jobId for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["again", "slow"]
+
+
+ROWS = "k int, v int, x string, part string"
+
+
+def test_snapshots(spark, tmp_path):
+    path, keys, order = str(tmp_path / "t"), ["k", "part"], ["v"]
+    rows = lambda *r: spark.createDataFrame(list(r), ROWS)
+    found = lambda: {(r.k, r.v, r.x) for r in snapshots.read(spark, path, keys, order).collect()}
+    with pytest.raises(FileNotFoundError):
+        snapshots.read(spark, path, keys, order)
+    snapshots.append(rows((1, 1, "a", "p"), (2, 1, "b", "q"), (None, 1, "n", "q")), path, partition=["part"])
+    snapshots.append(rows((1, 2, "c", "p"), (None, 2, "m", "q")), path, "one", ["part"])
+    snapshots.append(rows((1, 9, "not twice", "p")), path, "one", ["part"])
+    assert found() == {(1, 2, "c"), (2, 1, "b"), (None, 2, "m")}
+    old = snapshots.current(spark, path)
+    assert snapshots.compact(spark, path, keys, order, ["part"])
+    assert not snapshots.compact(spark, path, keys, order, ["part"])  # nothing to do
+    snapshots.append(rows((2, 5, "z", "q"), (3, 1, "new", "p"), (1, 1, "late", "p")), path, partition=["part"])
+    assert found() == {(1, 2, "c"), (2, 5, "z"), (None, 2, "m"), (3, 1, "new")}
+    files = snapshots.read(spark, path, keys, order).inputFiles()
+    assert files and not any(folder in f for f in files for folder in old.folders)
+    # a writer that dies between write and publish leaves nothing that is read, and its repetition replaces it
+    snapshots._write(rows((2, 99, "lost", "q")), path, "changes-two", ["part"])
+    assert (2, 5, "z") in found()
+    snapshots.append(rows((2, 100, "found", "q")), path, "two", ["part"])
+    assert (2, 100, "found") in found()
+    # so does a compaction; and a writer that knows an old version only does not publish
+    snapshots._write(rows((2, 0, "half", "q")), path, "base-lost", ["part"])
+    assert not snapshots.publish(spark, path, old, old) and (2, 100, "found") in found()
+    before = found()
+    assert "base-lost" in snapshots.clean(spark, path) and found() == before
+    only = snapshots.read(spark, path, keys, order, F.col("part") == "q", ["x"])
+    assert only.columns == ["k", "part", "x"] and {r.x for r in only.collect()} == {"found", "m"}
+    assert "PartitionFilters: [isnotnull(part" in only._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(FileExistsError):
+        snapshots.create(rows(), path, ["part"])
+
+
+def test_compaction_keeps_changes_that_come_meanwhile(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    row = lambda v, x: spark.createDataFrame([(1, v, x)], "k int, v int, x string")
+    snapshots.append(row(1, "a"), path)
+    write = snapshots._write
+
+    def slow(df, path, folder, partition):
+        write(df, path, folder, partition)
+        if folder.startswith("base-"):
+            monkeypatch.setattr(snapshots, "_write", write)
+            snapshots.append(row(2, "b"), path)
+
+    monkeypatch.setattr(snapshots, "_write", slow)
+    assert snapshots.compact(spark, path, ["k"], ["v"])
+    now = snapshots.current(spark, path)
+    assert now.base and len(now.changes) == 1 and snapshots.read(spark, path, ["k"], ["v"]).first().x == "b"
+
+
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    rng, path = np.random.default_rng(4), str(tmp_path / "index")
+    centres = rng.normal(size=(20, 16)) * 4
+    x = centres[rng.integers(0, 20, 1200)] + rng.normal(size=(1200, 16))
+    schema = "tenantId string, id long, embedding array<float>, note string"
+    rows = [(f"t{i % 2}", i, x[i].tolist(), "first") for i in range(1000)]
+    odd = [("t0", 5000, [], "none"), ("t0", 5001, None, "none"), rows[3], rows[3]]
+    vector_index.create(spark.createDataFrame(rows + odd, schema), path, buckets=20)
+    assert vector_index.rows(spark, path).count() == 1000
+    # new keys, and old keys whose vectors move to another bucket
+    moved = [("t0", i, x[i + 1].tolist(), "second") for i in range(0, 100, 2)]
+    vector_index.upsert(spark.createDataFrame([(f"t{i % 2}", i, x[i].tolist(), "second") for i in range(1000, 1200)] + moved, schema), path, version=2)
+    stored = {(r.tenantId, r.id): r.embedding for r in vector_index.rows(spark, path).collect()}
+    assert len(stored) == 1200 and stored["t0", 4] == spark.createDataFrame(moved[2:3], schema).first().embedding
+    for _ in range(2):
+        asked = spark.createDataFrame([("t0", 9000 + i, x[40 * i].tolist()) for i in range(30)] + [("t0", 1, []), ("t9", 2, x[0].tolist())], "tenantId string, query_id long, embedding array<float>")
+        unit = {k: np.array(v, dtype=np.float64) / np.linalg.norm(np.array(v, dtype=np.float64)) for k, v in stored.items() if k[0] == "t0"}
+        want = {}
+        for i in range(30):
+            q = np.array(np.float32(x[40 * i]), dtype=np.float64)
+            q /= np.linalg.norm(q)
+            want[9000 + i] = sorted(unit, key=lambda key: (-round(float(unit[key] @ q), 12), key[1]))[:10]
+        exact = vector_index.search(spark, path, asked, probes=20).collect()
+        assert {(r.query_id, r.rank): r.doc_id for r in exact} == {(q, n + 1): key[1] for q, keys in want.items() for n, key in enumerate(keys)}
+        usual = vector_index.search(spark, path, asked).collect()
+        hits = {(r.query_id, r.doc_id) for r in usual} & {(q, key[1]) for q, keys in want.items() for key in keys}
+        assert len(hits) >= 0.9 * 300 and vector_index._centres(spark, path)[1] <= 6  # far from all buckets
+        vector_index.compact(spark, path)
+    one = vector_index.search(spark, path, asked.where("query_id = 9001"), probes=2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {f.split("bucket=")[1].split("/")[0] for f in one.inputFiles() if "bucket=" in f}
+
+
+def test_retention(spark, tmp_path):
+    day, now = 86400, 20 * 86400 + 3600
+    rows = [("t", f"old{i}", i * day + 7) for i in range(10)] + [("t", "edge", 13 * day + 3599), ("t", "kept", 13 * day + 3600)]
+    rows += [("u/%", "gone", 13 * day), ("u/%", "fresh", 19 * day), ("t", "unknown", None), (None, "old", 5)]
+    path = str(tmp_path / "o")
+    tables.write_objects(spark.createDataFrame(rows, "tenantId string, key string, lastModified long"), path)
+    assert tables.prune_objects(spark, path, now) == 13
+    assert tables.prune_objects(spark, path, now) == 0
+    left = spark.read.parquet(path)
+    assert sorted(r.key for r in left.collect()) == ["fresh", "kept", "unknown"]
+    assert {r.tenantId for r in left.collect()} == {"t", "u/%"}

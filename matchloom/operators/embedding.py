@@ -12,6 +12,7 @@ from matchloom.functions.rows import explode_rows
 from matchloom.operators.parsing import all_bullets
 from matchloom.operators.skills import validated_source
 from matchloom import rules as R
+from matchloom.sources.answers import answered_once
 
 KEYS = ("tenantId", "jobId")
 
@@ -121,18 +122,23 @@ def embed(
     text: str = "text",
     out: str = "embedding",
     drop_empty: bool = False,
+    store: str | None = None,
+    batches: int = 1,
 ) -> DataFrame:
     """Add a vector per text. ``model`` is a column function, for example a pandas UDF
     (string -> array<float>). A text without a vector is an error.
 
-    ``drop_empty=True`` (queries) leaves out empty texts before the model sees them.
+    ``drop_empty=True`` (queries) leaves out empty texts before the model sees them. With ``store``, a folder, the
+    model is asked once per distinct text, and its vectors are kept there for later runs (``sources.answers``).
     """
     if drop_empty:
         df = df.where(F.col(text) != "")
     if model is None:
         return hashing_embedder(df, text, out)
-    vector = model(F.col(text))
-    staged = df.withColumn("_vector", vector.cast("array<float>"))
+    if store is None:
+        staged = df.withColumn("_vector", model(F.col(text)).cast("array<float>"))
+    else:
+        staged = answered_once(df, [text], model, "_vector", store, "array<float>", batches)
     missing = F.col("_vector").isNull() | (F.size("_vector") == 0)
     return staged.withColumn(
         out, F.when(missing, F.raise_error(F.lit("embedding model returned no vector")).cast("array<float>")).otherwise(F.col("_vector"))

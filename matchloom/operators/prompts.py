@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from matchloom import schemas as S
 from matchloom.functions import text as X
 from matchloom.functions.rows import inline_rows, settle
 from matchloom.session import materialise
+from matchloom.sources.answers import answered_once
 
 KEYS = ("tenantId", "jobId")
 _JSON = {"ignoreNullFields": "false"}
@@ -226,3 +228,32 @@ def run_chain(
         jobs = run_stage(jobs, prompts, stage, generate, durable)
     data = F.from_json(f"out_{R.PROMPT_STAGES[-1]}", S.GENERATION)
     return generation_result(jobs.withColumn("data", data)).drop("data")
+
+
+REJECTS = "stage string, raw string, error string"
+
+
+def generate_all(
+    jobs: DataFrame, prompts: DataFrame, generate: Callable[[Column, Column], Column], store: str, batches: int = 1,
+    keys: Sequence[str] = KEYS,
+) -> tuple[DataFrame, DataFrame]:
+    """(finished jobs, rejects) of the five stages. A bad answer ends its own job only, as a row (keys, stage, raw, error).
+
+    Answers are kept below ``store`` by stage and prompt: a run that starts again asks only what has no answer yet, and
+    jobs with equal prompts share one.
+    """
+    rejects = []
+    for stage in R.PROMPT_STAGES:
+        out = f"out_{stage}"
+        asked = build_prompts(stage_rows(jobs, stage), prompts)
+        said = answered_once(asked, ["prompt", "stopSequences"], generate, "_answer", f"{store.rstrip('/')}/{stage}", batches=batches)
+        read = settle(said.drop("prompt", "stopSequences", "stage"), **{out: extract_output(F.col("_answer"))})
+        # written, for the next stage and the rejects both read it
+        read = materialise(read.withColumn("_valid", F.coalesce(F.try_parse_json(out).isNotNull(), F.lit(False))), f"stage-{stage}")
+        error = F.when(F.col("_answer").isNull(), F.lit("no answer")).otherwise(F.concat(F.lit("no valid JSON: "), F.col(out)))
+        bad = read.where("not _valid")
+        rejects.append(bad.select(*keys, F.lit(stage).alias("stage"), F.col(out).alias("raw"), error.alias("error")))
+        jobs = read.where("_valid").drop("_valid", "_answer")
+    good, bad = parse_model_json(jobs, S.GENERATION, out)
+    rejects.append(bad.select(*keys, F.lit(R.PROMPT_STAGES[-1]).alias("stage"), F.col(out).alias("raw"), "error"))
+    return generation_result(good).drop("data"), reduce(DataFrame.unionByName, rejects)

@@ -1005,3 +1005,58 @@ def generation_result(spark, sf):
     return done.unionByName(
         bad.select(*KEYS, empty.alias("summary"), F.lit(0).alias("changes"), empty.alias("letter"), F.lit("reject").alias("outcome"))
     )
+
+
+def _blanks_and_length(text):
+    blanks = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.array(F.length(text), blanks).cast("array<float>")
+
+
+@query
+def embed_once(spark, sf):
+    """The vectors of ``embed_texts``, asked once per distinct text and found again by a second run."""
+    store = shared_dir(spark, "vectors-by-text")
+    queries = embedding.build_queries(jobs(spark, sf))
+    embedding.embed(queries.where("query_no = 0"), _blanks_and_length, drop_empty=True, store=store)
+    rows = embedding.embed(queries, _blanks_and_length, drop_empty=True, store=store, batches=2)
+    part = F.col("embedding")
+    return rows.select(*KEYS, "query_no", part[0].cast("int").alias("n_chars"), part[1].cast("int").alias("blanks"))
+
+
+def _stand_in(prompt, _stop):
+    """A model by rule: what it answers depends on the stage and the number in the prompt, and some answers are bad."""
+    k, stage = F.regexp_extract(prompt, "#([0-9]+)#", 1), F.regexp_extract(prompt, "^[a-z_]+", 0)
+    mark = F.concat(F.lit("#"), k, F.lit("#"))
+    named = lambda name: F.concat(F.lit(f'{{"{name}": "'), mark, F.lit('"}'))
+    n = k.try_cast("long")
+    final = F.concat(F.lit('{"tailoredResume": {"summary": "Resume '), k, F.lit('"}}'))
+    return (
+        F.when((stage == "experience_alignment") & (n % 10 == 3), F.lit("I cannot do that"))
+        .when((stage == "consistency_check") & (n % 7 == 2), F.concat(F.lit('{"tailoredResume": '), k))
+        .when(stage == "consistency_check", final)
+        .when(stage == "competency_extraction", F.concat(F.lit('{"competencies": [{"name": "'), mark, F.lit('"}]}')))
+        .otherwise(named("plan"))
+    )
+
+
+@query
+def generation_rejects(spark, sf):
+    """Five stages over all resumes: finished jobs, and the stage whose answer ended each of the others."""
+    variables = {
+        "competency_extraction": "{jobDescription}", "experience_alignment": "{competencies} {retrievedChunks}",
+        "bullet_rewrite": "{alignmentPlan} {options}", "skills_harmonization": "{bulletRewrites} {extractedSkills}",
+        "consistency_check": "{skills} {styleGuide}",
+    }
+    rows = [(name, f"{name} {text}", ["</response>"]) for name, text in variables.items()]
+    templates = spark.createDataFrame(rows, "name string, template string, stopSequences array<string>")
+    none = lambda ddl: F.lit(None).cast(ddl)
+    wanted = resume_corpus(spark, sf).select(
+        *KEYS, F.struct(F.concat(F.lit("#"), "k", F.lit("#")).alias("title")).alias("job"), none(S.RESUME).alias("resume"),
+        none("array<string>").alias("validated"), none(S.CHUNKS).alias("chunks"), none("array<string>").alias("skills"),
+        none(S.STYLE_PROFILE).alias("profile"),
+        none("struct<tone:string,length:string,keywords:array<string>,includeCoverLetter:boolean>").alias("options"),
+        *[none("string").alias(f"out_{s}") for s in R.PROMPT_STAGES],
+    )
+    done, bad = prompts.generate_all(wanted, templates, _stand_in, shared_dir(spark, "answers"))
+    finished = done.select(*KEYS, F.lit("finished").alias("outcome"), "tailoredResume.summary")
+    return finished.unionByName(bad.select(*KEYS, F.col("stage").alias("outcome"), F.col("raw").alias("summary")))

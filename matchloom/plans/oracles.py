@@ -817,3 +817,13 @@ SELECT "tenantId", "jobId", CASE WHEN k % 10 = 0 THEN '' ELSE 'Resume ' || k END
        CASE WHEN k % 10 = 0 THEN 'reject' ELSE 'ok' END AS outcome
 FROM b
 """
+
+ORACLES["embed_once"] = ORACLES["embed_texts"]
+
+ORACLES["generation_rejects"] = f"""
+WITH {_RESUME}
+SELECT "tenantId", "jobId",
+       CASE WHEN k % 10 = 3 THEN 'experience_alignment' WHEN k % 7 = 2 THEN 'consistency_check' ELSE 'finished' END AS outcome,
+       CASE WHEN k % 10 = 3 THEN 'I cannot do that' WHEN k % 7 = 2 THEN '{{"tailoredResume": ' || k ELSE 'Resume ' || k END AS summary
+FROM b
+"""

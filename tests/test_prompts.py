@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchloom import rules as R
 from matchloom import schemas as S
 from matchloom.operators import embedding, parsing, prompts
+from matchloom.sources.answers import answered_once
 
 TEMPLATES = {
     "competency_extraction": "Rank competencies of {jobDescription}",
@@ -116,3 +117,93 @@ def test_embedding(spark):
         embedding.embed(docs.withColumn("text", F.lit("hi")), sizes).collect()
     summary = embedding.embedding_summary(docs, "i", "c").first()
     assert summary.vectorIds == ["t#j#jd"] and summary.documentCount == 1
+
+
+def counting(spark, answer, kind="string"):
+    """A column function and the number of questions it was asked."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(kind)
+    def ask(*columns: pd.Series) -> pd.Series:
+        asked.add(len(columns[0]))
+        return columns[0].map(answer)
+
+    return ask, asked
+
+
+def test_answers_are_asked_once_and_kept(spark, tmp_path):
+    rows = [(i, f"q{i % 7}") for i in range(100)] + [(200, None), (201, ""), (202, "nothing")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    store, say = str(tmp_path / "store"), lambda t: None if t == "nothing" else f"a:{t}"
+    model, asked = counting(spark, say)
+    for _ in range(2):
+        got = answered_once(df, ["text"], model, "answer", store)
+        assert {(r.id, r.text, r.answer) for r in got.collect()} == {(i, t, say(t)) for i, t in rows}
+    assert asked.value == 10 + 1  # what has no answer is asked again
+    more = df.unionByName(spark.createDataFrame([(300, "new")], "id int, text string"))
+    assert answered_once(more, ["text"], model, "answer", store).count() == 104
+    assert asked.value == 11 + 2
+    assert answered_once(df.where("id < 0"), ["text"], model, "answer", str(tmp_path / "empty")).count() == 0
+
+
+def test_a_broken_run_goes_on_behind_its_answers(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"q{i}") for i in range(80)], "id int, text string").coalesce(1)
+    store, flag = str(tmp_path / "store"), tmp_path / "broken"
+    flag.touch()
+    path = str(flag)
+
+    def say(text):
+        import os
+
+        if text == "q41" and os.path.exists(path):
+            raise RuntimeError("the model is away")
+        return f"a:{text}"
+
+    model, asked = counting(spark, say)
+    with pytest.raises(Exception, match="the model is away"):
+        answered_once(df, ["text"], model, "answer", store, batches=8)
+    flag.rename(tmp_path / "mended")
+    before = asked.value
+    got = answered_once(df, ["text"], model, "answer", store, batches=8)
+    assert got.where("answer = concat('a:', text)").count() == 80
+    kept = 80 - (asked.value - before)
+    assert kept == spark.read.parquet(store).count() - (asked.value - before) and kept > 0
+
+
+def test_generation_with_rejects_and_resume(spark, templates, tmp_path):
+    base = job_rows(spark, None)
+    jobs = base.drop("jobId").crossJoin(spark.range(12).select(F.format_string("j%02d", "id").alias("jobId")))
+    jobs = jobs.withColumn("job", F.col("job").withField("summary", F.concat(F.lit("#"), F.substring("jobId", 2, 2))))
+    answers = {k: json.dumps(v) for k, v in ANSWERS.items()}
+
+    def say(prompt):
+        stage, number = prompt.split()[0], int(prompt.split("#")[1][:2]) if "#" in prompt else -1
+        if stage == "Rank" and number % 4 == 1:
+            return "not JSON"
+        if stage == "Rank":
+            return json.dumps({"competencies": [{"name": f"#{number:02d}"}]})
+        if stage == "Write" and number % 4 == 2:
+            return json.dumps({"results": [{"outputText": '{"tailoredResume": 5'}]})
+        return json.dumps({"results": [{"outputText": answers[stage]}]})
+
+    model, asked = counting(spark, say)
+    store = str(tmp_path / "answers")
+    for _ in range(2):
+        good, bad = prompts.generate_all(jobs, templates, model, store)
+        assert {r.jobId for r in good.collect()} == {f"j{i:02d}" for i in range(12) if i % 4 in (0, 3)}
+        assert {(r.jobId, r.stage) for r in bad.collect()} == {(f"j{i:02d}", "competency_extraction") for i in (1, 5, 9)} | {
+            (f"j{i:02d}", "consistency_check") for i in (2, 6, 10)
+        }
+        assert good.first().tailoredResume.summary == "S" and good.first().coverLetter is None
+        # 12 first prompts, 9 alignments of their own, one rewrite and one merge for all, 9 final prompts; the second run asks none
+        assert asked.value == 12 + 9 + 1 + 1 + 9
+    assert {r.error for r in bad.collect()} == {"no valid JSON: not JSON", 'no valid JSON: {"tailoredResume": 5'}
+
+
+def test_embedding_with_a_store(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab" * (i % 3)) for i in range(30)], "id int, text string")
+    model, asked = counting(spark, lambda t: [float(len(t))], "array<float>")
+    for _ in range(2):
+        got = embedding.embed(df, model, drop_empty=True, store=str(tmp_path / "v")).collect()
+        assert {(r.id, r.embedding[0]) for r in got} == {(i, 2.0 * (i % 3)) for i in range(30) if i % 3}
+    assert asked.value == 2

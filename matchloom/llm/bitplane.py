@@ -25,9 +25,11 @@ from matchloom.session import shared_dir
 BLOCK_IDS = 1 << 16
 #: A row is closed when it holds so many ids; a longer document has a row of its own.
 ROW_IDS = 1 << 20
-#: Chunks of text whose ids are remembered by a worker, for each of two generations.
-REMEMBERED = 300_000
-_CUT_CHARS = 1 << 20
+#: Chunks of text whose ids are remembered by a worker, for each of two generations, and their longest.
+REMEMBERED = 600_000
+_CHUNK_CHARS = 256
+#: Longer texts are encoded piece by piece, shorter ones some at a time.
+_CUT_CHARS, _SHORT_CHARS = 1 << 20, 1 << 16
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -68,33 +70,49 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
 
-    def _chunks(self, chunks: list[str]) -> bytes | None:
-        """Ids of chunks that each follow a blank; None if one begins or ends with white space."""
-        new = [c for c in set(chunks) if c not in self.known]
-        if new:
-            missing = []
-            for c in new:
-                if c in self.older:
-                    self.known[c] = self.older[c]
-                elif not c or c[0].isspace() or c[-1].isspace():
-                    return None
-                else:
-                    missing.append(c)
-            for at in range(0, len(missing), 512):
-                some = missing[at : at + 512]
-                self.known.update(zip(some, self._together(some)))
-        return b"".join(map(self.known.__getitem__, chunks))
-
-    def _part(self, text: str, follows: bool) -> bytes:
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Remember the ids of chunks that each follow a blank, but of none with white space at an end and of no long one."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
+        known, older, missing = self.known, self.older, []
+        for c in set().union(*lists).difference(known):
+            if c in older:
+                known[c] = older[c]
+            elif c and len(c) <= _CHUNK_CHARS and not c[0].isspace() and not c[-1].isspace():
+                missing.append(c)
+        for at in range(0, len(missing), 1024):
+            some = missing[at : at + 1024]
+            known.update(zip(some, self._together(some)))
+
+    def _known(self, first: str, rest: list[str]) -> bytes | None:
+        """Ids of remembered chunks; None if one of them is not, or if the first blank is not on its own."""
+        try:
+            return None if first[-1:].isspace() else b"".join(map(self.known.__getitem__, rest))
+        except KeyError:
+            return None
+
+    def _part(self, text: str, follows: bool) -> bytes:
         first, *rest = text.split(" ")
-        found = None if first[-1:].isspace() else self._chunks(rest)
+        self._learn([rest])
+        found = self._known(first, rest)
         if found is None:
             first, *rest = _BETWEEN.split(text)
             found = b"".join(self._whole([" " + c for c in rest])) if rest else b""
         return self._whole([" " + first if follows else first])[0] + found
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. What is new in short texts is encoded at once, and so are their beginnings."""
+        short = [i for i, t in enumerate(texts) if t and len(t) <= _SHORT_CHARS and self.cuttable and not any(s in t for s in self.special)]
+        split = [texts[i].split(" ") for i in short]
+        firsts, rests = [c[0] for c in split], [c[1:] for c in split]
+        self._learn(rests)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, first, rest, head in zip(short, firsts, rests, self._whole(firsts) if firsts else []):
+            found = self._known(first, rest)
+            if found is not None:
+                out[i] = np.frombuffer(head + found, dtype="<u4")
+        return [self.encode(t) if ids is None else ids for t, ids in zip(texts, out)]
+
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
         if not self.cuttable or any(s in text for s in self.special):
@@ -185,9 +203,9 @@ def _write_shard(definition: str, end_id: int, plane: str):
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _ROW)], schema=_ROW)
 
         for part in slices(batches):
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for doc, ids in zip(part.column(0).to_pylist(), tool.encode_all(part.column(1).to_pylist())):
                 docs.append(doc)
-                held.append(np.concatenate([tool.encode(text), end]))
+                held.append(np.concatenate([ids, end]))
                 size += len(held[-1])
                 if size >= ROW_IDS:
                     yield row()

@@ -60,13 +60,13 @@ def substring_coverage(
     item: str = "text",
     text_id: str = "text_id",
     text: str = "text",
-    force_grid: bool = False,
+    force_index: bool = False,
 ) -> DataFrame:
     """Corpus form: per key the number of items and of items contained in any text of the key."""
     keys = list(keys)
     needles = items.select(*keys, F.col(item_id).alias("needle_id"), F.lower(item).alias("needle"))
     bodies = texts.select(*keys, F.col(text_id).alias("text_id"), F.lower(text).alias("text"))
-    found = contained(bodies, needles, keys, force_grid=force_grid).withColumn("hit", F.lit(1))
+    found = contained(bodies, needles, keys, force_index=force_index).withColumn("hit", F.lit(1))
     return (
         items.select(*keys, F.col(item_id).alias("needle_id"))
         .join(found, [*keys, "needle_id"], "left")
@@ -202,11 +202,11 @@ def unsupported(
     keys: Sequence[str] = (),
     bullet_id: str = "bullet_id",
     text_id: str = "text_id",
-    force_grid: bool = False,
+    force_index: bool = False,
     chars: int | None = None,
 ) -> DataFrame:
     """Corpus form: bullets (keys, bullet_id, text) found in no evidence text of their key."""
     needles = bullets.select(*keys, F.col(bullet_id).alias("needle_id"), bullet_needle(F.col("text"), chars).alias("needle"))
     bodies = evidence.select(*keys, F.col(text_id).alias("text_id"), F.lower("text").alias("text"))
-    found = contained(bodies, needles, keys, force_grid=force_grid).withColumnRenamed("needle_id", bullet_id)
+    found = contained(bodies, needles, keys, force_index=force_index).withColumnRenamed("needle_id", bullet_id)
     return bullets.join(found, [*keys, bullet_id], "left_anti")

@@ -5,8 +5,8 @@ operators run one of two plans and only emit matches:
 
 * the small side is proven small (its rows and bytes are counted first): it is
   broadcast and the large side is scanned where it lies, without a shuffle;
-* otherwise both sides are cut into blocks of bounded size per key and each pair of
-  blocks is one group of a cogroup. The number of blocks follows the counted
+* otherwise needles and texts meet by an inverted index over words; queries and vectors are cut into blocks of
+  bounded size per key and each pair of blocks is one group of a cogroup. The number of blocks follows the counted
   weight of the key, so a key with a third of all rows becomes many groups.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom import rules as R
+from matchloom.functions.rows import explode_rows
 
 BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 16_000_000
@@ -120,15 +121,16 @@ def contained(
     needle_id: str = "needle_id",
     needle: str = "needle",
     pairs: bool = False,
-    force_grid: bool = False,
+    force_index: bool = False,
 ) -> DataFrame:
     """Which needles occur, character for character, in which texts with equal keys.
 
     ``pairs=False`` gives distinct (keys, needle_id): the needles found at all.
     ``pairs=True`` gives distinct (keys, text_id, needle_id). An empty needle occurs in every text.
     Rows with a null key, needle or text take no part, nor do needles (for pairs also texts) with a null id.
-    Lower-case both sides before the call where case must not matter. Each text is scanned
-    once for all needles (of a block), so the work is linear in the text.
+    Lower-case both sides before the call where case must not matter. Few needles are broadcast and each text is scanned
+    once for all of them. Beyond the bound (or with ``force_index``) an inverted index over the words of the texts
+    brings each text together with the needles it may hold (``_by_rarest_word``).
     """
     keys = list(keys)
     # a null key equals none, a hit without an id says nothing; and ids stay whole numbers in pandas
@@ -142,7 +144,7 @@ def contained(
     names = [f.name for f in fields]
     n_keys = len(keys)
 
-    bounded = not force_grid and is_bounded(needles, F.length(needle) + 1, BROADCAST_ROWS, BROADCAST_CHARS)
+    bounded = not force_index and is_bounded(needles, F.length(needle) + 1, BROADCAST_ROWS, BROADCAST_CHARS)
     if bounded:
         owners: dict[str, dict[tuple, list]] = {}
         for row in needles.collect():  # bounded by the check above
@@ -167,30 +169,95 @@ def contained(
 
         return texts.mapInPandas(scan, schema).distinct()
 
+    plain = texts.select(*keys, F.col(text_id).alias("_tid"), F.col(text).alias("_text"))
+    wanted = needles.select(*keys, F.col(needle_id).alias("_nid"), F.col(needle).alias("_needle"))
+    found = _by_rarest_word(plain, wanted, keys)
+    every = plain if pairs else plain.dropDuplicates(keys) if keys else plain.limit(1)
+    found = found.unionByName(_in_every_text(every, wanted.where("_needle = ''"), keys))
+    symbols = wanted.where((F.col("_needle") != "") & ~F.col("_needle").rlike(_WORD))
+    found = found.unionByName(_by_blocks(plain, symbols, keys))
+    columns = [*keys, *([F.col("_tid").alias(text_id)] if pairs else []), F.col("_nid").alias(needle_id)]
+    return found.select(*columns).distinct()
+
+
+#: A word of a text or needle, and what a needle may have cut off: its first and last word, if nothing stands around them.
+_WORD = r"[\p{L}\p{N}]+"
+_EDGES = rf"^{_WORD}|{_WORD}\z"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+
+def _inner_words(needle: Column) -> Column:
+    """Words with something else on both sides: a text that holds the needle has them as words of its own."""
+    return _words(F.regexp_replace(needle, _EDGES, ""))
+
+
+def _grams(word: str) -> Column:
+    """All runs of one to three characters of a word."""
+    chars = F.split(word, "")
+
+    def runs(size: int) -> Column:
+        return F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, F.lit(size)), ""))
+
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
+def _by_rarest_word(texts: DataFrame, needles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _tid, _nid) by an inverted index: needles wait at a word, and texts look only at those of their words.
+
+    A needle waits at the rarest of its words that have something else on both sides, for these are words of any text
+    around it. One without such a word waits at all words of the texts that contain its longest word, which are found in
+    the vocabulary by runs of characters. A text's words move without the text; the text itself moves once, to be
+    compared with the needles it met. Equal texts of a key are one.
+    """
+    known = F.sha2("_text", 256)
+    words = texts.select(*keys, known.alias("_t"), F.explode(F.array_distinct(_words(F.col("_text")))).alias("_word"))
+    vocabulary = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+    needles = needles.where(F.col("_needle").rlike(_WORD))
+    inner = explode_rows(needles, [*keys, "_nid", "_needle"], F.array_distinct(_inner_words(F.col("_needle"))), "_word")
+    # a word that no text holds comes first: nothing can be found
+    rarity = F.struct(F.coalesce("_df", F.lit(0).cast("long")).alias("df"), "_word")
+    rarest = inner.join(vocabulary, "_word", "left").groupBy(*keys, "_nid", "_needle").agg(F.min(rarity).alias("_r"))
+    waiting = rarest.where("_r.df > 0").select(*keys, "_nid", "_needle", F.col("_r._word").alias("_word"))
+    longest = F.array_max(F.transform(_words(F.col("_needle")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    outer = needles.where(F.size(_inner_words(F.col("_needle"))) == 0).withColumn("_part", longest["w"])
+    parts = outer.select("_part", F.substring("_part", 1, 3).alias("_gram")).distinct()
+    grams = explode_rows(vocabulary, ["_word"], _grams("_word"), "_gram")
+    holding = parts.join(grams, "_gram").where(F.contains("_word", "_part")).select("_part", "_word")
+    waiting = waiting.unionByName(outer.join(holding, "_part").select(*keys, "_nid", "_needle", "_word"))
+    met = words.join(waiting, [*keys, "_word"]).select(*keys, "_t", "_nid", "_needle").distinct()
+    each = texts.select(*keys, known.alias("_t"), "_text").dropDuplicates([*keys, "_t"])
+    held = met.join(each, [*keys, "_t"]).where(F.contains("_text", "_needle")).select(*keys, "_t", "_nid")
+    return held.join(texts.select(*keys, known.alias("_t"), "_tid"), [*keys, "_t"]).select(*keys, "_tid", "_nid")
+
+
+def _in_every_text(texts: DataFrame, needles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _tid, _nid) of empty needles."""
+    at = [*keys, "_one"]
+    found = texts.withColumn("_one", F.lit(1)).join(needles.withColumn("_one", F.lit(1)), at)
+    return found.select(*keys, "_tid", "_nid")
+
+
+def _by_blocks(texts: DataFrame, needles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _tid, _nid) of needles without any word, block by block."""
     lt, rt = block_grid(
-        texts,
-        needles,
-        keys,
-        text_id,
-        needle_id,
-        (F.length(text) + 1, TEXT_BLOCK_CHARS),
-        (F.length(needle) + 1, NEEDLE_BLOCK_CHARS),
+        texts, needles, keys, "_tid", "_nid", (F.length("_text") + 1, TEXT_BLOCK_CHARS), (F.length("_needle") + 1, NEEDLE_BLOCK_CHARS)
     )
+    schema = T.StructType([*[texts.schema[k] for k in keys], texts.schema["_tid"], needles.schema["_nid"]])
 
     def match(group_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(group_key[:n_keys])
+        key = tuple(group_key[: len(keys)])
         owners: dict[str, dict[tuple, list]] = {}
-        for nid, word in zip(right[needle_id].tolist(), right[needle].tolist()):
+        for nid, word in zip(right["_nid"].tolist(), right["_needle"].tolist()):
             owners.setdefault(word, {}).setdefault(key, []).append(nid)
         scanner = _Scanner(owners)
-        found = set()
-        for tid, body in zip(left[text_id].tolist(), left[text].tolist()):
-            for nid in scanner.hits(body, key):
-                found.add((*key, tid, nid) if pairs else (*key, nid))
-        return pd.DataFrame(list(found), columns=names)
+        found = {(*key, tid, nid) for tid, body in zip(left["_tid"].tolist(), left["_text"].tolist()) for nid in scanner.hits(body, key)}
+        return pd.DataFrame(list(found), columns=schema.names)
 
     by = [*keys, "_lb", "_rb"]
-    return lt.groupBy(*by).cogroup(rt.groupBy(*by)).applyInPandas(match, schema).distinct()
+    return lt.groupBy(*by).cogroup(rt.groupBy(*by)).applyInPandas(match, schema)
 
 
 # --- nearest neighbours ---------------------------------------------------

@@ -153,14 +153,14 @@ def banned_claim_issues(resume_json: Column | str, keywords: Sequence[str]) -> C
 
 
 def banned_claims(
-    resumes: DataFrame, keywords: DataFrame, keys: Sequence[str], payload: str = "payload", force_grid: bool = False
+    resumes: DataFrame, keywords: DataFrame, keys: Sequence[str], payload: str = "payload", force_index: bool = False
 ) -> DataFrame:
     """Table form for a keyword table of any size: (keys, keyword) per keyword contained in the payload."""
     texts = resumes.select(F.struct(*keys).alias("_key"), F.lower(payload).alias("text"))
     # a struct id keeps any key shape; it is opened again below
     texts = texts.select(F.to_json("_key").alias("text_id"), "text")
     words = keywords.select(F.col("keyword").alias("needle_id"), F.lower("keyword").alias("needle"))
-    found = contained(texts, words, pairs=True, force_grid=force_grid)
+    found = contained(texts, words, pairs=True, force_index=force_index)
     key_type = resumes.select(F.struct(*keys).alias("k")).schema["k"].dataType
     return found.select(F.from_json("text_id", key_type).alias("k"), F.col("needle_id").alias("keyword")).select(
         *[F.col(f"k.{k}").alias(k) for k in keys], "keyword"

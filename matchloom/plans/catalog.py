@@ -348,10 +348,15 @@ def substring_coverage(spark, sf):
 
 
 @query
-def substring_items(spark, sf):
+def substring_coverage_index(spark, sf):
+    """As without a bound on the needles: by the inverted index."""
+    return C.substring_coverage(table(spark, sf, "benchmark"), _bodies(spark, sf), [], force_index=True)
+
+
+def _substring_items(spark, sf, force_index=False):
     docs = _bodies(spark, sf, "source")
     needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower("text").alias("needle"))
-    pairs = matching.contained(docs.withColumn("text", F.lower("text")), needles, pairs=True)
+    pairs = matching.contained(docs.withColumn("text", F.lower("text")), needles, pairs=True, force_index=force_index)
     return (
         pairs.join(docs.select("text_id", "source"), "text_id")
         .groupBy("source", F.col("needle_id").alias("item_id"))
@@ -359,6 +364,16 @@ def substring_items(spark, sf):
     )
 
 
+@query
+def substring_items(spark, sf):
+    return _substring_items(spark, sf)
+
+
+@query
+def substring_items_index(spark, sf):
+    return _substring_items(spark, sf, force_index=True)
+
+
 @query
 def chunk_coverage(spark, sf):
     chunks = F.array(F.array_join("resume.skills", " "), F.col("resume.summary"))
@@ -393,17 +408,35 @@ def keyword_coverage(spark, sf):
     return C.coverage_scores(C.token_coverage(keywords, answered, ["conv_id"], target_id="keyword"), ["conv_id"])
 
 
+def _unsupported(spark, sf, force_index=False):
+    bullets = table(spark, sf, "benchmark").select(F.col("item_id").alias("bullet_id"), "text")
+    return C.unsupported(bullets, _bodies(spark, sf), force_index=force_index).withColumnRenamed("bullet_id", "item_id")
+
+
 @query
 def unsupported(spark, sf):
-    bullets = table(spark, sf, "benchmark").select(F.col("item_id").alias("bullet_id"), "text")
-    return C.unsupported(bullets, _bodies(spark, sf)).withColumnRenamed("bullet_id", "item_id")
+    return _unsupported(spark, sf)
 
 
 @query
-def banned_claims(spark, sf):
+def unsupported_index(spark, sf):
+    return _unsupported(spark, sf, force_index=True)
+
+
+def _banned_claims(spark, sf, force_index=False):
     words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("keyword")).distinct()
     docs = _documents(spark, sf).select("doc_id", F.col("text").alias("payload"))
-    return validation.banned_claims(docs, words, ["doc_id"])
+    return validation.banned_claims(docs, words, ["doc_id"], force_index=force_index)
+
+
+@query
+def banned_claims(spark, sf):
+    return _banned_claims(spark, sf)
+
+
+@query
+def banned_claims_index(spark, sf):
+    return _banned_claims(spark, sf, force_index=True)
 
 
 # --- scores ---------------------------------------------------------------

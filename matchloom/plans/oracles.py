@@ -827,3 +827,6 @@ SELECT "tenantId", "jobId",
        CASE WHEN k % 10 = 3 THEN 'I cannot do that' WHEN k % 7 = 2 THEN '{{"tailoredResume": ' || k ELSE 'Resume ' || k END AS summary
 FROM b
 """
+
+for _name in ("substring_coverage", "substring_items", "unsupported", "banned_claims"):
+    ORACLES[f"{_name}_index"] = ORACLES[_name]

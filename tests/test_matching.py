@@ -24,7 +24,7 @@ def test_contained_equals_brute_force(spark, monkeypatch, grid, pairs, keyed):
     t = spark.createDataFrame(texts, "k string, text_id int, text string")
     n = spark.createDataFrame(needles, "k string, needle_id int, needle string")
     keys = ["k"] if keyed else []
-    got = [tuple(r) for r in matching.contained(t, n, keys, pairs=pairs, force_grid=grid).collect()]
+    got = [tuple(r) for r in matching.contained(t, n, keys, pairs=pairs, force_index=grid).collect()]
     want = {
         ((tk,) if keyed else ()) + ((ti,) if pairs else ()) + (ni,)
         for tk, ti, body in texts
@@ -62,12 +62,12 @@ def test_unsupported_and_coverage_plans_agree(spark, grid):
     bullets = spark.createDataFrame([("j", 1, "Built X" + "y" * 100), ("j", 2, "Never seen"), ("k", 3, "Built X")], "job string, bullet_id int, text string")
     evidence = spark.createDataFrame([("j", 1, "we built x" + "y" * 73 + " indeed")], "job string, text_id int, text string")
     # whole bullets are looked for unless a limit is asked for
-    left = coverage.unsupported(bullets, evidence, ["job"], force_grid=grid)
+    left = coverage.unsupported(bullets, evidence, ["job"], force_index=grid)
     assert {r.bullet_id for r in left.collect()} == {1, 2, 3}
-    left = coverage.unsupported(bullets, evidence, ["job"], chars=80, force_grid=grid)
+    left = coverage.unsupported(bullets, evidence, ["job"], chars=80, force_index=grid)
     assert {r.bullet_id for r in left.collect()} == {2, 3}
     items = bullets.withColumnRenamed("bullet_id", "item_id")
-    rows = coverage.substring_coverage(items, evidence, ["job"], force_grid=grid).collect()
+    rows = coverage.substring_coverage(items, evidence, ["job"], force_index=grid).collect()
     assert {(r.job, r.total, r.hits, r.score) for r in rows} == {("j", 2, 0, 0.0), ("k", 1, 0, 0.0)}
 
 
@@ -103,7 +103,7 @@ def test_both_plans_on_null_keys_and_large_ids(spark):
     needles = spark.createDataFrame([("a", big, "needle"), (None, 11, "needle"), ("a", None, "x")], "k string, needle_id long, needle string")
     for pairs, want in ((False, [("a", big)]), (True, [("a", 1, big)])):
         for grid in (False, True):
-            got = matching.contained(texts, needles, ["k"], pairs=pairs, force_grid=grid).collect()
+            got = matching.contained(texts, needles, ["k"], pairs=pairs, force_index=grid).collect()
             assert sorted(tuple(r) for r in got) == want
 
 
@@ -119,3 +119,23 @@ def test_grid_of_one_table_and_without_keys(spark):
             assert "NestedLoop" not in plan and "Cartesian" not in plan
             found.append(sorted(map(tuple, hits.collect())))
         assert found[0] == found[1]
+
+
+def test_index_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(12)
+    alphabet = ["red", "reds", "blue", "b", "ü1", "42", "-", "--", ", ", ". ", " ", "\n", "𝒳y", "x"]
+    say = lambda n: "".join(rnd.choice(alphabet) + rnd.choice(["", " "]) for _ in range(n))
+    texts = [(rnd.choice("ab"), i, say(12)) for i in range(60)] + [("a", 100, ""), ("a", 101, "red"), ("a", 101, "blue red"), ("b", 102, "red " * 30_000)]
+    needles = [(rnd.choice("ab"), i, say(rnd.randint(0, 4))) for i in range(150)]
+    needles += [("a", 500 + i, t[3:9]) for i, (_, _, t) in enumerate(texts)] + [("a", 900, ""), ("c", 901, "red"), ("a", 902, "nowhere at all")]
+    t = spark.createDataFrame(texts, "k string, text_id long, text string")
+    n = spark.createDataFrame(needles, "k string, needle_id long, needle string")
+    want = {(k, i, j) for k, i, body in texts for l, j, needle in needles if k == l and needle in body}
+    got = matching.contained(t, n, ["k"], pairs=True, force_index=True)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert {tuple(r) for r in matching.contained(t, n, ["k"], force_index=True).collect()} == {(k, j) for k, _, j in want}
+    assert {tuple(r) for r in matching.contained(t, n, force_index=True).collect()} == {(j,) for _, j, needle in needles if any(needle in x for _, _, x in texts)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

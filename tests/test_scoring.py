@@ -154,7 +154,7 @@ def test_banned_table_form(spark):
     df = spark.createDataFrame([("t", 1, "A Wizard"), ("t", 2, "plain")], "tenantId string, id int, payload string")
     words = spark.createDataFrame([("wizard",), ("AI",)], "keyword string")
     for grid in (False, True):
-        got = validation.banned_claims(df, words, ["tenantId", "id"], force_grid=grid).collect()
+        got = validation.banned_claims(df, words, ["tenantId", "id"], force_index=grid).collect()
         assert {(r.tenantId, r.id, r.keyword) for r in got} == {("t", 1, "wizard"), ("t", 2, "AI")}
 
 

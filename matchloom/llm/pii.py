@@ -19,8 +19,9 @@ ROUNDS = 8
 # A mark cannot be mistaken for text: \x01 of the text is written \x01\x02 until the end.
 _ESC, _KEPT, _MARK = "\x01", "\x01\x02", "\x01\x03"
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63})*\.\p{L}{2,24}"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|sk_live_|xoxb-)[0-9A-Za-z_-]{16,96})(?![0-9A-Za-z])"
+# lengths have no upper bound; loops run over single characters, so that long values need no stack
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}{2,63}"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|sk_live_|xoxb-)[0-9A-Za-z_-]{16,}+)(?![0-9A-Za-z])"
 #: Countries by the length of their account numbers.
 _LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -43,12 +44,20 @@ IBAN = (
 )
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+ADDRESS6 = (
+    rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?=[A-Fa-f:]*[0-9])(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}})(?![0-9A-Za-z:]|\.[0-9])"
+)
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_SHORT = "|".join(m[:3] for m in _MONTHS.split("|"))
+NAMED_DATE = rf"(?<![\p{{L}}\p{{N}}])(?:{_MONTHS}|{_SHORT}) [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])"
 DATE = (
     r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
 )
 PHONE = (
     r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|(?<![0-9] )(?:[0-9]{3} [0-9]{3} [0-9]{4}|0[1-9][0-9]{1,3}[ /][0-9]{5,8})(?! [0-9]))(?![0-9])"
 )
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 # a last group that begins a date, an expiry or an address is not taken
@@ -56,7 +65,7 @@ CARD = (
     r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
     r"|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3}(?![0-9A-Za-z]|[./:-][0-9]))?)(?![0-9A-Za-z])"
 )
-ANY = "|".join((EMAIL, SECRET, IBAN, ADDRESS, DATE, PHONE, SOCIAL, CARD))
+ANY = "|".join((EMAIL, SECRET, IBAN, ADDRESS, ADDRESS6, NAMED_DATE, DATE, PHONE, SOCIAL, CARD))
 
 #: First and last code points of the classes a character moves in; each class maps onto itself.
 _CLASSES = ((48, 57), (97, 122), (65, 90), (224, 246), (192, 214))
@@ -64,10 +73,12 @@ _FIRST_DAY, _DAYS = "1900-01-01", 73049  # to 2099-12-31
 _HIGH, _LOW = 271, 270  # the least product of neighbours that covers the days; the rest is walked over
 
 
-def _stream(key: str, kind: str, other: Column, step: Column) -> Column:
-    """Hexadecimal digits that depend on the key, the kind, the round and the other half."""
+def _stream(key: str, kind: str, other: Column, step: Column, chars: Column | None = None) -> Column:
+    """Hexadecimal digits that depend on the key, the kind, the round and the other half: an array of blocks of 64, four
+    digits for each of ``chars`` characters, or one block."""
     seed = F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), other)
-    return F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(4)])
+    last = F.lit(0) if chars is None else F.floor((chars - 1) / 16).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256))
 
 
 def _moved(char: Column, by: Column, hexadecimal: bool) -> Column:
@@ -88,15 +99,16 @@ def _moved(char: Column, by: Column, hexadecimal: bool) -> Column:
 def _shift(half: Column, stream: Column, hexadecimal: bool) -> Column:
     """Each character of a half moved within its class by four hexadecimal digits of the stream."""
 
-    def one(i):
-        by = F.conv(F.substring(stream, 4 * (i - 1) + 1, F.lit(4)), 16, 10).cast("int")
-        return _moved(F.substring(half, i, F.lit(1)), by, hexadecimal)
+    def one(char, i):
+        block = F.get(stream, F.floor(i / 16).cast("int"))
+        by = F.conv(F.substring(block, (4 * (i % 16) + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
+        return _moved(char, by, hexadecimal)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")
+    return F.array_join(F.transform(F.split(half, ""), one), "")
 
 
 def permuted(value: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
-    """Keyed permutation of a string of up to 128 characters; characters of no class stay. One character or more."""
+    """Keyed permutation of a string of any length; characters of no class stay."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(
         F.substring(value, F.lit(1), cut).alias("a"), F.substring(value, cut + 1, F.length(value)).alias("b")
@@ -105,9 +117,10 @@ def permuted(value: Column, key: str, kind: str, hexadecimal: bool = False) -> C
     def turn(acc, step):
         a, b = acc["a"], acc["b"]
         even = step % 2 == 0
-        moved = F.when(F.length(F.when(even, b).otherwise(a)) == 0, F.lit("")).otherwise(
-            _shift(F.when(even, b).otherwise(a), _stream(key, kind, F.when(even, a).otherwise(b), step), hexadecimal)
-        )
+        half, other = F.when(even, b).otherwise(a), F.when(even, a).otherwise(b)
+        # the stream is bound once and not made again for every character
+        made = F.transform(F.array(_stream(key, kind, other, step, F.length(half))), lambda s: _shift(half, s, hexadecimal))
+        moved = F.when(F.length(half) == 0, F.lit("")).otherwise(F.get(made, F.lit(0)))
         return F.struct(F.when(even, a).otherwise(moved).alias("a"), F.when(even, moved).otherwise(b).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
@@ -197,7 +210,7 @@ def _read(value: Column, reading: Column, change) -> Column:
 
 
 def _number(stream: Column, size: int) -> Column:
-    return F.conv(F.substring(stream, F.lit(1), F.lit(12)), 16, 10).cast("long") % size
+    return F.conv(F.substring(F.get(stream, F.lit(0)), F.lit(1), F.lit(12)), 16, 10).cast("long") % size
 
 
 def permuted_number(value: Column, key: str, kind: str, high: int, low: int, size: int) -> Column:
@@ -225,6 +238,8 @@ def permuted_number(value: Column, key: str, kind: str, high: int, low: int, siz
 
 
 _DATE_FORMS = (
+    ("MMMM d, yyyy", rf"^(?:{_MONTHS}) "),
+    ("MMM d, yyyy", rf"^(?!May )(?:{_SHORT}) "),
     ("yyyy-MM-dd", r"^[0-9]{4}-"),
     ("dd.MM.yyyy", r"^[0-9]{2}\."),
     ("MM/dd/yyyy", r"^(?:0[0-9]|1[0-2])/"),
@@ -233,7 +248,7 @@ _DATE_FORMS = (
 
 
 def _date(value: Column, key: str) -> Column:
-    """Calendar dates from 1900 to 2099 in four forms; anything else stays. With slashes the month comes first unless
+    """Calendar dates from 1900 to 2099 in six forms; anything else stays. With slashes the month comes first unless
     the first number is above 12. A day has one pseudonym in all forms, so one with the day first may look like one with
     the month first."""
     out = value
@@ -290,6 +305,22 @@ def _address(value: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, octets)
 
 
+def _address6(value: Column, key: str) -> Column:
+    """The hexadecimal digits in order; colons stay where they are."""
+    plain = permuted(F.lower(F.replace(value, F.lit(":"), F.lit(""))), key, "address6", hexadecimal=True)
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def step(acc, c):
+        colon = c == ":"
+        return F.struct(
+            F.concat(acc["out"], F.when(colon, c).otherwise(F.substring(plain, acc["at"], F.lit(1)))).alias("out"),
+            (acc["at"] + (~colon).cast("int")).alias("at"),
+        )
+
+    new = F.aggregate(F.split(value, ""), start, step, lambda s: s["out"])
+    return F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(new)).otherwise(new)
+
+
 def _numbers(value: Column, key: str, kind: str) -> Column:
     """Digits after a country code are permuted; code and layout stay."""
     code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
@@ -304,10 +335,11 @@ def pseudonym(value: Column, key: str) -> Column:
     secret = value.rlike("^[0-9a-fA-F]+$") & value.rlike("[a-fA-F]") & value.rlike("[0-9]") & (F.length(value) >= 32)
     return (
         F.when(F.contains(value, F.lit("@")), _email(value, key))
+        .when(F.contains(value, F.lit(":")) & whole(ADDRESS6), _address6(value, key))
         .when(secret | value.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xoxb-)"), _secret(value, key))
         .when(value.rlike("^[A-Z]{2}[0-9]{2}"), _read(value, _iban_reading(value), lambda v: _iban(v, key)))
         .when(whole(ADDRESS), _address(value, key))
-        .when(whole(DATE), _date(value, key))
+        .when(whole(DATE) | whole(NAMED_DATE), _date(value, key))
         .when(whole(PHONE), _numbers(value, key, "phone"))
         .when(whole(SOCIAL), _refilled(value, permuted(digits, key, "social")))
         .when(whole(CARD), _read(value, _card_reading(value), lambda v: _card(v, key)))
@@ -319,22 +351,29 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of ``docs``, ``text`` with pseudonyms in the place of personal values, and ``n_replaced``.
 
     Null texts stay null and have nothing replaced, as have empty ones. Every value found in a whole text is looked at,
-    repeated ones each time. A column ``n_replaced`` of the input is replaced; all others pass through.
+    repeated ones each time. A column ``n_replaced`` of the input is replaced; all others pass through, whatever
+    their names.
     """
     if not key:
         raise ValueError("a key is needed")
+    names = [c for c in docs.columns if c != "n_replaced"]
+    others = [F.col(f"`{c}`") for c in names if c != text] or [F.lit(0).alias("none")]
+    rows = docs.select(F.struct(*others).alias("rest"), F.col(f"`{text}`").alias("text"))
     # a text without digits, @ and known beginnings of keys costs a short search only
-    value = F.col(text)
+    value = F.col("text")
     heads = reduce(lambda a, b: a | b, [F.contains(value, F.lit(h)) for h in ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-")])
-    may = F.coalesce(value.rlike("[0-9@]") | heads, F.lit(False))
-    safe = F.replace(value, F.lit(_ESC), F.lit(_KEPT))
+    may = F.coalesce(value.rlike("[0-9@]|[0-9A-Fa-f]{32}") | heads, F.lit(False))
+    safe = F.when(F.contains(value, F.lit(_ESC)), F.replace(value, F.lit(_ESC), F.lit(_KEPT))).otherwise(value)
     marked = F.regexp_replace(safe, f"(?:{ANY})", f"{_MARK}$0{_MARK}")
-    parts = settle(docs.drop("n_replaced"), _old=F.when(may, F.split(marked, _MARK)))
-    new = F.transform("_old", lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))
-    cut = settle(parts, _parts=F.struct(F.col("_old").alias("old"), F.when(F.size("_old") > 1, new).alias("new")))
-    changed = F.coalesce(F.size(F.filter(F.zip_with("_parts.old", "_parts.new", lambda a, b: a != b), lambda x: x)), F.lit(0))
-    whole = F.replace(F.array_join("_parts.new", ""), F.lit(_KEPT), F.lit(_ESC))
-    done = cut.withColumn("n_replaced", F.greatest(changed, F.lit(0)).cast("long")).withColumn(
-        text, F.when(F.col("n_replaced") > 0, whole).otherwise(F.col(text))
-    )
-    return done.drop("_parts", "_old")
+    rows = settle(rows, parts=F.when(may, F.split(marked, _MARK)))
+    # from here on a row holds the text or its parts, and of a part the new value beside the old one
+    found = F.size("parts") > 1
+    rows = rows.select("rest", F.when(~found | F.col("parts").isNull(), value).alias("text"), F.when(found, F.col("parts")).alias("parts"))
+    new = F.transform("parts", lambda x, i: F.struct(x.alias("old"), F.when(i % 2 == 1, pseudonym(x, key)).alias("new")))
+    rows = settle(rows.select("rest", "text", new.alias("parts")), parts=F.col("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: F.coalesce(p["new"], p["old"])), "")
+    joined = F.when(F.contains(joined, F.lit(_KEPT)), F.replace(joined, F.lit(_KEPT), F.lit(_ESC))).otherwise(joined)
+    changed = F.size(F.filter("parts", lambda p: p["new"] != p["old"]))
+    out = {text: F.when(F.col("parts").isNull(), value).otherwise(joined)}
+    columns = [out[c].alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in names]
+    return rows.select(*columns, F.coalesce(F.when(F.col("parts").isNotNull(), changed), F.lit(0)).cast("long").alias("n_replaced"))

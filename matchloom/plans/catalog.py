@@ -915,6 +915,16 @@ def stream_fail_alarm(spark, sf):
     return alarms.withColumn("window_start", F.unix_timestamp("window_start"))
 
 
+@query
+def alarm_once(spark, sf):
+    """One alarm per window with a failure, over a stream that is stopped and started again."""
+    path, checkpoint = shared_dir(spark, "alarm"), shared_dir(spark, "alarm-checkpoint")
+    events = _event_stream(spark, sf).select(_instant("ts").alias("ts"), "event_type")
+    for _ in range(2):
+        streams.stream_alarm_once(events, F.col("event_type") == "error", path, checkpoint).awaitTermination()
+    return spark.read.schema("window_start timestamp").parquet(path).select(F.unix_timestamp("window_start").alias("window_start"))
+
+
 # --- conformance and differences ------------------------------------------
 
 @query
@@ -923,22 +933,31 @@ def schema_check(spark, sf):
     return checked.select(*KEYS, F.size("problems").alias("problems"), "conforms")
 
 
-@query
-def resume_diff(spark, sf):
-    base = parsed_resumes(spark, sf)
-    k = F.col("k")
-    own = F.col("resume.skills")
+def _tailored(k, resume):
+    """A new version of a resume: other skills, summary and education, roles moved, removed and renamed."""
+    own = resume["skills"]
     first_up = F.transform(own, lambda s, i: F.when(i == 0, F.upper(s)).otherwise(s))
     changed = F.when(k % 2 == 0, first_up).otherwise(own)
     added = F.when(k % 3 == 0, F.concat(changed, F.array(F.lit("Added")))).otherwise(changed)
-    tailored = base.withColumn(
-        "resume",
-        F.col("resume")
-        .withField("skills", added)
-        .withField("summary", F.when(k % 5 == 0, F.lit("short")).otherwise(F.col("resume.summary")))
-        .withField("education", F.when(k % 4 == 0, F.slice("resume.education", 1, 1)).otherwise(F.col("resume.education"))),
+    roles = resume["experience"]
+    renamed = F.transform(roles, lambda r, i: F.when(i == 2, r.withField("title", F.concat(r["title"], F.lit(" II")))).otherwise(r))
+    experience = (
+        F.when(k % 8 == 6, F.reverse(roles)).when(k % 8 == 3, F.filter(roles, lambda _, i: i != 1)).when(k % 8 == 7, renamed).otherwise(roles)
+    )
+    projects = F.transform(resume["projects"], lambda p: F.when(k % 9 == 0, p.withField("description", F.lit("short"))).otherwise(p))
+    return (
+        resume.withField("skills", added)
+        .withField("summary", F.when(k % 5 == 0, F.lit("short")).otherwise(resume["summary"]))
+        .withField("education", F.when(k % 4 == 0, F.slice(resume["education"], 1, 1)).otherwise(resume["education"]))
+        .withField("experience", experience)
+        .withField("projects", projects)
     )
-    changes = delta.resume_diff(base, tailored, KEYS)
+
+
+@query
+def resume_diff(spark, sf):
+    rows = parsed_resumes(spark, sf).withColumn("tailored", _tailored(F.col("k"), F.col("resume")))
+    changes = delta.resume_changes(rows, "resume", "tailored", KEYS)
     return changes.select(*KEYS, "section", "slot", "action", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
@@ -1093,3 +1112,83 @@ def generation_rejects(spark, sf):
     done, bad = prompts.generate_all(wanted, templates, _stand_in, shared_dir(spark, "answers"))
     finished = done.select(*KEYS, F.lit("finished").alias("outcome"), "tailoredResume.summary")
     return finished.unionByName(bad.select(*KEYS, F.col("stage").alias("outcome"), F.col("raw").alias("summary")))
+
+
+# --- files ----------------------------------------------------------------
+
+def _numbered_files(rows: DataFrame, path: str) -> None:
+    """One file per row of (item_id, value), in a folder of its number."""
+    rows.repartition("item_id").write.partitionBy("item_id").text(path)
+
+
+@query
+def file_documents(spark, sf):
+    """Texts written as files, some of them no UTF-8, and pointers to them: what is found, and why the rest is not."""
+    path, item = shared_dir(spark, "files"), F.col("item_id")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    broken = F.concat(F.unhex(F.lit("FFFE")), F.col("text").cast("binary")).cast("string")
+    _numbered_files(items.select("item_id", F.when(item % 5 == 4, broken).otherwise(F.col("text")).alias("value")), path)
+    objects, unreadable = intake.read_text_objects(spark, path, "*.txt")
+    folder = F.regexp_replace("key", "/[^/]*$", "")
+    key = F.concat(F.lit("item_id="), item)
+    pointer = F.struct(
+        F.when(item % 7 != 6, key).alias("s3Key"), F.when(item % 7 == 3, F.concat(F.lit("inline "), item)).alias("text")
+    )
+    found, lost = intake.resolve_documents(items.select("item_id", pointer.alias("pointer")), objects.withColumn("key", folder))
+    digest = F.sha2(F.rtrim("text", F.lit("\n")), 256)
+    return (
+        found.select("item_id", F.lit("found").alias("outcome"), digest.alias("text_sha256"))
+        .unionByName(lost.select("item_id", F.col("reason").alias("outcome"), F.lit("").alias("text_sha256")))
+        .unionByName(
+            unreadable.select(F.substring_index(folder, "=", -1).cast("long").alias("item_id"), F.col("reason").alias("outcome"), F.lit("").alias("text_sha256"))
+        )
+    )
+
+
+@query
+def eval_inputs(spark, sf):
+    """Evaluation inputs written as JSON files over several lines, some cut off or without a key, and read back."""
+    jobs_at, resumes_at, item = shared_dir(spark, "jobs"), shared_dir(spark, "resumes"), F.col("item_id")
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    keys = [F.lit("t").alias("tenantId"), F.when(item % 11 != 7, F.concat(F.lit("j"), item)).alias("jobId")]
+
+    def document(name):
+        return F.to_json(F.struct(*keys, F.struct(F.col("text").alias("summary")).alias(name)), {"pretty": "true"})
+
+    cut = F.expr("left(value, length(value) - 3)")
+    written = items.select("item_id", document("job").alias("value"))
+    _numbered_files(written.withColumn("value", F.when(item % 5 == 4, cut).otherwise(F.col("value"))), jobs_at)
+    _numbered_files(items.where(item % 3 != 0).select("item_id", document("resume").alias("value")), resumes_at)
+    rows, rejects = intake.load_eval_inputs(spark, jobs_at, resumes_at)
+    good = rows.select("jobId", F.lit("input").alias("outcome"), F.length("job.summary").alias("chars"), F.size("chunks").alias("n"))
+    bad = rejects.groupBy("kind", "reason").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return good.unionByName(bad.select(F.lit("").alias("jobId"), F.concat_ws(": ", "kind", "reason").alias("outcome"), F.lit(0).alias("chars"), "n"))
+
+
+@query
+def prompt_files(spark, sf):
+    """Prompt templates written as one JSON object and read back."""
+    path = shared_dir(spark, "prompts")
+    entry = F.struct(F.col("n_name").alias("description"), F.concat(F.lit("Ask {"), "n_name", F.lit("}")).alias("template"),
+                     F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("</r>"))).alias("stopSequences"))
+    entries = F.collect_list(F.struct(F.concat(F.lit("prompt_"), "n_nationkey"), entry))
+    table(spark, sf, "nation").agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.text(path)
+    found = prompts.load_prompts(spark, path)
+    return found.select("name", "description", "template", F.size("stopSequences").alias("stops"))
+
+
+@query
+def json_artifacts(spark, sf):
+    """Artifacts of two runs, one of them written twice, as a reader finds them."""
+    path, k = shared_dir(spark, "artifacts"), F.col("k")
+    rows = resume_corpus(spark, sf).select(
+        *KEYS, "k", F.concat(F.lit("log "), k).alias("changeLog"), F.when(k % 2 == 0, "style").alias("profile"),
+        F.when(k % 3 == 0, "letter").alias("coverLetter"),
+    )
+    for run, part in (("first", rows), ("first", rows), ("second", rows.where("k % 4 = 0"))):
+        tables.write_json_artifacts(part, path, run)
+    kinds = [
+        tables.read_json_artifacts(spark, path, kind).select("run", *KEYS, F.lit(kind).alias("kind"), F.col(kind).alias("body"))
+        for kind in ("change_log", "style_profile", "cover_letter")
+    ]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])

@@ -769,6 +769,11 @@ SELECT "tenantId", "jobId", 'skills' AS section, CAST(skill_pos AS VARCHAR) AS s
 FROM o FULL OUTER JOIN t USING ("tenantId", "jobId", k, skill_pos) WHERE o.skill IS DISTINCT FROM t.skill
 UNION ALL SELECT "tenantId", "jobId", 'summary', '0', 'update', 'short' FROM b WHERE k % 5 = 0
 UNION ALL SELECT "tenantId", "jobId", 'education', '1', 'remove', '' FROM b WHERE k % 4 = 0
+UNION ALL SELECT "tenantId", "jobId", 'role', '1', 'move', pr || ' lead' FROM b WHERE k % 8 = 6
+UNION ALL SELECT "tenantId", "jobId", 'role', '1', 'remove', '' FROM b WHERE k % 8 = 3
+UNION ALL SELECT "tenantId", "jobId", 'experience', '1.0', 'remove', '' FROM b WHERE k % 8 = 3 AND k % 5 = 0
+UNION ALL SELECT "tenantId", "jobId", 'role', '2.title', 'update', pr || ' clerk II' FROM b WHERE k % 8 = 7
+UNION ALL SELECT "tenantId", "jobId", 'projects', '0.description', 'update', 'short' FROM b WHERE k % 9 = 0
 """
 
 # --- redaction, style packages, vectors, model answers --------------------
@@ -830,3 +835,37 @@ FROM b
 
 for _name in ("substring_coverage", "substring_items", "unsupported", "banned_claims"):
     ORACLES[f"{_name}_index"] = ORACLES[_name]
+
+ORACLES["alarm_once"] = """
+SELECT DISTINCT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) // 1000000 AS window_start FROM events WHERE event_type = 'error'
+"""
+
+ORACLES["file_documents"] = """
+SELECT item_id, CASE WHEN item_id % 7 = 3 OR (item_id % 7 <> 6 AND item_id % 5 <> 4) THEN 'found'
+                     WHEN item_id % 7 = 6 THEN 'document pointer must include either text or s3Key' ELSE 'object not found' END AS outcome,
+       CASE WHEN item_id % 7 = 3 THEN sha256('inline ' || item_id)
+            WHEN item_id % 7 <> 6 AND item_id % 5 <> 4 THEN sha256(rtrim(text, chr(10))) ELSE '' END AS text_sha256
+FROM benchmark
+UNION ALL SELECT item_id, 'not UTF-8', '' FROM benchmark WHERE item_id % 5 = 4
+"""
+
+ORACLES["eval_inputs"] = """
+SELECT 'j' || item_id AS "jobId", 'input' AS outcome, CAST(length(text) AS INTEGER) AS chars, 0 AS n FROM benchmark
+WHERE item_id % 5 <> 4 AND item_id % 11 <> 7 AND item_id % 3 <> 0
+UNION ALL SELECT '', 'job: no valid JSON', 0, CAST(count(*) AS INTEGER) FROM benchmark WHERE item_id % 5 = 4
+UNION ALL SELECT '', 'job: tenantId and jobId are required', 0, CAST(count(*) AS INTEGER) FROM benchmark WHERE item_id % 5 <> 4 AND item_id % 11 = 7
+UNION ALL SELECT '', 'resume: tenantId and jobId are required', 0, CAST(count(*) AS INTEGER) FROM benchmark WHERE item_id % 3 <> 0 AND item_id % 11 = 7
+"""
+
+ORACLES["prompt_files"] = """
+SELECT 'prompt_' || n_nationkey AS name, n_name AS description, 'Ask {' || n_name || '}' AS template,
+       CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS stops FROM nation
+"""
+
+ORACLES["json_artifacts"] = f"""
+WITH {_RESUME},
+r AS (SELECT 'first' AS run, * FROM b UNION ALL SELECT 'second', * FROM b WHERE k % 4 = 0)
+SELECT run, "tenantId", "jobId", 'change_log' AS kind, 'log ' || k AS body FROM r
+UNION ALL SELECT run, "tenantId", "jobId", 'style_profile', 'style' FROM r WHERE k % 2 = 0
+UNION ALL SELECT run, "tenantId", "jobId", 'cover_letter', 'letter' FROM r WHERE k % 3 = 0
+"""

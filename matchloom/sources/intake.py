@@ -104,6 +104,10 @@ def normalise_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         explicit("styleGuide", pointer),
     )
+    own_options = df.schema["options"].dataType.simpleString() if "options" in df.columns else None
+    inner = dict(zip(given, df.schema["executionInput"].dataType.fields)) if has_input else {}
+    options_ddl = own_options or (inner["options"].dataType.simpleString() if "options" in inner else "struct<tone:string>")
+    options = chosen("options", options_ddl, _column(df, "options", options_ddl))
     hashed = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
     as_uuid = F.regexp_replace(hashed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     job_id = F.coalesce(X.nonempty(_column(df, "jobId", "string")), as_uuid)
@@ -120,7 +124,7 @@ def normalise_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
                 F.array().cast(f"array<{pointer}>"),
             ),
         ).alias("validatedResumes"),
-        _column(df, "options", "struct<tone:string>").alias("options"),
+        options.alias("options"),
         style.alias("styleGuide"),
     )
 
@@ -199,22 +203,48 @@ def assemble_blocks(blocks: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
     )
 
 
-def read_text_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (key, content); the key is the path below the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_text_objects(spark: SparkSession, path: str, names: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(objects, rejects) of the files below ``path``: (key, content); the key is the path below the root.
+
+    ``names`` is a pattern of file names that the reader lists only. A file that is not UTF-8 is a reject (key, reason).
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(path)
     root = path.rstrip("/") + "/"
-    key = F.substring_index(F.col("path"), root, -1)
-    return files.select(key.alias("key"), "content")
+    rows = files.select(F.substring_index(F.col("path"), root, -1).alias("key"), "content")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    return rows.where(valid), rows.where(~valid).select("key", F.lit("not UTF-8").alias("reason"))
+
+
+def _json_files(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of files with one JSON document each."""
+    rows = (
+        spark.read.schema(f"tenantId string, jobId string, {ddl}, _corrupt string")
+        .option("recursiveFileLookup", "true")
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .json(path, multiLine=True)
+        .withColumn("file", F.col("_metadata.file_name"))
+    )
+    # named in the schema and read, the column tells which files could not be parsed
+    bad = F.col("_corrupt").isNotNull() | F.col("tenantId").isNull() | F.col("jobId").isNull()
+    reason = F.when(F.col("_corrupt").isNotNull(), "no valid JSON").otherwise("tenantId and jobId are required")
+    return rows.where(~bad).drop("_corrupt", "file"), rows.where(bad).select("file", reason.alias("reason"))
 
 
-def load_eval_inputs(spark: SparkSession, jobs: str, resumes: str, retrieval: str | None = None) -> DataFrame:
-    """Rows to score: (tenantId, jobId, job, resume, chunks) from JSON files; chunks default to none."""
-    keys = "tenantId string, jobId string"
-    job = spark.read.schema(f"{keys}, job {S.JOB_DESCRIPTION}").json(jobs, multiLine=True)
-    resume = spark.read.schema(f"{keys}, resume {S.RESUME}").json(resumes, multiLine=True)
+def load_eval_inputs(
+    spark: SparkSession, jobs: str, resumes: str, retrieval: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows to score, rejects): (tenantId, jobId, job, resume, chunks) from JSON files; chunks default to none.
+
+    A file without a document, or whose document lacks its keys, is a reject (kind, file, reason).
+    """
+    job, bad_jobs = _json_files(spark, jobs, f"job {S.JOB_DESCRIPTION}")
+    resume, bad_resumes = _json_files(spark, resumes, f"resume {S.RESUME}")
     joined = job.join(resume, ["tenantId", "jobId"])
+    rejects = bad_jobs.withColumn("kind", F.lit("job")).unionByName(bad_resumes.withColumn("kind", F.lit("resume")))
     none = F.array().cast(S.CHUNKS)
     if retrieval is None:
-        return joined.withColumn("chunks", none)
-    chunks = spark.read.schema(f"{keys}, chunks {S.CHUNKS}").json(retrieval, multiLine=True)
-    return joined.join(chunks, ["tenantId", "jobId"], "left").withColumn("chunks", F.coalesce("chunks", none))
+        return joined.withColumn("chunks", none), rejects
+    chunks, bad = _json_files(spark, retrieval, f"chunks {S.CHUNKS}")
+    rows = joined.join(chunks, ["tenantId", "jobId"], "left").withColumn("chunks", F.coalesce("chunks", none))
+    return rows, rejects.unionByName(bad.withColumn("kind", F.lit("retrieval")))

@@ -8,6 +8,7 @@ new folder when its history has grown.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,14 +212,38 @@ def prune_objects(spark: SparkSession, path: str, now: int, ttl_days: int = R.AR
     return sum(r.expired for r in touched)
 
 
+_RUNS = "_runs"
+
+
 def write_json_artifacts(
-    jobs: DataFrame, path: str, change_log: str = "changeLog", profile: str = "profile", cover_letter: str = "coverLetter"
-) -> None:
-    """JSON artifacts below ``path/<kind>/tenantId=.../``: the change log always, the others when present."""
+    jobs: DataFrame, path: str, run: str, change_log: str = "changeLog", profile: str = "profile", cover_letter: str = "coverLetter"
+) -> bool:
+    """JSON artifacts below ``path/<kind>/run=<run>/tenantId=.../``: the change log always, the others when present.
+
+    A run counts once its name stands below ``path/_runs``; then it is not written again (False). What a run that broke
+    off has left is replaced by the next one of its name, and read by nobody before.
+    """
+    files = Files(jobs.sparkSession, path)
+    if run in files.names(_RUNS):
+        return False
     for kind, column, always in (
         ("change_log", change_log, True), ("style_profile", profile, False), ("cover_letter", cover_letter, False)
     ):
         rows = jobs.select("tenantId", "jobId", F.col(column).alias(kind))
         if not always:
             rows = rows.where(F.col(kind).isNotNull())
-        rows.write.mode("append").partitionBy("tenantId").json(f"{path.rstrip('/')}/{kind}")
+        rows.write.mode("overwrite").partitionBy("tenantId").json(f"{path.rstrip('/')}/{kind}/run={run}")
+    return files.write_new(_RUNS, run, b"")
+
+
+def read_json_artifacts(spark: SparkSession, path: str, kind: str, ddl: str = "string") -> DataFrame:
+    """(run, tenantId, jobId, ``kind``) of all runs that were written to the end."""
+    schema = f"jobId string, `{kind}` {ddl}, tenantId string"
+    frames = [
+        spark.read.schema(schema).json(f"{path.rstrip('/')}/{kind}/run={run}").withColumn("run", F.lit(run))
+        for run in sorted(Files(spark, path).names(_RUNS))
+        if not run.startswith(".")
+    ]
+    if not frames:
+        return spark.createDataFrame([], f"run string, tenantId string, jobId string, `{kind}` {ddl}")
+    return reduce(DataFrame.unionByName, frames).select("run", "tenantId", "jobId", kind)

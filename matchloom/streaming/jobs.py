@@ -74,6 +74,21 @@ def current_alarms(alarms: DataFrame) -> DataFrame:
     return alarms.groupBy("window_start").agg(F.max("failures").alias("failures"))
 
 
+def stream_alarm_once(
+    stream: DataFrame, failed: Column, path: str, checkpoint: str, ts: str = "ts", window: str = R.ALARM_WINDOW,
+    lateness: str = "10 minutes", available_now: bool = True,
+) -> StreamingQuery:
+    """Append one row (window_start) for each window with a failure, at its first failure and never again.
+
+    The state holds the windows that have raised an alarm until the watermark has passed their end; files are committed with
+    the checkpoint, so a restart neither repeats nor loses one.
+    """
+    windows = stream.where(failed).withWatermark(ts, lateness).select(F.window(ts, window).alias("w")).dropDuplicates(["w"])
+    writer = windows.select(F.col("w.start").alias("window_start")).writeStream.format("parquet")
+    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def stream_retention(
     stream: DataFrame, now: Column, path: str, checkpoint: str, ttl_days: int = R.ARTIFACT_TTL_DAYS,
     modified: str = "lastModified",

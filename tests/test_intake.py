@@ -83,5 +83,9 @@ def test_blocks_and_files(spark, tmp_path):
     assert intake.assemble_blocks(blocks).first().text == "a\nb"
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.txt").write_text("hi")
-    row = intake.read_text_objects(spark, str(tmp_path)).first()
+    (tmp_path / "t" / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "t" / "c.bin").write_bytes(b"\xff")
+    objects, rejects = intake.read_text_objects(spark, str(tmp_path), "*.txt")
+    assert [(r.key, r.reason) for r in rejects.collect()] == [("t/b.txt", "not UTF-8")]
+    row = objects.first()
     assert row.key == "t/a.txt" and bytes(row.content) == b"hi"

@@ -51,7 +51,12 @@ def test_report_on_the_known_case(spark):
 def test_report_from_files(spark, tmp_path):
     for name, value in (("job", JOB), ("resume", RESUME)):
         (tmp_path / f"{name}.json").write_text(json.dumps([{"tenantId": "t", "jobId": "j", name: value}], indent=1))
-    df = intake.load_eval_inputs(spark, str(tmp_path / "job.json"), str(tmp_path / "resume.json"))
+    df, rejects = intake.load_eval_inputs(spark, str(tmp_path / "job.json"), str(tmp_path / "resume.json"))
+    assert rejects.count() == 0
+    (tmp_path / "bad.json").write_text('{"tenantId": "t", "jobId": ')
+    (tmp_path / "none.json").write_text('{"tenantId": "t"}')
+    found = [intake.load_eval_inputs(spark, str(tmp_path / f), str(tmp_path / "resume.json"))[1].first() for f in ("bad.json", "none.json")]
+    assert [(r.kind, r.file, r.reason) for r in found] == [("job", "bad.json", "no valid JSON"), ("job", "none.json", "tenantId and jobId are required")]
     assert evaluation.evaluate(df).first().jdCoverage == 0.571
 
 
@@ -174,4 +179,33 @@ def test_diff(spark):
     a = rows(spark, resume=OK).withColumn("id", F.lit(1))
     b = rows(spark, resume=dict(OK, summary="new", skills=["Python", "Go"], experience=[])).withColumn("id", F.lit(1))
     got = {(r.section, r.slot, r.action) for r in delta.resume_diff(a, b, ["id"]).collect()}
-    assert got == {("summary", "0", "update"), ("skills", "1", "add"), ("experience", "0.0", "remove")}
+    assert got == {("summary", "0", "update"), ("skills", "1", "add"), ("role", "0", "remove"), ("experience", "0.0", "remove")}
+
+
+def role(title, company, *bullets):
+    return {"title": title, "company": company, "startDate": "a", "endDate": "b", "achievements": list(bullets) or None}
+
+
+def test_changes_of_roles():
+    a, b, c = role("A", "x", "one", "two"), role("B", "y", "three"), role("C", "z")
+    diff = lambda old, new: {(s, p, x, y, z) for s, p, x, y, z in delta.changes_of({"experience": old}, {"experience": new})}
+    assert diff([a, b, c], [a, b, c]) == set() == diff(None, [])
+    assert diff([a, b, c], [b, c, a]) == {("role", "2", "move", "0", "A")}
+    renamed = dict(b, title="B2", startDate="later")
+    assert diff([a, b, c], [a, renamed, c]) == {("role", "1.title", "update", "B", "B2"), ("role", "1.startDate", "update", "a", "later")}
+    more = role("A", "x", "zero", "one", "2", "new")
+    assert diff([a, c], [more]) == {
+        ("experience", "0.0", "add", None, "zero"), ("experience", "0.2", "update", "two", "2"), ("experience", "0.3", "add", None, "new"),
+        ("role", "1", "remove", "C", None),
+    }
+    assert diff([a, a], [a]) == {("role", "1", "remove", "A", None), ("experience", "1.0", "remove", "one", None), ("experience", "1.1", "remove", "two", None)}
+    project = lambda n, d: {"name": n, "description": d}
+    got = set(delta.changes_of({"projects": [project("p", "d"), project("q", "e")]}, {"projects": [project("r", "e"), project("p", "f")]}))
+    assert got == {("projects", "1.description", "update", "d", "f"), ("projects", "0.name", "update", "q", "r")}
+    assert list(delta.changes_of(None, None)) == []
+
+
+def test_changes_need_no_shuffle(spark):
+    df = rows(spark, resume=OK).withColumn("id", F.lit(1))
+    plan = delta.resume_changes(df, "resume", "resume", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

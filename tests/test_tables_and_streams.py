@@ -51,9 +51,16 @@ def test_artifacts(spark, tmp_path):
     assert all("/job1/" in r.key for r in tables.list_artifacts(keys, "t", "job1").collect())
     result = tables.result_rows(manifest, F.lit(1)).first()
     assert result.status == "COMPLETED" and '"coverLetterKey":null' in result.artifacts + '"coverLetterKey":null'
-    tables.write_json_artifacts(jobs, str(tmp_path / "a"))
-    assert spark.read.json(str(tmp_path / "a" / "change_log")).count() == 2
-    assert spark.read.json(str(tmp_path / "a" / "cover_letter")).count() == 1
+    path = str(tmp_path / "a")
+    assert tables.read_json_artifacts(spark, path, "change_log").count() == 0
+    # a run that broke off before its end is read by nobody and replaced by its repetition
+    jobs.selectExpr("tenantId", "jobId", "'half' as change_log").write.partitionBy("tenantId").json(f"{path}/change_log/run=r1")
+    assert tables.read_json_artifacts(spark, path, "change_log").count() == 0
+    assert tables.write_json_artifacts(jobs, path, "r1") and not tables.write_json_artifacts(jobs, path, "r1")
+    assert tables.write_json_artifacts(jobs.where("jobId = 'job10'"), path, "r2")
+    logs = tables.read_json_artifacts(spark, path, "change_log")
+    assert sorted((r.run, r.jobId, r.change_log) for r in logs.collect()) == [("r1", "job1", "cl"), ("r1", "job10", "cl"), ("r2", "job10", "cl")]
+    assert tables.read_json_artifacts(spark, path, "cover_letter").count() == 2
     objects = spark.createDataFrame([("x", 0), ("y", 1), ("z", None)], "key string, lastModified long")
     now = F.lit(1 + 7 * 86400)
     assert [r.key for r in tables.expired_artifacts(objects, now).collect()] == ["x"]
@@ -96,6 +103,21 @@ def test_alarms_equal_batch(spark, tmp_path):
     assert got == want and len(got) == 2
 
 
+def test_alarm_once(spark, tmp_path):
+    schema = "ts timestamp, kind string"
+    batches = [[(at(1), "error"), (at(2), "ok"), (at(2), "error")], [(at(12), "error"), (at(3), "error")], [(at(30), "ok"), (at(21), "error")], [(at(31), "error"), (at(13), "error")]]
+    stream = write_batches(spark, tmp_path, batches[:2], schema)
+    path = str(tmp_path / "out")
+    found = lambda: sorted(r.window_start for r in spark.read.parquet(path).collect())
+    for _ in range(2):
+        streams.stream_alarm_once(stream, F.col("kind") == "error", path, str(tmp_path / "c")).awaitTermination()
+        assert found() == [at(0), at(10)]
+    for i, rows in enumerate(batches[2:]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"later{i}"))
+    streams.stream_alarm_once(stream, F.col("kind") == "error", path, str(tmp_path / "c")).awaitTermination()
+    assert found() == [at(0), at(10), at(20), at(30)]
+
+
 @pytest.fixture
 def rocksdb(spark):
     name = "spark.sql.streaming.stateStore.providerClass"

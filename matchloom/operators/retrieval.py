@@ -45,14 +45,14 @@ def scan_feedback(feedback: DataFrame, tenant: str | None = None, job: str | Non
 def dedup_best(chunks: DataFrame, keys: Sequence[str] = KEYS, arrival: str = "arrival", payload: Sequence[str] = ()) -> DataFrame:
     """Per (keys, text) the row of best score, the earliest on ties, and where the text was first seen.
 
-    One aggregate with map-side combine (a minimum over (-score, arrival, payload)): a
-    text with very many copies arrives at the shuffle as one row per task.
+    One aggregate with map-side combine (a minimum over (-score, arrival, payload)) by a 256-bit hash of the text: a
+    text with very many copies arrives at the shuffle as one row per task, and texts are not compared with each other.
     """
-    best = F.min(F.struct((-F.col("score")).alias("neg"), F.col(arrival).alias("arrival"), *payload)).alias("best")
+    fields = ((-F.col("score")).alias("neg"), F.col(arrival).alias("arrival"), *payload, F.col("text").alias("_text"))
     return (
-        chunks.groupBy(*keys, "text")
-        .agg(best, F.min(arrival).alias("first_seen"))
-        .select(*keys, "text", (-F.col("best.neg")).alias("score"), "first_seen", *[f"best.{p}" for p in payload])
+        chunks.groupBy(*keys, F.sha2("text", 256).alias("_same"))
+        .agg(F.min(F.struct(*fields)).alias("best"), F.min(arrival).alias("first_seen"))
+        .select(*keys, F.col("best._text").alias("text"), (-F.col("best.neg")).alias("score"), "first_seen", *[f"best.{p}" for p in payload])
     )
 
 

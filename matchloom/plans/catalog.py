@@ -308,8 +308,7 @@ def _feedback(spark, sf):
     )
 
 
-@query
-def retrieve_context(spark, sf):
+def _retrieved(spark, sf):
     e = table(spark, sf, "embeddings")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
     vectors = e.join(docs, "vec_id", "left").select(
@@ -326,8 +325,33 @@ def retrieve_context(spark, sf):
         (F.col("vec_id") % 3).cast("int").alias("query_no"),
         "embedding",
     )
-    found = retrieval.retrieve_context(queries, vectors, _feedback(spark, sf))
-    return found.select(*KEYS, "chunk_no", "id", "text")
+    return retrieval.retrieve_context(queries, vectors, _feedback(spark, sf))
+
+
+@query
+def retrieve_context(spark, sf):
+    return _retrieved(spark, sf).select(*KEYS, "chunk_no", "id", "text")
+
+
+@query
+def context_details(spark, sf):
+    """Score, metadata and tags of the retrieved chunks."""
+    source = F.coalesce(F.element_at("metadata", "source"), F.lit(""))
+    tags = F.coalesce(F.array_join("tags", ","), F.lit(""))
+    return _retrieved(spark, sf).select(*KEYS, "chunk_no", "id", F.round(F.col("score") * 10000).cast("int").alias("score_e4"), source.alias("source"), tags.alias("tags"))
+
+
+@query
+def context_coverage(spark, sf):
+    """Each job with its chunks, and how much of its description they hold."""
+    chunks = _retrieved(spark, sf)
+    k = F.col("vec_id")
+    wanted = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select(
+        F.concat(F.lit("t"), F.floor(k / 3) % 3).alias("tenantId"), F.concat(F.lit("j"), F.floor(k / 3)).alias("jobId"),
+        F.from_json(F.lit('{"requirements": ["error", "purchase"], "responsibilities": ["view 1", "nowhere"], "skills": ["click"]}'), S.JOB_DESCRIPTION).alias("job"),
+    )
+    scored = retrieval.with_coverage(wanted, chunks)
+    return scored.select(*KEYS, F.size("chunks").alias("chunks"), "coverage.requirements", "coverage.responsibilities", "coverage.skills")
 
 
 @query
@@ -711,6 +735,27 @@ def requests(spark, sf):
     )
 
 
+@query
+def execution_inputs(spark, sf):
+    """Requests whose ``executionInput`` wins over the single columns, options included."""
+    k = F.col("c_custkey")
+    none = lambda name, ddl: F.lit(None).cast(ddl).alias(name)
+    pointer = lambda text: F.struct(none("s3Key", "string"), text.alias("text"), none("metadata", S.METADATA), none("documentType", "string"))
+    tone = lambda c: F.struct(c.alias("tone"))
+    given = F.struct(
+        F.concat(F.lit("job-"), k).alias("jobId"), pointer(F.col("c_name")).alias("jobDescription"),
+        pointer(F.when(k % 4 != 1, F.col("c_mktsegment"))).alias("baseResume"), tone(F.lit("formal")).alias("options"),
+    )
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("t"), k % 3).alias("tenantId"), F.concat(F.lit("plain-"), k).alias("jobId"), F.lit("jd").alias("jobDescriptionKey"),
+        F.lit("cv").alias("baseResumeKey"), tone(F.col("c_mktsegment")).alias("options"), F.when(k % 2 == 1, given).alias("executionInput"),
+    )
+    good, bad = intake.normalise_requests(rows)
+    return good.select("tenantId", "jobId", "options.tone", F.lit("").alias("reason")).unionByName(
+        bad.select("tenantId", "jobId", "options.tone", "reason")
+    )
+
+
 @query
 def request_rejects(spark, sf):
     k = F.col("o_orderkey")

@@ -339,7 +339,7 @@ SELECT 't' || label AS "tenantId", CAST(count(*) * least(10, count(*)) AS BIGINT
 FROM embeddings WHERE label IS NOT NULL GROUP BY label
 """
 
-ORACLES["retrieve_context"] = f"""
+_CONTEXT = f"""
 WITH {_VEC},
 v AS (SELECT 't' || (e.vec_id % 3) AS "tenantId", 'd' || lpad(CAST(e.vec_id AS VARCHAR), 9, '0') AS id, e.e, coalesce(d.text, '') AS text
       FROM e LEFT JOIN documents d ON d.doc_id = e.vec_id),
@@ -357,9 +357,32 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY "tenantId", "jobId", text ORDER BY s DESC, arrival) AS rn,
          min(arrival) OVER (PARTITION BY "tenantId", "jobId", text) AS first_seen FROM c),
 t AS (SELECT *, row_number() OVER (PARTITION BY "tenantId", "jobId" ORDER BY s DESC, first_seen) AS chunk_no FROM r WHERE rn = 1)
+"""
+
+ORACLES["retrieve_context"] = _CONTEXT + """
 SELECT "tenantId", "jobId", CAST(chunk_no AS INTEGER) AS chunk_no, id, text FROM t WHERE chunk_no <= 20
 """
 
+ORACLES["context_details"] = _CONTEXT + """
+SELECT t."tenantId", t."jobId", CAST(chunk_no AS INTEGER) AS chunk_no, t.id, CAST(round(s * 10000) AS INTEGER) AS score_e4,
+       coalesce(d.source, '') AS source, coalesce(e.event_type, '') AS tags
+FROM t LEFT JOIN documents d ON t.id[1] = 'd' AND d.doc_id = TRY_CAST(substr(t.id, 2) AS BIGINT)
+LEFT JOIN events e ON t.id[1] = 'j' AND e.event_id = TRY_CAST(split_part(t.id, '#', 2) AS BIGINT)
+WHERE chunk_no <= 20
+"""
+
+ORACLES["context_coverage"] = _CONTEXT + """
+, g AS (
+  SELECT DISTINCT 't' || (vec_id // 3 % 3) AS "tenantId", 'j' || (vec_id // 3) AS "jobId" FROM embeddings WHERE vec_id % 3 = 0),
+x AS (
+  SELECT "tenantId", "jobId", count(*) AS n, string_agg(lower(text), chr(10)) AS body FROM t WHERE chunk_no <= 20 GROUP BY ALL)
+SELECT g."tenantId", g."jobId", CAST(coalesce(n, 0) AS INTEGER) AS chunks,
+       (contains(body, 'error')::INT + contains(body, 'purchase')::INT) / 2.0::DOUBLE AS requirements,
+       (contains(body, 'view 1')::INT + contains(body, 'nowhere')::INT) / 2.0::DOUBLE AS responsibilities,
+       contains(body, 'click')::INT::DOUBLE AS skills
+FROM g LEFT JOIN x USING ("tenantId", "jobId")
+"""
+
 ORACLES["feedback_prefix"] = """
 SELECT 't' || (user_id % 3) AS "tenantId", 'j' || user_id AS "jobId", count(*) AS items, max(value / 100.0) AS best
 FROM events GROUP BY ALL
@@ -869,3 +892,10 @@ SELECT run, "tenantId", "jobId", 'change_log' AS kind, 'log ' || k AS body FROM
 UNION ALL SELECT run, "tenantId", "jobId", 'style_profile', 'style' FROM r WHERE k % 2 = 0
 UNION ALL SELECT run, "tenantId", "jobId", 'cover_letter', 'letter' FROM r WHERE k % 3 = 0
 """
+
+ORACLES["execution_inputs"] = """
+SELECT 't' || (c_custkey % 3) AS "tenantId", CASE WHEN c_custkey % 2 = 1 THEN 'job-' ELSE 'plain-' END || c_custkey AS "jobId",
+       CASE WHEN c_custkey % 2 = 1 THEN 'formal' ELSE c_mktsegment END AS tone,
+       CASE WHEN c_custkey % 4 = 1 THEN 'jobDescription and baseResume inputs are required' ELSE '' END AS reason
+FROM customer
+"""

@@ -60,8 +60,9 @@ def upsert_vectors(df: DataFrame, path: str, version: Column | None = None) -> N
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    # rows of one version are told apart by their text
-    return read_latest(spark, path, VECTOR_KEYS, ("version", "text"))
+    # rows of one version are told apart by their text and vector
+    rows = spark.read.parquet(path).withColumn("_digest", F.xxhash64("embedding"))
+    return latest(rows, VECTOR_KEYS, ("version", "text", "_digest")).drop("_digest")
 
 
 # --- job status -----------------------------------------------------------

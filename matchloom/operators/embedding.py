@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as X
-from matchloom.functions.rows import explode_rows
+from matchloom.functions.rows import explode_rows, inline_rows, settle
 from matchloom.operators.parsing import all_bullets
 from matchloom.operators.skills import validated_source
 from matchloom import rules as R
@@ -91,6 +91,67 @@ def build_embedding_docs(jobs: DataFrame, validated: DataFrame | None = None, sk
     return out.select(*cols)
 
 
+def _ranked_skills(pairs: str) -> Column:
+    """Distinct skills of (skill, source) pairs: most frequent first, then by name, with their sorted sources."""
+
+    def counted(skill):
+        own = F.filter(pairs, lambda p: p["skill"] == skill)
+        sources = F.sort_array(F.array_distinct(F.transform(own, lambda p: p["source"])))
+        return F.struct((-F.size(own)).alias("order"), skill.alias("skill"), sources.alias("sources"))
+
+    return F.array_sort(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["skill"])), counted))
+
+
+def job_documents(rows: DataFrame) -> DataFrame:
+    """The texts of ``build_embedding_docs`` from one row per job: ``job``, ``resume`` and ``validated``, an array of
+    resumes. All four shapes are one array of the row, so nothing is shuffled and the row is read once."""
+
+    def source(resume, at):
+        return F.coalesce(resume["meta"]["sourceKey"], F.concat(F.lit("validated-"), at.cast("string")))
+
+    lists = F.concat(
+        F.array(
+            F.struct(F.lit("job").alias("source"), F.col("job.skills").alias("skills")),
+            F.struct(F.lit("base").alias("source"), F.col("resume.skills").alias("skills")),
+        ),
+        F.transform("validated", lambda r, i: F.struct(source(r, i).alias("source"), r["skills"].alias("skills"))),
+    )
+
+    def pairs(entry):
+        skills = F.transform(F.coalesce(entry["skills"], F.array().cast("array<string>")), lambda s: X.strip(F.lower(s)))
+        return F.transform(F.filter(skills, lambda s: s != ""), lambda s: F.struct(s.alias("skill"), entry["source"].alias("source")))
+
+    def document(parts, text, metadata):
+        return F.struct(_id(*parts).alias("id"), text.alias("text"), metadata.alias("metadata"))
+
+    rows = settle(rows, _lists=lists)
+    rows = settle(rows.withColumn("_pairs", F.flatten(F.transform("_lists", pairs))).drop("_lists"), _pairs=F.col("_pairs"))
+    jd = document(
+        [F.lit("jd")], make_chunk("job.summary", F.concat("job.requirements", "job.responsibilities")),
+        _metadata("job-description", title=F.coalesce("job.meta.title", F.lit("unknown"))),
+    )
+    base = F.transform(
+        "resume.experience",
+        lambda role, n: document(
+            [F.lit("base"), n.cast("string")], make_chunk(role["title"], role["achievements"]),
+            _metadata("base-experience", role=F.coalesce(role["title"], F.lit("")), company=F.coalesce(role["company"], F.lit(""))),
+        ),
+    )
+    validated = F.transform(
+        "validated",
+        lambda r, i: document(
+            [F.lit("validated"), i.cast("string")], make_chunk(r["summary"], all_bullets(r)),
+            _metadata("validated-resume", sourceKey=source(r, i), outcome=F.coalesce(r["meta"]["outcome"], F.lit(R.DEFAULT_OUTCOME))),
+        ),
+    )
+    skills = F.transform(
+        _ranked_skills("_pairs"),
+        lambda s, n: document([F.lit("skill"), n.cast("string")], s["skill"], _metadata("skill", sources=F.array_join(s["sources"], ","))),
+    )
+    none = F.array().cast("array<struct<id:string,text:string,metadata:map<string,string>>>")
+    return inline_rows(rows, KEYS, F.concat(F.array(jd), F.coalesce(base, none), F.coalesce(validated, none), skills))
+
+
 def build_queries(jobs: DataFrame) -> DataFrame:
     """Three query texts per job: summary, requirements, all achievements."""
     empty = F.lit("")

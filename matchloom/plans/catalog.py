@@ -554,15 +554,12 @@ def gate(spark, sf):
 # --- embedding documents, queries, prompts --------------------------------
 
 def _embedding_docs(spark, sf):
-    # six reads of the parsed documents follow, so they are parsed once and written
+    # a resume is read as the base of its own job and as the validated one of the next
     resumes = materialise(parsed_resumes(spark, sf), "resumes")
-    j = materialise(resumes.join(parsed_jds(spark, sf).withColumnRenamed("pk", "jd_key"), "jd_key"), "jobs")
-    # the resume of the order before serves as the one validated resume
-    validated = resumes.select((F.col("k") + 1).alias("k"), "resume").join(
-        resumes.select("k", *KEYS), "k"
-    ).select(*KEYS, F.lit(0).alias("idx"), "resume")
-    counted = skills.rank_skills(skills.aggregate_skills(skills.skill_lists(j, validated)))
-    return embedding.build_embedding_docs(j, validated, counted)
+    before = resumes.select((F.col("k") + 1).alias("k"), F.array("resume").alias("validated"))
+    rows = resumes.join(parsed_jds(spark, sf).withColumnRenamed("pk", "jd_key"), "jd_key").join(before, "k", "left")
+    none = F.array().cast(before.schema["validated"].dataType)
+    return embedding.job_documents(rows.withColumn("validated", F.coalesce("validated", none)))
 
 
 @query

@@ -207,3 +207,19 @@ def test_embedding_with_a_store(spark, tmp_path):
         got = embedding.embed(df, model, drop_empty=True, store=str(tmp_path / "v")).collect()
         assert {(r.id, r.embedding[0]) for r in got} == {(i, 2.0 * (i % 3)) for i in range(30) if i % 3}
     assert asked.value == 2
+
+
+def test_documents_of_a_row_equal_the_long_form(spark):
+    from matchloom.operators import skills
+
+    cv = "Summary\nhi\nExperience\nLead at Desk - Jan 2020 - Present\n- Built X\nSkills\nSQL, Python\nsql\nRust"
+    base = job_rows(spark, None).drop("validated", "resume")
+    rows = parsing.parse_resumes(base.withColumn("cv", F.lit(cv)), "cv", None).withColumn("k", F.explode(F.array(F.lit(0), F.lit(2))))
+    rows = rows.withColumn("jobId", F.concat("jobId", "k")).withColumn("validated", F.array_repeat("resume", F.col("k")))
+    long = rows.select("tenantId", "jobId", F.posexplode("validated").alias("idx", "resume"))
+    counted = skills.rank_skills(skills.aggregate_skills(skills.skill_lists(rows, long)))
+    want = embedding.build_embedding_docs(rows, long, counted).collect()
+    got = embedding.job_documents(rows)
+    key = lambda r: (r.tenantId, r.jobId, r.id, r.text, tuple(sorted(r.metadata.items())))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want)) and len(want) > 8
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

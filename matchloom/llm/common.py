@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ SLICE_ROWS = 512
 BATCH_ROWS = 2000
 #: The words of the text operators, as a pattern for Java and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
+_LIBC = ctypes.CDLL(None)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -39,9 +42,24 @@ def pieces(data: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on between stages, beside those that work."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def until_end(batches):
+    """The batches of a task; at its end what they took is given back."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Arrow batches in parts of few rows."""
-    for batch in batches:
+    for batch in until_end(batches):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

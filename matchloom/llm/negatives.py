@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import until_end
 from matchloom.llm.search import finite_of
 from matchloom.session import materialise
 
@@ -102,7 +103,7 @@ def _answers(other_label: bool, k: int):
 
     def run(batches):
         number, held, block = None, [], None
-        for batch in batches:
+        for batch in until_end(batches):
             blocks, kinds, ids, labels = (batch.column(i).to_numpy() for i in range(4))
             change = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for a, b in zip(np.r_[0, change], np.r_[change, len(blocks)]):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces, small_batches
+from matchloom.llm.common import encoded, pieces, small_batches, until_end
 from matchloom.session import materialise
 
 #: Bounds of the fitted sample: rows of trusted positives and of unlabelled text.
@@ -68,7 +68,7 @@ def features(text: Column | str) -> Column:
 
     @pandas_udf("array<float>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in until_end(batches):
             yield pd.Series([_features(t) for t in texts], dtype=object)
 
     return compute(text)
@@ -193,6 +193,18 @@ def score_column(model: Model | None, column: str = "features") -> Column:
     return score(F.col(column))
 
 
+def text_score_column(model: Model, text: Column | str) -> Column:
+    """Score of a text: features and network in one worker, so that no second one is held beside it."""
+
+    @pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in until_end(batches):
+            rows = [_features(t) for t in texts]
+            yield pd.Series(model.score(np.stack(rows).astype(np.float64)) if rows else [], dtype="float64")
+
+    return score(text)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``, repeated ones included.
 
@@ -210,6 +222,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(materialise(small_batches(docs).select("doc_id", features("text").alias("features")), "features"), labels)
     if model is None:
         return docs
-    score = score_column(model, "_features")
-    kept = docs.withColumn("_features", features("text")).where(score >= THRESHOLD)
-    return kept.drop("_features")
+    return docs.where(text_score_column(model, F.col("text")) >= THRESHOLD)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces, slices, small_batches
+from matchloom.llm.common import encoded, pieces, slices, small_batches, until_end
 from matchloom.llm.graph import components
 from matchloom.session import materialise
 
@@ -66,7 +66,7 @@ def fingerprint(text: Column | str, shingle_words: int = 4, seed: int = 42) -> C
 
     @pandas_udf("long")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in until_end(batches):
             yield pd.Series([_fingerprint(t, shingle_words, seed) for t in texts], dtype="int64")
 
     return compute(text)
@@ -268,7 +268,7 @@ def wide_fingerprint(text: Column | str, shingle_words: int = 5, seed: int = 42)
 
     @pandas_udf("array<long>")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in until_end(batches):
             sets = (_shingles(t, shingle_words, seed) for t in texts)
             yield pd.Series([[*_majority(h), _name(h)] for h in sets], dtype=object)
 
@@ -282,7 +282,7 @@ def _name(hashes: np.ndarray) -> int:
 def _shingle_sets(shingle_words: int, seed: int):
     @pandas_udf("set long, n long, shingles binary")
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in until_end(batches):
             sets = (_shingles(t, shingle_words, seed) for t in texts)
             yield pd.DataFrame([(_name(h), len(h), h.tobytes()) for h in sets], columns=["set", "n", "shingles"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces, row_key, slices, small_batches
+from matchloom.llm.common import encoded, pieces, row_key, slices, small_batches, until_end
 from matchloom.session import materialise
 
 #: Windows hashed at once within a document.
@@ -206,7 +206,7 @@ def _compared(places: DataFrame) -> DataFrame:
 def _n_words():
     @pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in until_end(batches):
             yield pd.Series([len(encoded(t).split()) for t in texts], dtype="int32")
 
     return count
@@ -246,7 +246,7 @@ def repeated_windows(texts: DataFrame, window: int = 35, anchor: int = 8) -> Dat
 def _cut(window: int):
     @pandas_udf("n_words long, n_removed long, kept string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, marks in batches:
+        for texts, marks in until_end(batches):
             rows = []
             for text, found in zip(texts, marks):
                 words = encoded(text).split()
@@ -275,8 +275,10 @@ def remove_repeats(
     texts keep all their words; a null text gives none. Columns of ``docs`` with one of the new names are replaced.
     """
     docs = small_batches(docs).drop("n_words", "n_removed", "kept")
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    marks = repeated_windows(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), window, anchor)
-    joined = keyed.join(marks.select(F.col("key").alias("_key"), F.col("marks").alias("_marks")), "_key", "left")
-    cut = joined.withColumn("_cut", _cut(window)(F.col(text), F.col("_marks")))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], "_cut.*")
+    # the input's columns travel in a struct, so that no name of theirs can meet one made here
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row_key(doc_id, text).alias("key"), F.col(f"`{text}`").alias("text"), whole.alias("row"))
+    marks = repeated_windows(keyed.select("key", "text"), window, anchor)
+    joined = keyed.drop("text").join(marks, "key", "left")
+    cut = joined.withColumn("cut", _cut(window)(F.col("row").getField(text), F.col("marks")))
+    return cut.select("row.*", "cut.*")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from matchloom.session import materialise
+
 #: Candidates of a block.
 BLOCK_ROWS = 8192
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -316,7 +318,8 @@ def learned_search(
     The neighbour graph of a sample of ``sample_rows`` vectors is cut into balanced ``parts``; a classifier learns the
     part of a vector. Every vector is indexed under its most probable part; a query is sent to its ``probes`` most
     probable ones, reranked there on the original vectors in double precision. Without ``probes`` the number is the
-    least that finds ``recall`` of the sample's neighbours. Rows that do not take part, repeated rows and empty tables
+    least that finds ``recall`` of the sample's neighbours. A query whose parts hold fewer than ``k`` candidates is sent to
+    all others too, so that it gets fewer than ``k`` only if there are fewer. Rows that do not take part, repeated rows and empty tables
     are treated as in ``threshold_topk``; zero vectors take no part either.
     """
     base, asked = usable(vectors, vec_id, vector, zeros=False), _first_of(usable(queries, vec_id, vector, zeros=False))
@@ -332,13 +335,28 @@ def learned_search(
     def route(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series(list(index.route(np.stack(v.to_numpy()))[:, : index.probes].astype(np.int32)))
+        return pd.Series(list(index.route(np.stack(v.to_numpy())).astype(np.int32)))
 
     # blocks of a part: as many as its expected size needs, dealt by a hash
     split = max(1, -(-count // (index.parts * block_rows)))
     salt = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(split))
     base = base.withColumn("block", (F.element_at(route("v"), 1) * F.lit(split) + salt).cast("long"))
-    sent = asked.withColumn("part", F.explode(route("v")))
-    sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
-    sent = sent.withColumn("block", (F.col("part") * F.lit(split) + F.col("salt")).cast("long"))
-    return _searched(base, sent, _product_kernel(k), k)
+
+    def searched(queries: DataFrame, first: int, parts: int) -> DataFrame:
+        sent = queries.withColumn("part", F.explode(F.slice(route("v"), first + 1, parts)))
+        sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+        sent = sent.withColumn("block", (F.col("part") * F.lit(split) + F.col("salt")).cast("long"))
+        return _searched(base, sent, _product_kernel(k), k)
+
+    found = searched(asked, 0, index.probes)
+    if index.probes == index.parts:
+        return found
+    found = materialise(found, "found")
+    number = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    met = asked.join(number, F.col("vec_id") == F.col("query_id"), "left")
+    short = materialise(met.where(F.coalesce("n", F.lit(0)) < min(k, count - 1)).select("vec_id", "v"), "short")
+    if short.isEmpty():
+        return found
+    both = found.unionByName(searched(short, index.probes, index.parts))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -59,6 +59,23 @@ def test_learned_partitions(spark):
     assert search.learned_search(df.where("vec_id < 2"), df.where("vec_id < 2")).count() == 2
 
 
+def test_every_query_gets_its_rows(spark):
+    """A cluster of one repeated id holds no candidate for its own query; others have to be found elsewhere."""
+    rng = np.random.default_rng(9)
+    centres = 20 * np.eye(16)
+    x = centres[np.arange(1600) % 16] + rng.normal(size=(1600, 16))
+    rows = [(i, x[i].tolist(), 0, 0, 0) for i in range(1600) if i % 16 != 3] + [(3, x[3].tolist(), 0, 0, 0)] * 100
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = search.learned_search(df, df.where("vec_id < 40"), probes=1).collect()
+    number = {q: sum(r.query_id == q for r in got) for q in {r[0] for r in rows if r[0] < 40}}
+    assert set(number.values()) == {20}
+    mine = sorted((r["rank"], r.vec_id) for r in got if r.query_id == 3)
+    near = {i: float(np.float64(np.float32(x[3])) @ np.float64(np.float32(x[i]))) for i in {r[0] for r in rows} - {3}}
+    assert [v for _, v in mine] == sorted(near, key=lambda i: -near[i])[:20]
+    few = search.learned_search(df.where("vec_id < 15"), df.where("vec_id < 15")).collect()
+    assert len({r.query_id for r in few}) == 15
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()

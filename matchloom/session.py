@@ -8,6 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchloom.sources.files import Files
+
+#: Spark's setting that shuffle files go as soon as the job that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster bring your own."""
@@ -48,8 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage after costly or non-deterministic steps (model calls); a lost executor
-    re-reads files instead of calling the model again.
+    re-reads files instead of calling the model again. The shuffle files of the write go with its end, for
+    what reads the result reads the folder. ``discard`` removes the folder.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove the folders of results of ``materialise``, once all that was made from them is written itself."""
+    for df in written:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            Files(df.sparkSession, folder).delete_uri(folder)

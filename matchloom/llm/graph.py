@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.session import materialise
+from matchloom.session import discard, materialise
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component`` (least node of the component) for every node that has an edge, but for that least node.
 
     Nodes are long integers. Edges with a null end and loops are ignored; no edges give an empty result.
-    Only the number of edges and a checksum reach the driver.
+    Only the number of edges and a checksum reach the driver. A round's files go when the next round is written.
     """
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     edges = materialise(edges.where("a <> b").distinct(), "edges")
     last = None
     while True:
-        edges = materialise(_stars(edges), "stars")
+        before, edges = edges, materialise(_stars(edges), "stars")
+        discard(before)
         # a changed edge set changes the count or one of the sums
         at = edges.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))

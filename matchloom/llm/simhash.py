@@ -7,6 +7,11 @@ grid cell for every choice of 4 groups, points of one cell are compared by Manha
 verified on the fingerprints. In a cell only a spanning forest of the links is kept: a group of n near copies yields
 at most n - 1 links per cell, never all pairs, and no link between different groups is lost.
 
+A cell of more than ``CELL`` fingerprints is divided before it is compared. Two fingerprints at 4 bits or fewer have 4
+groups equal bit by bit and meet in the cell of these; of the 8 half groups left at least 4 are equal too. So in a large
+cell each fingerprint enters one part for every choice of 4 half groups, named by its bits there and in the cell's own
+groups. Only 16 bits differ within a part: it holds 65,536 fingerprints at most.
+
 ``similar_documents`` links by similarity of the texts instead, where dozens of bits may differ: its fingerprints have 256
 bits, and its grids take segments at random, as many grids as the share of pairs that must meet asks for. There the
 fingerprints only find families of candidates; within a family the sets of shingles themselves decide about each link.
@@ -32,6 +37,8 @@ from matchloom.session import materialise
 
 BITS = 64
 GROUPS = 8
+#: Fingerprints of a cell that are compared as one group; more are divided first.
+CELL = 8_192
 _LOW = 0x5555555555555555
 _ALL = (1 << BITS) - 1
 
@@ -107,17 +114,17 @@ def _near(fps: np.ndarray, points: np.ndarray, fp: np.uint64, point: np.uint64,
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning forest of the links among the fingerprints of a cell."""
+    """Components of the links among the fingerprints of a cell, each as a star around its least fingerprint."""
     rest, links = np.unique(fps), []
     points = _points(rest)
     while rest.size > 1:
-        open_ = [(rest[0], points[0])]
+        root, open_ = rest[0], [(rest[0], points[0])]
         rest, points = rest[1:], points[1:]
         while open_ and rest.size:
             fp, point = open_.pop()
             found = _near(rest, points, fp, point, distance)
             if found.size:
-                links.append((np.full(found.size, fp), rest[found]))
+                links.append((np.full(found.size, root), rest[found]))
                 open_.extend(zip(rest[found], points[found]))
                 keep = np.ones(rest.size, dtype=bool)
                 keep[found] = False
@@ -125,16 +132,23 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray
     return links
 
 
-def _link_cells(distance: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def out(links):
-        if links:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*links))
-            yield pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
+
+def _link_cells(distance: int, limit: float):
+    """Links (``a``, ``b``) of each cell. The fingerprints of a cell of more than ``limit`` are handed on instead, in ``a``
+    beside their ``cell``; no more than ``limit`` and one batch are held at a time."""
+
+    def linked(links):
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*links))
+        return pa.record_batch([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], schema=_LINKS)
+
+    def handed_on(cell, fps):
+        columns = [pa.array(np.full(len(fps), cell)), pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64())]
+        return pa.record_batch(columns, schema=_LINKS)
 
     def run(batches):
-        held_cell, held = None, []  # the cell that may go on in the next batch
+        held_cell, held, large = None, [], False  # the cell that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -144,10 +158,14 @@ def _link_cells(distance: int):
             starts, ends = np.r_[0, bounds], np.r_[bounds, len(cell)]
             links, first = [], 0
             if held_cell is not None and cell[0] == held_cell:
-                held.append(fps[: ends[0]])
+                held.append(fps[: ends[0]].copy())
                 first = 1
+            large = large or sum(map(len, held)) > limit
+            if large and held:
+                yield handed_on(held_cell, np.concatenate(held))
+                held = []
             if first < len(starts):
-                if held and sum(map(len, held)) > 1:
+                if sum(map(len, held)) > 1:
                     links += _forest(np.concatenate(held), distance)
                 sizes = (ends - starts)[first:-1]
                 twos = starts[first:-1][sizes == 2]
@@ -156,24 +174,63 @@ def _link_cells(distance: int):
                 near[near] = np.bitwise_count(a[near] ^ b[near]) <= distance
                 links.append((a[near], b[near]))
                 for k in np.flatnonzero(sizes > 2) + first:
-                    links += _forest(fps[starts[k] : ends[k]], distance)
-                held_cell, held = cell[-1], [fps[starts[-1] :].copy()]
-            yield from out(links)
-        if held and sum(map(len, held)) > 1:
-            yield from out(_forest(np.concatenate(held), distance))
+                    if ends[k] - starts[k] > limit:
+                        yield handed_on(cell[starts[k]], fps[starts[k] : ends[k]])
+                    else:
+                        links += _forest(fps[starts[k] : ends[k]], distance)
+                held_cell, held, large = cell[-1], [fps[starts[-1] :].copy()], False
+            if links:
+                yield linked(links)
+        if held and (large or sum(map(len, held)) > limit):
+            yield handed_on(held_cell, np.concatenate(held))
+        elif sum(map(len, held)) > 1 and (links := _forest(np.concatenate(held), distance)):
+            yield linked(links)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, fp: str = "fingerprint", distance: int = 4) -> DataFrame:
+def _divide(distance: int):
+    """The parts of large cells: bits of the cell's own groups and of each choice of half of the half groups left."""
+    schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
+    half = BITS // GROUPS // 2
+
+    def run(batches):
+        for batch in batches:
+            cell = np.ascontiguousarray(batch.column(0).to_numpy())
+            fps = batch.column(1).to_numpy().view(np.uint64)
+            blank = cell.view(np.uint8).reshape(len(cell), GROUPS) == 0xAA
+            left = 2 * np.nonzero(blank)[1].reshape(len(cell), distance)
+            left = np.concatenate([left, left + 1], axis=1).astype(np.uint64)
+            masks = np.uint64((1 << half) - 1) << (np.uint64(half) * left)
+            own = ~masks.sum(axis=1, dtype=np.uint64)
+            for chosen in combinations(range(2 * distance), distance):
+                mask = own | masks[:, list(chosen)].sum(axis=1, dtype=np.uint64)
+                key = ((fps & mask) * np.uint64(0x9E3779B97F4A7C15)) ^ (mask * np.uint64(0xBF58476D1CE4E5B9))
+                key = (key ^ (key >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(fps.view(np.int64))], schema=schema)
+
+    return run
+
+
+def fingerprint_links(fps: DataFrame, fp: str = "fingerprint", distance: int = 4, cell: int = CELL) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints whose components are those of all pairs that differ in
-    ``distance`` bits or fewer. Nulls are left out; equal fingerprints need no link."""
+    ``distance`` bits or fewer. Nulls are left out; equal fingerprints need no link. Cells of more than ``cell``
+    fingerprints are divided; the result does not depend on it."""
     if not 0 <= distance < GROUPS:
         raise ValueError(f"distance must be below {GROUPS}")
-    nodes = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # small rows that become many: dealt over all tasks, however few partitions the distinct ones would fill
+    nodes = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(tasks, "fp")
+
+    def linked(pairs, limit):
+        parted = pairs.repartition("cell").sortWithinPartitions("cell")
+        return parted.mapInArrow(_link_cells(distance, limit), "cell long, a long, b long")
+
     pairs = nodes.select(F.explode(cells(embedding(F.col("fp")), distance)).alias("cell"), "fp")
-    parted = pairs.repartition("cell").sortWithinPartitions("cell")
-    return parted.mapInArrow(_link_cells(distance), "a long, b long").distinct()
+    found = materialise(linked(pairs, cell), "cell_links")
+    large = found.where("b is null").select("cell", "a").repartition("a")
+    parts = linked(large.mapInArrow(_divide(distance), "cell long, fp long"), float("inf"))
+    return found.where("b is not null").unionByName(parts).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -336,8 +393,11 @@ def _wide_cells(coordinates: int, grids: int) -> Column:
 
 
 def _wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning forest of the links of a cell, compared in strips."""
-    points, labels, links = _points(fps), np.arange(len(nodes)), []
+    """Components of the links of a cell, compared in strips: each as a star around its least node, so that cells that
+    hold the same family say the same links."""
+    order = np.argsort(nodes, kind="stable")
+    nodes, fps = nodes[order], fps[order]
+    points, labels = _points(fps), np.arange(len(nodes))
     for at in range(0, len(nodes) - 1, 64):
         strip = slice(at, at + 64)
         apart = np.zeros((len(points[strip]), len(nodes) - at), dtype=np.uint16)
@@ -347,12 +407,11 @@ def _wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tupl
         for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
             close = np.flatnonzero(near[i]) + at
             close = close[np.bitwise_count(fps[close] ^ fps[at + i]).sum(axis=1, dtype=np.int64) <= distance]
-            groups, first = np.unique(labels[close], return_index=True)
+            groups = np.unique(labels[close])
             if len(groups) > 1:
-                others = close[first[groups != labels[at + i]]]
-                links.append((np.full(len(others), nodes[at + i]), nodes[others]))
-                labels[np.isin(labels, groups)] = labels[at + i]
-    return links
+                labels[np.isin(labels, groups)] = groups[0]
+    others = np.flatnonzero(labels != np.arange(len(nodes)))
+    return [(nodes[labels[others]], nodes[others])] if len(others) else []
 
 
 def _link_wide(distance: int):
@@ -391,8 +450,8 @@ def _link_wide(distance: int):
 
 def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Candidate links ``a``, ``b`` between the nodes of ``nodes`` (``node`` and the words ``f0`` to ``f3``) within
-    ``candidate_distance(similarity)``; a spanning forest of each grid cell, bounded by the Manhattan distance of two-bit
-    counts before it is verified.
+    ``candidate_distance(similarity)``: of each grid cell, its components as stars around their least nodes. The Manhattan
+    distance of two-bit counts bounds the pairs before they are verified.
 
     Each grid takes some segments of one bit, whose count is the bit, as these part unrelated fingerprints best; a cell
     holds the fingerprints that agree in all of them. The number of grids follows from the share of pairs that must

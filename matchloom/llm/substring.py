@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from matchloom.llm.common import encoded, pieces, row_key, slices, small_batches, until_end
-from matchloom.session import materialise
+from matchloom.session import discard, materialise
 
 #: Windows hashed at once within a document.
 SEGMENT = 1 << 17
@@ -236,6 +236,7 @@ def repeated_windows(texts: DataFrame, window: int = 35, anchor: int = 8) -> Dat
     hits = seeds.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "total")).alias("hits"))
     around = texts.join(hits, "key").select("key", "text", "hits").mapInArrow(_places(window, anchor), _ddl(_PLACES))
     marks = materialise(_compared(around), "marks")
+    discard(seeds)
     found = marks.where("not again").select("key", "start", "stop").unionByName(_across_salts(marks.where("again")))
     whole = copies.select("key", F.lit(0).alias("start"), (_n_words()(F.col("text")) - window + 1).alias("stop"))
     found = found.join(copied, "key", "left_anti").unionByName(whole.where("stop > 0"))

@@ -1,17 +1,20 @@
 """Text operators against brute force, with nulls, ties, empty tables and clashing columns."""
 
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 from matchloom.llm import bitplane, bpe, chat, packing, pii, quality, simhash, substring
 from matchloom.llm.queries import ORACLES, QUERIES
+from matchloom.session import shared_dir
 
 WORDS = ["alpha", "Beta", "gamma", "delta", "é", "zeta,", "eta", "theta"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, n_words int, marks string"
@@ -181,6 +184,48 @@ def test_dense_groups_give_no_pairs(spark):
     assert found == {min(fps)}
 
 
+@pytest.mark.parametrize("distance", [4, 3, 1, 0])
+def test_large_cells_are_divided(spark, distance):
+    rnd = random.Random(distance)
+    base = 0x3A5C0F9617E2D4B8
+    fps = {(base & ~0xFFFFFF) | rnd.getrandbits(24) for _ in range(1200)}  # five groups of bits are all equal
+    fps |= {f ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(1, 6))) for f in rnd.sample(sorted(fps), 300)}
+    fps |= {rnd.getrandbits(63) for _ in range(500)}
+    values = np.array(sorted(fps), dtype=np.uint64)
+    least = {}
+    left = set(range(len(values)))
+    while left:  # breadth first over all pairs
+        found = [min(left)]
+        for i in found:
+            near = np.flatnonzero(np.bitwise_count(values ^ values[i]) <= distance)
+            found += [int(j) for j in near if j in left and j not in found]
+        left -= set(found)
+        least.update({int(values[i]): int(values[found].min()) for i in found})
+    df = spark.createDataFrame([(int(f),) for f in values], "fingerprint long").repartition(5)
+    want = {f: c for f, c in least.items() if f != c}
+    for cell in (40, 10**6):
+        links = simhash.fingerprint_links(df, distance=distance, cell=cell)
+        assert {r.node: r.component for r in simhash.components(links).collect()} == want, cell
+
+
+def test_parts_of_large_cells_are_bounded(spark):
+    fps = np.arange(1 << 17, dtype=np.uint64) | np.uint64(0x5A << 40)
+    cell = np.full(len(fps), simhash._signed(0x00001500AAAAAAAA), dtype=np.int64)
+    batch = pa.record_batch([pa.array(cell), pa.array(fps.view(np.int64))], names=["cell", "a"])
+    parts = list(simhash._divide(4)([batch]))
+    assert len(parts) == 70
+    for part in parts:
+        assert max(np.unique(part.column(0).to_numpy(), return_counts=True)[1]) <= 1 << 16
+
+
+def test_rounds_leave_the_last_one_only(spark):
+    root = shared_dir(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    found = simhash.components(spark.range(30).selectExpr("id a", "id + 1 b"))
+    assert {r.component for r in found.collect()} == {0} and found.count() == 30
+    assert len(set(os.listdir(root)) - before) == 1
+
+
 def test_pseudonyms(spark):
     values = ["die.55@mail4.example.com", "DIE.55@MAIL4.EXAMPLE.COM", "+1 (017) 555-7713", "4111 1111 1111 1111",
               "4111111111111111", "233.254.104.120", "04dbebab91ab85687d33eeaaf9ac699e1188f962",

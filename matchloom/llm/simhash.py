@@ -220,7 +220,7 @@ def fingerprint_links(fps: DataFrame, fp: str = "fingerprint", distance: int = 4
         raise ValueError(f"distance must be below {GROUPS}")
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # small rows that become many: dealt over all tasks, however few partitions the distinct ones would fill
-    nodes = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(tasks, "fp")
+    nodes = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct().repartition(tasks)
 
     def linked(pairs, limit):
         parted = pairs.repartition("cell").sortWithinPartitions("cell")

@@ -504,3 +504,41 @@ def test_pseudonyms_of_numbers_with_something_behind(spark):
     plain = spark.createDataFrame([(0, "31.12.2024")], "doc_id int, text string")
     d, m, y = pii.pseudonymise(plain, "key").first().text.split(".")
     assert new[11] == f"{d}/{m}/{y}"
+
+
+def _words_of_one_xxh64():
+    """Two words of 32 letters and more whose XXH64 of seed 0 is equal: a change of the first eight bytes is undone in the
+    lane by the next block."""
+    one, two, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 2**64 - 1
+    turn = lambda v: ((v << 31) | (v >> 33)) & full
+    state = lambda block: turn(one + two + int.from_bytes(block, "little") * two & full) * one & full
+    rnd, first = random.Random(5), b"abcdefgh"
+    while True:
+        other = bytes(rnd.choices(range(97, 123), k=8))
+        then = int.from_bytes(b"ijklmnop", "little") + (state(first) - state(other)) * pow(two, -1, 2**64) & full
+        then = then.to_bytes(8, "little")
+        if all(33 <= b < 127 for b in then):
+            pair = [a + b"x" * 24 + b + b"y" * 24 for a, b in ((first, b"ijklmnop"), (other, then))]
+            assert pair[0] != pair[1] and xxhash.xxh64_digest(pair[0]) == xxhash.xxh64_digest(pair[1])
+            return [w.decode() for w in pair]
+
+
+@pytest.mark.parametrize("places", [20_000, 1])
+def test_windows_of_words_that_share_a_hash_differ(spark, places, monkeypatch):
+    monkeypatch.setattr(substring, "PLACES", places)
+    a, b = _words_of_one_xxh64()
+    rest = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, f"{rest} {a} {rest[::-1]}"), (1, f"{rest[:70]} {a} {rest[:100]}"), (2, f"{rest[:70]} {b} {rest[:100]}")]
+    rows += [(3, f"{a} " * 40), (4, f"{b} " * 34)]
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(found) == sorted(brute_repeats(rows))
+
+
+def test_windows_equal_in_one_of_their_numbers_differ():
+    def rows(*windows):
+        pack = [np.array(w, dtype=np.uint64).tobytes() for w in windows]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*[(7, 0, 1, k, 0, w) for k, w in enumerate(pack)]), substring._PLACES)], schema=substring._PLACES)
+
+    marks = lambda *w: [r["key"] for b in substring._compare([rows(*w)]) for r in b.to_pylist()]
+    assert marks([(5, 1)], [(5, 2)]) == [] and marks([(5, 1)], [(6, 1)]) == []
+    assert marks([(5, 1)], [(5, 2)], [(5, 1)]) == [0, 2]

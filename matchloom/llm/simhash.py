@@ -13,7 +13,7 @@ cell each fingerprint enters one part for every choice of 4 half groups, named b
 groups. Only 16 bits differ within a part: it holds 65,536 fingerprints at most.
 
 ``similar_documents`` links by similarity of the texts instead, where dozens of bits may differ: its fingerprints have 256
-bits, and its grids take segments at random, as many grids as the share of pairs that must meet asks for. There the
+bits, and its grids take coordinates of the same embedding at random, as many grids as the share of pairs that must meet asks for. There the
 fingerprints only find families of candidates; within a family the sets of shingles themselves decide about each link.
 """
 
@@ -364,30 +364,38 @@ def candidate_distance(similarity: float) -> int:
 
 
 def grid_size(count: int, similarity: float) -> tuple[int, int]:
-    """Coordinates of a cell, by the number of fingerprints, and grids needed for ``RECALL`` at the similarity, over
+    """Bits a cell is to tell apart, by the number of fingerprints, and grids needed for ``RECALL`` at the similarity, over
     all numbers of differing bits that pairs of that similarity have."""
-    coordinates = max(14, int(np.ceil(np.log2(max(count, 1) / UNRELATED))))
+    told = max(14, int(np.ceil(np.log2(max(count, 1) / UNRELATED))))
     p, bits = _angle(similarity), BITS * WIDE
     if p < 1e-6:  # rounding of the angle of equal sets
-        return coordinates, 1
+        return told, 1
     differ = np.arange(bits)
     ways = np.array([lgamma(bits + 1) - lgamma(d + 1) - lgamma(bits - d + 1) for d in range(bits)])
     share = np.exp(ways + differ * np.log(p) + (bits - differ) * np.log1p(-p))
-    meet = np.log1p(-np.minimum((1 - differ / bits) ** coordinates, 1 - 1e-12))
+    # a segment of two bits has the same count if neither differs, or both do in opposite ways
+    alike = (1 - differ / bits) ** 2 + (differ / bits) ** 2 / 2
+    meet = np.log1p(-np.minimum(alike ** segments(told), 1 - 1e-12))
     grids = 1
     while (share * np.exp(grids * meet)).sum() > 1 - RECALL:
         grids += 1
-    return coordinates, grids
+    return told, grids
 
 
-def _wide_cells(coordinates: int, grids: int) -> Column:
+def segments(told: int) -> int:
+    """Segments whose counts tell that many bits apart: a count of two random bits is 0, 1, 1 or 2."""
+    return int(np.ceil(told / -np.log2(2 * 0.25**2 + 0.5**2)))
+
+
+def _wide_cells(told: int, grids: int) -> Column:
+    """Grid cells of a fingerprint: in each grid the bit counts of some segments of its embedding."""
     rng = np.random.default_rng(5)
     keys = []
     for grid in range(grids):
         masks = [0] * WIDE
-        for c in rng.choice(WIDE * BITS, coordinates, replace=False).tolist():
-            masks[c // BITS] |= 1 << (c % BITS)
-        parts = [F.col(_WORDS[i]).bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(masks) if m]
+        for c in rng.choice(WIDE * BITS // 2, segments(told), replace=False).tolist():
+            masks[2 * c // BITS] |= 3 << (2 * c % BITS)
+        parts = [F.col(f"_points.{_WORDS[i]}").bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(masks) if m]
         keys.append(F.xxhash64(F.lit(grid), *parts))
     return F.array(*keys)
 
@@ -453,13 +461,15 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     ``candidate_distance(similarity)``: of each grid cell, its components as stars around their least nodes. The Manhattan
     distance of two-bit counts bounds the pairs before they are verified.
 
-    Each grid takes some segments of one bit, whose count is the bit, as these part unrelated fingerprints best; a cell
-    holds the fingerprints that agree in all of them. The number of grids follows from the share of pairs that must
-    meet. A cell of more than ``BLOCK`` fingerprints is cut into blocks, and every two blocks are one group, so that no
+    Fingerprints are embedded as the bit counts of their segments of two bits, as in ``fingerprint_links``. Each grid takes
+    some of these coordinates at random; a cell holds the fingerprints that agree in all of them. The number of grids
+    follows from the share of pairs that must meet. A cell of more than ``BLOCK`` fingerprints is cut into blocks, and every two blocks are one group, so that no
     task holds the cell and none of its links is lost.
     """
-    coordinates, grids = grid_size(nodes.count(), similarity)
-    dealt = nodes.select(F.explode(_wide_cells(coordinates, grids)).alias("cell"), "node", *_WORDS)
+    told, grids = grid_size(nodes.count(), similarity)
+    points = F.struct(*[embedding(F.col(w)).alias(w) for w in _WORDS])
+    embedded = nodes.select("node", *_WORDS, F.explode(F.array(points)).alias("_points"))  # once per fingerprint
+    dealt = embedded.select(F.explode(_wide_cells(told, grids)).alias("cell"), "node", *_WORDS)
     hot = dealt.groupBy("cell").count().where(F.col("count") > BLOCK)
     hot = materialise(hot.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot_cells")
     dealt = dealt.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

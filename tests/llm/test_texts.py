@@ -542,3 +542,17 @@ def test_windows_equal_in_one_of_their_numbers_differ():
     marks = lambda *w: [r["key"] for b in substring._compare([rows(*w)]) for r in b.to_pylist()]
     assert marks([(5, 1)], [(5, 2)]) == [] and marks([(5, 1)], [(6, 1)]) == []
     assert marks([(5, 1)], [(5, 2)], [(5, 1)]) == [0, 2]
+
+
+def test_cells_of_similar_links_hold_segment_counts(spark):
+    rnd = np.random.default_rng(4)
+    fps = rnd.integers(0, 2**64, (40, simhash.WIDE), dtype=np.uint64)
+    low = np.uint64(0x5555555555555555)
+    turned = ((fps & low) << np.uint64(1)) | ((fps >> np.uint64(1)) & low)  # 01 for 10: the same counts, many bits apart
+    rows = [(k, *[int(v) for v in f.view(np.int64)]) for k, f in enumerate([*fps, *turned])]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{w} long" for w in simhash._WORDS))
+    points = [simhash.F.struct(*[simhash.embedding(simhash.F.col(w)).alias(w) for w in simhash._WORDS]).alias("_points")]
+    cells = dict(nodes.select("node", *points).select("node", simhash._wide_cells(*simhash.grid_size(80, 0.8))).collect())
+    assert all(cells[k] == cells[40 + k] for k in range(40)) and len({tuple(c) for c in cells.values()}) == 40
+    # half of the bits differ: candidates of a cell are still told apart by their bits
+    assert simhash.similar_links(nodes).count() == 0

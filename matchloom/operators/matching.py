@@ -28,8 +28,11 @@ BROADCAST_ROWS = 50_000
 BROADCAST_CHARS = 16_000_000
 NEEDLE_BLOCK_CHARS = 16_000_000
 TEXT_BLOCK_CHARS = 32_000_000
-QUERY_BLOCK_ROWS = 2_000
+QUERY_BLOCK_ROWS = 20_000
 VECTOR_BLOCK_ROWS = 50_000
+#: Queries that are broadcast, and scores that a task holds at once.
+SHARED_QUERIES = 10_000
+SCORE_CELLS = 2_000_000
 
 
 def is_bounded(df: DataFrame, weight: Column, max_rows: int, max_weight: int) -> bool:
@@ -283,11 +286,21 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 SCORE_DIGITS = 12  # equal vectors tie whatever the shape of their block
 
 
+def _best_of(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the ``k`` best vectors of each query in turn; scores are made for some queries at a time."""
+    strip = max(1, SCORE_CELLS // max(len(v), 1))
+    for at in range(0, len(q), strip):
+        scores = q[at : at + strip] @ v.T
+        np.round(scores, SCORE_DIGITS, out=scores)
+        for row in scores:
+            best = _top(row, ids, k)
+            yield ids[best], row[best]
+
+
 def _best_rows(query_ids, q: np.ndarray, doc_ids: np.ndarray, v: np.ndarray, k: int):
-    scores = np.round(q @ v.T, SCORE_DIGITS)
-    for row, qid in enumerate(query_ids):
-        for pos in _top(scores[row], doc_ids, k):
-            yield qid, doc_ids[pos], float(scores[row, pos])
+    for qid, (ids, scores) in zip(query_ids, _best_of(q, doc_ids, v, k)):
+        for doc, score in zip(ids, scores):
+            yield qid, doc, float(score)
 
 
 def nearest(
@@ -302,8 +315,8 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` vectors of highest cosine similarity per query: (keys, query_id, doc_id, score, rank).
 
-    Exact. Each task scores a block of vectors by one matrix product and keeps ``k`` rows per
-    query, so what is shuffled is tasks x queries x k rows, never a pair per vector.
+    Exact. Each task scores a block of vectors by matrix products for some queries at a time (``SCORE_CELLS``) and keeps
+    ``k`` rows per query, so what is shuffled is tasks x queries x k rows, never a pair per vector.
     ``keys=()`` searches across tenants. Rank starts at 1; ties go to the smaller id.
     """
     keys = list(keys)
@@ -320,7 +333,7 @@ def nearest(
     names = schema.names
     n_keys = len(keys)
 
-    if not force_grid and is_bounded(queries, F.size(vector) * 4, QUERY_BLOCK_ROWS * 5, BROADCAST_CHARS):
+    if not force_grid and is_bounded(queries, F.size(vector) * 4, SHARED_QUERIES, BROADCAST_CHARS):
         by_key: dict[tuple, tuple[list, list]] = {}
         for row in queries.collect():  # bounded by the check above
             ids, vecs = by_key.setdefault(tuple(row[:n_keys]), ([], []))
@@ -340,10 +353,7 @@ def nearest(
                         continue
                     qids, q = shared.value[key]
                     v, ids = _matrix(part[vector]), part[doc_id].to_numpy()
-                    scores = np.round(q @ v.T, SCORE_DIGITS)
-                    for row, qid in enumerate(qids):
-                        at = _top(scores[row], ids, k)
-                        cand_ids, cand = ids[at], scores[row][at]
+                    for qid, (cand_ids, cand) in zip(qids, _best_of(q, ids, v, k)):
                         old = best.get((key, qid))
                         if old is not None:
                             cand_ids, cand = np.concatenate([old[0], cand_ids]), np.concatenate([old[1], cand])

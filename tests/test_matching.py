@@ -139,3 +139,18 @@ def test_index_against_brute_force(spark):
     assert {tuple(r) for r in matching.contained(t, n, force_index=True).collect()} == {(j,) for _, j, needle in needles if any(needle in x for _, _, x in texts)}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_are_made_for_some_queries_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(2_000, 8)), rng.normal(size=(20_000, 8))
+    tracemalloc.start()
+    got = list(matching._best_rows(range(len(q)), q, np.arange(len(v)), v, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 6_000 and peak < 60 << 20  # all scores at once are 320 MB
+    for i in (0, 99, 100, 1_999):
+        scores = np.round(v @ q[i], matching.SCORE_DIGITS)
+        assert [d for n, d, _ in got[3 * i : 3 * i + 3]] == sorted(range(len(v)), key=lambda d: (-scores[d], d))[:3]

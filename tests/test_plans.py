@@ -6,6 +6,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from matchloom.operators import evaluation, parsing, retrieval, skills
+from matchloom.plans import corpus
 from matchloom.plans.catalog import QUERIES
 from matchloom.plans.corpus import jd_texts, resume_texts, table
 from matchloom.sources import tables
@@ -61,3 +62,22 @@ def test_key_prefix_reaches_the_scan(spark, tmp_path):
     assert "StringStartsWith(feedbackId,j#)" in p and "PartitionFilters: [isnotnull(tenantId" in p
     p = plan(tables.list_artifacts(spark.read.parquet(path).withColumnRenamed("feedbackId", "key"), "t"))
     assert "PartitionFilters: [isnotnull(tenantId" in p
+
+
+def test_text_work_is_dealt_by_rows(spark, monkeypatch):
+    orders = corpus.table(spark, SF, "orders")
+    monkeypatch.setattr(corpus, "TASK_ROWS", 50)
+    wanted = -(-orders.count() // 50)
+    assert wanted > spark.sparkContext.defaultParallelism
+    assert corpus.spread(orders, "o_orderkey").rdd.getNumPartitions() == wanted
+    assert corpus.jobs(spark, SF).rdd.getNumPartitions() == wanted
+
+
+def test_resumes_are_written_behind_the_join(spark):
+    plan = corpus.jobs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Professional Summary" in plan and "Professional Summary" not in plan[plan.index("Join ") :]
+
+
+def test_gate_reads_one_validation(spark):
+    files = QUERIES["gate"](spark, SF).inputFiles()
+    assert files and all("/outcomes-" in f for f in files)

@@ -150,6 +150,9 @@ def search(
     """
     centres, usual = _centres(spark, path)
     visited = min(probes or usual, len(centres))
+    if visited == len(centres):  # every bucket for every query: no query is routed or copied
+        held = rows(spark, path).select("tenantId", F.col("id").alias("doc_id"), vector)
+        return matching.nearest(queries, held, k, ["tenantId"], query_id, "doc_id", vector)
     asked = queries.where(F.size(vector) > 0).select("tenantId", query_id, vector, _routed(centres, visited, vector).alias("bucket"))
     asked = materialise(asked.withColumn("bucket", F.explode("bucket")), "asked")
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # MAX_BUCKETS numbers at most

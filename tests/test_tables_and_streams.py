@@ -249,3 +249,27 @@ def test_retention(spark, tmp_path):
     left = spark.read.parquet(path)
     assert sorted(r.key for r in left.collect()) == ["fresh", "kept", "unknown"]
     assert {r.tenantId for r in left.collect()} == {"t", "u/%"}
+
+
+def test_search_of_all_buckets_copies_no_query(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    data = [("ab"[i % 2], i, [float(x) for x in rng.normal(size=4)]) for i in range(120)] + [("a", 500, None)]
+    df = spark.createDataFrame(data, "tenantId string, id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    vector_index.create(df, path, buckets=6)
+    asked = df.withColumnRenamed("id", "query_id")
+
+    def routed(*_):
+        raise AssertionError("a query was routed")
+
+    monkeypatch.setattr(vector_index, "materialise", routed)
+    got = {(r.query_id, r["rank"]): r.doc_id for r in vector_index.search(spark, path, asked, k=3, probes=6).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, v in data if v}
+    tenant = {i: t for t, i, _ in data}
+    want = {}
+    for i in unit:
+        near = sorted((j for j in unit if tenant[j] == tenant[i]), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))
+        want.update({(i, n + 1): j for n, j in enumerate(near[:3])})
+    assert got == want

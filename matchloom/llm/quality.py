@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from matchloom.llm.common import encoded, pieces, small_batches, until_end
+from matchloom.llm.common import encoded, give_back, pieces, small_batches, until_end
 from matchloom.session import materialise
 
 #: Bounds of the fitted sample: rows of trusted positives and of unlabelled text.
@@ -162,8 +162,11 @@ def _sample(rows: DataFrame, bound: int, salt: int) -> np.ndarray:
     share = min(1.0, 1.1 * bound / count)
     rank = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 40))
     some = rows.withColumn("_rank", rank).where(F.col("_rank") <= int(share * (1 << 40)))
-    got = some.orderBy("_rank", "doc_id").limit(bound).select("features").collect()
-    return np.array([r[0] for r in got], dtype=np.float64)
+    got = some.orderBy("_rank", "doc_id").limit(bound).select("features").toArrow()  # as floats: as rows it takes ten times as much
+    if not got.num_rows:
+        return np.zeros((0, 1))
+    values = np.concatenate([np.asarray(part.flatten()) for part in got.column(0).chunks])
+    return values.reshape(got.num_rows, -1).astype(np.float64)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -178,7 +181,10 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model | None:
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     positive = _sample(open_rows.join(trusted, "doc_id"), MAX_POSITIVE, 1)
     unlabelled = _sample(open_rows, MAX_UNLABELLED, 2)
-    return fit_arrays(positive, unlabelled) if len(positive) and len(unlabelled) else None
+    model = fit_arrays(positive, unlabelled) if len(positive) and len(unlabelled) else None
+    del positive, unlabelled
+    give_back()  # the driver lives on, too
+    return model
 
 
 def score_column(model: Model | None, column: str = "features") -> Column:

@@ -387,17 +387,36 @@ def segments(told: int) -> int:
     return int(np.ceil(told / -np.log2(2 * 0.25**2 + 0.5**2)))
 
 
-def _wide_cells(told: int, grids: int) -> Column:
-    """Grid cells of a fingerprint: in each grid the bit counts of some segments of its embedding."""
+def _grids(told: int, grids: int) -> np.ndarray:
+    """Masks of each grid over the words of an embedding: both bits of some segments."""
     rng = np.random.default_rng(5)
-    keys = []
+    masks = np.zeros((grids, WIDE), dtype=np.uint64)
     for grid in range(grids):
-        masks = [0] * WIDE
         for c in rng.choice(WIDE * BITS // 2, segments(told), replace=False).tolist():
-            masks[2 * c // BITS] |= 3 << (2 * c % BITS)
-        parts = [F.col(f"_points.{_WORDS[i]}").bitwiseAND(F.lit(_signed(m))) for i, m in enumerate(masks) if m]
-        keys.append(F.xxhash64(F.lit(grid), *parts))
-    return F.array(*keys)
+            masks[grid, 2 * c // BITS] |= np.uint64(3 << (2 * c % BITS))
+    return masks
+
+
+def _wide_cells(told: int, grids: int) -> Column:
+    """Grid cells of a fingerprint: in each grid the bit counts of some segments of its embedding. One Python function
+    for all grids: as expressions of Spark they fill the driver with plans and generated code."""
+    masks = _grids(told, grids)
+
+    @pandas_udf("array<long>")
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for points in until_end(batches):
+            words = [points[w].to_numpy(np.int64).view(np.uint64) for w in _WORDS]
+            found = np.empty((len(points), grids), dtype=np.uint64)
+            for grid, chosen in enumerate(masks):
+                key = np.full(len(points), grid, dtype=np.uint64)
+                for w in np.flatnonzero(chosen).tolist():
+                    key = (key ^ (words[w] & chosen[w])) * np.uint64(0x9E3779B97F4A7C15)
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    key ^= key >> np.uint64(32)
+                found[:, grid] = key
+            yield pd.Series(list(found.view(np.int64)), dtype=object)
+
+    return compute(F.col("_points"))
 
 
 def _wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -468,6 +487,8 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """
     told, grids = grid_size(nodes.count(), similarity)
     points = F.struct(*[embedding(F.col(w)).alias(w) for w in _WORDS])
+    # small rows that become many: dealt over all tasks, however few files hold them
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     embedded = nodes.select("node", *_WORDS, F.explode(F.array(points)).alias("_points"))  # once per fingerprint
     dealt = embedded.select(F.explode(_wide_cells(told, grids)).alias("cell"), "node", *_WORDS)
     hot = dealt.groupBy("cell").count().where(F.col("count") > BLOCK)

@@ -556,3 +556,28 @@ def test_cells_of_similar_links_hold_segment_counts(spark):
     assert all(cells[k] == cells[40 + k] for k in range(40)) and len({tuple(c) for c in cells.values()}) == 40
     # half of the bits differ: candidates of a cell are still told apart by their bits
     assert simhash.similar_links(nodes).count() == 0
+
+
+def test_grids_are_one_function_in_the_plan(spark):
+    nodes = spark.createDataFrame([(1, 2, 3, 4, 5)], "node long, f0 long, f1 long, f2 long, f3 long")
+    points = simhash.F.struct(*[simhash.F.col(w) for w in simhash._WORDS]).alias("_points")
+    few, many = (nodes.select(points).select(simhash._wide_cells(14, n)) for n in (2, 150))
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toJSON())
+    assert size(many) < 1.1 * size(few)  # whatever the number of grids
+    assert [len(df.first()[0]) for df in (few, many)] == [2, 150]
+
+
+def test_sample_of_features_comes_without_an_object_per_number(spark):
+    import tracemalloc
+
+    rows = spark.range(3000).selectExpr("id AS doc_id", "transform(sequence(1, 75), i -> CAST(id + i / 8 AS float)) AS features")
+    tracemalloc.start()
+    try:
+        got = quality._sample(rows, 5000, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.shape == (3000, 75) and got.dtype == np.float64
+    assert sorted(got[:, 0]) == [k + 1 / 8 for k in range(3000)] and (got[:, 74] - got[:, 0] == 74 / 8).all()
+    assert peak < 20 * got.size, peak
+    assert not len(quality._sample(rows.where("doc_id < 0"), 5000, 1))

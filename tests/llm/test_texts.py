@@ -581,3 +581,30 @@ def test_sample_of_features_comes_without_an_object_per_number(spark):
     assert sorted(got[:, 0]) == [k + 1 / 8 for k in range(3000)] and (got[:, 74] - got[:, 0] == 74 / 8).all()
     assert peak < 20 * got.size, peak
     assert not len(quality._sample(rows.where("doc_id < 0"), 5000, 1))
+
+
+def test_groups_of_places_are_compared_at_once(monkeypatch):
+    rnd, sorts, sort = np.random.default_rng(2), [], np.argsort
+    monkeypatch.setattr(substring.np, "argsort", lambda *a, **k: sorts.append(1) or sort(*a, **k))
+    # (anchor, salt, salts) and windows in few numbers, so that some agree in one number only
+    rows, want, again = [], set(), {}
+    for place in range(900):
+        anchor = place // 3
+        salts = 1 + anchor % 2
+        rows.append((anchor, place % salts, salts, place, int(rnd.integers(0, 99)), rnd.integers(0, 4, (5, 2)).astype(np.uint64)))
+    rows.sort(key=lambda r: r[:2])
+    for a, s, n, key, start, pack in rows:
+        here = [tuple(w) for b, t, *_, p in rows if (b, t) == (a, s) for w in p.tolist()]
+        want |= {(key, start + i) for i, w in enumerate(pack.tolist()) if here.count(tuple(w)) > 1}
+        if n > 1:
+            again[a, s] = set(here)
+    for size in (900, 7):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*[(*r[:5], r[5].tobytes()) for r in part]), substring._PLACES)], schema=substring._PLACES) for part in cut]
+        sorts.clear()
+        marks = [r for b in substring._compare(iter(batches)) for r in b.to_pylist()]
+        assert {(r["key"], w) for r in marks if not r["again"] for w in range(r["start"], r["stop"])} == want
+        salt = {r[3]: r[1] for r in rows}
+        handed = sorted((r["anchor"], salt[r["key"]], w) for r in marks if r["again"] for w in zip(r["windows"], r["checks"]))
+        assert handed == sorted((*g, w) for g, ws in again.items() for w in ws)  # one place each
+        assert len(sorts) <= len(batches) + 1

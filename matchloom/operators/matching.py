@@ -178,7 +178,8 @@ def contained(
     every = plain if pairs else plain.dropDuplicates(keys) if keys else plain.limit(1)
     found = found.unionByName(_in_every_text(every, wanted.where("_needle = ''"), keys))
     symbols = wanted.where((F.col("_needle") != "") & ~F.col("_needle").rlike(_WORD))
-    found = found.unionByName(_by_blocks(plain, symbols, keys))
+    if not symbols.isEmpty():  # else every text would move to be held against none
+        found = found.unionByName(_by_blocks(plain, symbols, keys))
     columns = [*keys, *([F.col("_tid").alias(text_id)] if pairs else []), F.col("_nid").alias(needle_id)]
     return found.select(*columns).distinct()
 
@@ -212,8 +213,9 @@ def _by_rarest_word(texts: DataFrame, needles: DataFrame, keys: Sequence[str]) -
 
     A needle waits at the rarest of its words that have something else on both sides, for these are words of any text
     around it. One without such a word waits at all words of the texts that contain its longest word, which are found in
-    the vocabulary by runs of characters. A text's words move without the text; the text itself moves once, to be
-    compared with the needles it met. Equal texts of a key are one.
+    the vocabulary by runs of characters; if that word is the whole needle, any text of such a word holds it, and
+    nothing else is compared. A text's words move without the text; the text itself moves once, to be compared with the
+    other needles it met, and not at all if there are none. Equal texts of a key are one.
     """
     known = F.sha2("_text", 256)
     words = texts.select(*keys, known.alias("_t"), F.explode(F.array_distinct(_words(F.col("_text")))).alias("_word"))
@@ -229,11 +231,19 @@ def _by_rarest_word(texts: DataFrame, needles: DataFrame, keys: Sequence[str]) -
     parts = outer.select("_part", F.substring("_part", 1, 3).alias("_gram")).distinct()
     grams = explode_rows(vocabulary, ["_word"], _grams("_word"), "_gram")
     holding = parts.join(grams, "_gram").where(F.contains("_word", "_part")).select("_part", "_word")
-    waiting = waiting.unionByName(outer.join(holding, "_part").select(*keys, "_nid", "_needle", "_word"))
-    met = words.join(waiting, [*keys, "_word"]).select(*keys, "_t", "_nid", "_needle").distinct()
-    each = texts.select(*keys, known.alias("_t"), "_text").dropDuplicates([*keys, "_t"])
-    held = met.join(each, [*keys, "_t"]).where(F.contains("_text", "_needle")).select(*keys, "_t", "_nid")
-    return held.join(texts.select(*keys, known.alias("_t"), "_tid"), [*keys, "_t"]).select(*keys, "_tid", "_nid")
+    at_words = outer.join(holding, "_part").select(*keys, "_nid", "_needle", "_word", "_part")
+    single = F.col("_part") == F.col("_needle")
+    sure = words.join(at_words.where(single), [*keys, "_word"]).select(*keys, "_t", "_nid").distinct()
+    named = texts.select(*keys, known.alias("_t"), "_tid")
+    held = sure
+    if not needles.where((F.size(_inner_words(F.col("_needle"))) > 0) | (longest["w"] != F.col("_needle"))).isEmpty():
+        waiting = waiting.unionByName(at_words.where(~single).drop("_part"))
+        met = words.join(waiting, [*keys, "_word"]).select(*keys, "_t", "_nid", "_needle").distinct()
+        each = texts.select(*keys, known.alias("_t"), "_text").dropDuplicates([*keys, "_t"])
+        held = met.join(each, [*keys, "_t"]).where(F.contains("_text", "_needle")).select(*keys, "_t", "_nid")
+        if not needles.where(longest["w"] == F.col("_needle")).isEmpty():
+            held = held.unionByName(sure)
+    return held.join(named, [*keys, "_t"]).select(*keys, "_tid", "_nid")
 
 
 def _in_every_text(texts: DataFrame, needles: DataFrame, keys: Sequence[str]) -> DataFrame:

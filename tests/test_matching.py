@@ -154,3 +154,21 @@ def test_scores_are_made_for_some_queries_at_a_time():
     for i in (0, 99, 100, 1_999):
         scores = np.round(v @ q[i], matching.SCORE_DIGITS)
         assert [d for n, d, _ in got[3 * i : 3 * i + 3]] == sorted(range(len(v)), key=lambda d: (-scores[d], d))[:3]
+
+
+def test_needles_of_one_word_compare_no_text(spark):
+    texts = [(1, "a blue-green sky"), (2, "bluebells, ÉTÉ"), (3, "green"), (4, "green"), (5, "b lue"), (6, "")]
+    needles = [(1, "blue"), (2, "green"), (3, "été"), (4, "ÉTÉ"), (5, "e"), (6, "none")]
+    t = spark.createDataFrame(texts, "text_id int, text string")
+    n = spark.createDataFrame(needles, "needle_id int, needle string")
+
+    def found(needles):
+        return matching.contained(t, needles, pairs=True, force_index=True)
+
+    more = n.union(spark.createDataFrame([(7, "blue-g"), (8, "a blue"), (9, "-")], n.schema))
+    for some in (n, more, n.where("false"), more.where("needle_id > 6")):
+        want = {(a, b) for a, x in texts for b, y in some.collect() if y in x}
+        assert {tuple(r) for r in found(some).collect()} == want
+    # no text is compared, nor moved to Python workers, where all needles are single words
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan(found(n)) and "FlatMapCoGroups" in plan(found(more))

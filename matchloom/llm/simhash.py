@@ -277,6 +277,8 @@ BLOCK = 8_000
 SHINGLES = 1_000_000
 #: Share of the pairs at the similarity asked for that must meet in a cell, and unrelated fingerprints a cell may hold.
 RECALL, UNRELATED = 0.99, 1_000
+#: Grids whose families are found first; the others only look for links between these families.
+FIRST_GRIDS = 8
 _WORDS = [f"f{i}" for i in range(WIDE)]
 _MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & _ALL) for i in range(WIDE)]
 
@@ -397,18 +399,18 @@ def _grids(told: int, grids: int) -> np.ndarray:
     return masks
 
 
-def _wide_cells(told: int, grids: int) -> Column:
-    """Grid cells of a fingerprint: in each grid the bit counts of some segments of its embedding. One Python function
-    for all grids: as expressions of Spark they fill the driver with plans and generated code."""
-    masks = _grids(told, grids)
+def _wide_cells(told: int, grids: int, first: int = 0) -> Column:
+    """Grid cells of a fingerprint: in each grid, from the ``first`` on, the bit counts of some segments of its embedding.
+    One Python function for all grids: as expressions of Spark they fill the driver with plans and generated code."""
+    masks = _grids(told, grids)[first:]
 
     @pandas_udf("array<long>")
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for points in until_end(batches):
             words = [points[w].to_numpy(np.int64).view(np.uint64) for w in _WORDS]
-            found = np.empty((len(points), grids), dtype=np.uint64)
+            found = np.empty((len(points), len(masks)), dtype=np.uint64)
             for grid, chosen in enumerate(masks):
-                key = np.full(len(points), grid, dtype=np.uint64)
+                key = np.full(len(points), first + grid, dtype=np.uint64)
                 for w in np.flatnonzero(chosen).tolist():
                     key = (key ^ (words[w] & chosen[w])) * np.uint64(0x9E3779B97F4A7C15)
                     key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -421,11 +423,14 @@ def _wide_cells(told: int, grids: int) -> Column:
 
 def _wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Components of the links of a cell, compared in strips: each as a star around its least node, so that cells that
-    hold the same family say the same links."""
+    hold the same family say the same links. Rows of one node are linked from the start; a cell of one node is done."""
     order = np.argsort(nodes, kind="stable")
     nodes, fps = nodes[order], fps[order]
-    points, labels = _points(fps), np.arange(len(nodes))
+    own = np.searchsorted(nodes, nodes)  # the first row of the node
+    points, labels = _points(fps), own.copy()
     for at in range(0, len(nodes) - 1, 64):
+        if not labels.any():
+            break  # all are linked
         strip = slice(at, at + 64)
         apart = np.zeros((len(points[strip]), len(nodes) - at), dtype=np.uint16)
         for w in range(WIDE):
@@ -437,7 +442,7 @@ def _wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tupl
             groups = np.unique(labels[close])
             if len(groups) > 1:
                 labels[np.isin(labels, groups)] = groups[0]
-    others = np.flatnonzero(labels != np.arange(len(nodes)))
+    others = np.flatnonzero((labels != own) & (own == np.arange(len(nodes))))
     return [(nodes[labels[others]], nodes[others])] if len(others) else []
 
 
@@ -475,26 +480,29 @@ def _link_wide(distance: int):
     return run
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+def similar_links(
+    nodes: DataFrame, similarity: float = 0.8, sizes: tuple[int, int] | None = None, first: int = 0
+) -> DataFrame:
     """Candidate links ``a``, ``b`` between the nodes of ``nodes`` (``node`` and the words ``f0`` to ``f3``) within
     ``candidate_distance(similarity)``: of each grid cell, its components as stars around their least nodes. The Manhattan
     distance of two-bit counts bounds the pairs before they are verified.
 
     Fingerprints are embedded as the bit counts of their segments of two bits, as in ``fingerprint_links``. Each grid takes
     some of these coordinates at random; a cell holds the fingerprints that agree in all of them. The number of grids
-    follows from the share of pairs that must meet. A cell of more than ``BLOCK`` fingerprints is cut into blocks, and every two blocks are one group, so that no
+    follows from the share of pairs that must meet, unless ``sizes`` gives both; grids before ``first`` are left out. Rows
+    of one node count as linked. A cell of more than ``BLOCK`` fingerprints is cut into blocks, and every two blocks are one group, so that no
     task holds the cell and none of its links is lost.
     """
-    told, grids = grid_size(nodes.count(), similarity)
+    told, grids = sizes or grid_size(nodes.count(), similarity)
     points = F.struct(*[embedding(F.col(w)).alias(w) for w in _WORDS])
     # small rows that become many: dealt over all tasks, however few files hold them
-    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_WORDS)
     embedded = nodes.select("node", *_WORDS, F.explode(F.array(points)).alias("_points"))  # once per fingerprint
-    dealt = embedded.select(F.explode(_wide_cells(told, grids)).alias("cell"), "node", *_WORDS)
+    dealt = embedded.select(F.explode(_wide_cells(told, grids, first)).alias("cell"), "node", *_WORDS)
     hot = dealt.groupBy("cell").count().where(F.col("count") > BLOCK)
     hot = materialise(hot.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot_cells")
     dealt = dealt.join(hot, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*_WORDS, "cell"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != own) | (F.col("blocks") == 1))
     dealt = dealt.select("cell", own.alias("own"), "blocks", F.explode(others).alias("other"), "node", *_WORDS)
     group = F.when(F.col("blocks") == 1, F.col("cell")).otherwise(
@@ -504,6 +512,24 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     return parted.mapInArrow(_link_wide(candidate_distance(similarity)), "a long, b long").distinct()
 
 
+def similar_families(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``node``, ``component``: the components of ``similar_links`` over all grids, as ``graph.components`` gives them.
+
+    The first grids connect most of a large family. Over the others a family is one node, so that a cell says nothing
+    of links within it: n near copies give no more than ``FIRST_GRIDS`` times n links, not one per copy and grid.
+    """
+    told, grids = grid_size(nodes.count(), similarity)
+    early = components(similar_links(nodes, similarity, (told, min(grids, FIRST_GRIDS))))
+    if grids <= FIRST_GRIDS:
+        return early
+    family = F.coalesce("component", "node")
+    placed = materialise(nodes.join(early, "node", "left").withColumn("family", family), "families")
+    between = similar_links(placed.select(F.col("family").alias("node"), *_WORDS), similarity, (told, grids), FIRST_GRIDS)
+    later = components(between).select(F.col("node").alias("family"), F.col("component").alias("later"))
+    whole = placed.join(later, "family", "left").select("node", F.coalesce("later", "family").alias("component"))
+    return whole.where("node <> component").distinct()
+
+
 _VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -598,7 +624,7 @@ def similar_documents(
     rows = materialise(rows, "wide_fingerprints")
     nodes = materialise(rows.groupBy("set", *_WORDS).agg(F.min("doc_id").alias("node")), "nodes")
     rows = rows.select("doc_id", "set")
-    families = components(similar_links(nodes, similarity))
+    families = similar_families(nodes, similarity)
     links = _verified_links(docs, nodes, families, similarity, _shingle_sets(shingle_words, seed))
     named = components(links.union(_repeated(rows, nodes)))
     owners = rows.join(nodes, "set").select("doc_id", "node").distinct()

@@ -608,3 +608,32 @@ def test_groups_of_places_are_compared_at_once(monkeypatch):
         handed = sorted((r["anchor"], salt[r["key"]], w) for r in marks if r["again"] for w in zip(r["windows"], r["checks"]))
         assert handed == sorted((*g, w) for g, ws in again.items() for w in ws)  # one place each
         assert len(sorts) <= len(batches) + 1
+
+
+def test_links_of_a_family_do_not_grow_with_the_grids(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(3):
+            words[rnd.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    found, links = simhash.components, []
+
+    def counted(edges):
+        links.append(edges.count())
+        return found(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    assert set(dict(simhash.similar_documents(frame(spark, rows)).collect()).values()) == {0}
+    assert sum(links) <= 10 * len(rows)
+
+
+def test_families_do_not_depend_on_the_first_grids(spark, monkeypatch):
+    rows = [(d, t) for d, t in _similar_rows() if d is not None]
+    got = []
+    for first in (1, 10_000):
+        monkeypatch.setattr(simhash, "FIRST_GRIDS", first)
+        got.append(dict(simhash.similar_documents(frame(spark, rows)).collect()))
+    assert got[0] == got[1]

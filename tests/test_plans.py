@@ -81,3 +81,10 @@ def test_resumes_are_written_behind_the_join(spark):
 def test_gate_reads_one_validation(spark):
     files = QUERIES["gate"](spark, SF).inputFiles()
     assert files and all("/outcomes-" in f for f in files)
+
+
+def test_embedding_documents_are_written_without_raw_text(spark):
+    df = QUERIES["embedding_docs"](spark, SF)
+    resumes = next(f for f in df.inputFiles() if "/resumes-" in f)
+    written = spark.read.parquet(resumes.rsplit("/", 1)[0])
+    assert set(written.schema["resume"].dataType.names) == {"meta", "summary", "experience", "skills"}

@@ -93,6 +93,28 @@ def test_marks_of_a_shared_passage_grow_with_its_documents(spark, monkeypatch):
     assert counts[1] <= 4.2 * counts[0]
 
 
+def test_a_line_said_over_and_over_is_compared_once_a_document(spark, monkeypatch):
+    rnd = random.Random(12)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    made, counts = substring._compared, []
+
+    def counted(places):
+        out = made(places).cache()
+        counts.append((places.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(substring, "_compared", counted)
+    for times in (30, 300):
+        # pairs of words, longer lines, one in a single document, and the same with a gap that no other document has
+        rows = [(i, f"{say(9)} {'ab cd ' * (times + i)} {say(40)}") for i in range(20)]
+        rows += [(20 + i, f"{say(9)} {'one line of seven words it is ' * (times - i)}") for i in range(5)]
+        rows += [(30, "only here " * times), (31, f"{'ab cd ' * times} {say(1)} {'ab cd ' * times}"), (32, "ab cd " * 18)]
+        got = substring.remove_repeats(frame(spark, rows))
+        found = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()]
+        assert sorted(found) == sorted(brute_repeats(rows))
+    assert max(max(c) for c in counts) < 4 * len(rows), counts  # whatever the number of times
+
+
 def brute_components(rows):
     fps = []
     for _, t in rows:

@@ -88,3 +88,11 @@ def test_embedding_documents_are_written_without_raw_text(spark):
     resumes = next(f for f in df.inputFiles() if "/resumes-" in f)
     written = spark.read.parquet(resumes.rsplit("/", 1)[0])
     assert set(written.schema["resume"].dataType.names) == {"meta", "summary", "experience", "skills"}
+
+
+def test_embedding_summary_names_all_vectors(spark):
+    rows = QUERIES["embedding_summary"](spark, SF).collect()
+    ids = sorted(r.id for r in QUERIES["embedding_docs"](spark, SF).select("id").collect())
+    assert sorted(i for r in rows for i in r.vector_ids.split("|")) == ids
+    assert all(len(r.vector_ids.split("|")) == r.document_count for r in rows)
+    assert {(r.index_name, r.collection, r.stamped) for r in rows} == {("index", "collection", True)}

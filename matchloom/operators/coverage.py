@@ -117,21 +117,24 @@ def resume_text(resume: Column | str) -> Column:
     return F.concat_ws("\n", resume["summary"], all_bullets(resume), _list(resume["skills"]), projects)
 
 
-def missing_targets(targets: str, tokens: str) -> Column:
-    """Targets (in order) with no token, or with a token that is not in the array ``tokens``.
+def with_tokens(items: str) -> Column:
+    """Each item of an array (the name of a settled column) with its tokens; all of a row are normalised in one pass."""
+    folded = F.split(X.token_text(X.joined(F.col(items))), X.JOINT)
+    pairs = F.zip_with(items, folded, lambda i, t: F.struct(i.alias("item"), X.split_tokens(t).alias("tokens")))
+    return F.slice(pairs, F.lit(1), F.size(items))  # no items give one empty text
 
-    Both are names of settled columns: the test runs per target and must not repeat the work
-    behind them. All targets of a row are normalised in one pass.
+
+def missing_targets(targets: Column | str, have: str) -> Column:
+    """Targets (``with_tokens``, in order) with no token, or with one that does not stand between blanks in ``have``.
+
+    ``have`` is the name of a settled column: the token text of a resume, blanks around it.
     """
-    items = F.col(targets)
-    folded = F.split(X.token_text(X.joined(items)), X.JOINT)
 
-    def uncovered(pair):
-        own = X.split_tokens(pair["t"])
-        return (F.size(own) == 0) | (F.size(F.array_except(own, F.col(tokens))) > 0)
+    def uncovered(target):
+        known = F.forall(target["tokens"], lambda t: F.contains(F.col(have), F.concat(F.lit(" "), t, F.lit(" "))))
+        return (F.size(target["tokens"]) == 0) | ~known
 
-    pairs = F.zip_with(items, folded, lambda i, t: F.struct(i.alias("i"), t.alias("t")))
-    return F.transform(F.filter(pairs, uncovered), lambda p: p["i"])
+    return F.transform(F.filter(X.col(targets), uncovered), lambda t: t["item"])
 
 
 def token_coverage(

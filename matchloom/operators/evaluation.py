@@ -59,49 +59,65 @@ def readability(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def evaluate(df: DataFrame, job: str = "job", resume: str = "resume", chunks: str | None = "chunks") -> DataFrame:
+def prepare_jobs(df: DataFrame, job: str = "job", out: str = "wanted") -> DataFrame:
+    """Add what ``evaluate`` reads of a job description: targets and keywords with their tokens, and the texts that count
+    as evidence. Made before descriptions meet the resumes that answer them, it is made once per description."""
+    staged = settle(df, **{job: F.col(job)})
+    staged = settle(staged, _targets=C.jd_targets(job), _keywords=C.jd_keywords(job))
+    wanted = F.struct(
+        C.with_tokens("_targets").alias("targets"),
+        C.with_tokens("_keywords").alias("keywords"),
+        C.evidence_text(job, F.array().cast("array<string>")).alias("evidence"),
+    )
+    return settle(staged, **{out: wanted}).drop("_targets", "_keywords")
+
+
+def evaluate(
+    df: DataFrame, job: str = "job", resume: str = "resume", chunks: str | None = "chunks", wanted: str | None = None
+) -> DataFrame:
     """Add the quality report of each row's job description and resume.
 
     ``chunks`` is an array of structs with ``text`` (or None). All parts come from the row itself:
-    one projection, no join. Integer hits and totals stand next to the rounded scores.
+    one projection, no join. Integer hits and totals stand next to the rounded scores. ``wanted`` names the column of
+    ``prepare_jobs`` if the rows have one; it is made here otherwise.
     """
     chunk_texts = (
         F.coalesce(F.col(f"{chunks}.text"), F.array().cast("array<string>"))
         if chunks
         else F.array().cast("array<string>")
     )
-    staged = settle(df, **{job: F.col(job), resume: F.col(resume)})
+    staged = df if wanted else prepare_jobs(df, job, "_wanted")
+    staged = settle(staged, _wanted=F.col(wanted or "_wanted"), **{resume: F.col(resume)})
     staged = settle(
         staged,
-        _tokens=X.tokens(C.resume_text(resume)),
-        _targets=C.jd_targets(job),
-        _keywords=C.jd_keywords(job),
+        _have=F.concat(F.lit(" "), X.token_text(C.resume_text(resume)), F.lit(" ")),
         _bullets=all_bullets(resume),
-        _evidence=C.evidence_text(job, chunk_texts),
+        _evidence=F.concat(F.lower(X.joined(chunk_texts)), F.lit(X.JOINT), F.col("_wanted.evidence")),
     )
     staged = settle(
         staged,
-        missingCoverageTargets=C.missing_targets("_targets", "_tokens"),
-        missingAtsKeywords=C.missing_targets("_keywords", "_tokens"),
+        missingCoverageTargets=C.missing_targets("_wanted.targets", "_have"),
+        missingAtsKeywords=C.missing_targets("_wanted.keywords", "_have"),
         hallucinations=C.unsupported_bullets("_bullets", "_evidence"),
+        _targets=F.size("_wanted.targets"),
+        _keywords=F.size("_wanted.keywords"),
         _text=F.concat_ws(" ", F.coalesce(F.col(f"{resume}.summary"), F.lit("")), "_bullets"),
     )
     staged = add_consistency(staged, F.col("_bullets"))
-    staged = settle(
-        staged, _words=X.word_count("_text"), _sentences=X.sentence_count("_text"), _syllables=X.syllable_count("_text")
-    )
+    staged = settle(staged, _folded=X.folded_words("_text"), _sentences=X.sentence_count("_text"))
+    staged = settle(staged, _words=X.words_in(F.col("_folded")), _syllables=X.syllables_in(F.col("_folded")))
     return (
-        staged.withColumn("targets", F.size("_targets"))
-        .withColumn("targetHits", F.size("_targets") - F.size("missingCoverageTargets"))
-        .withColumn("keywords", F.size("_keywords"))
-        .withColumn("keywordHits", F.size("_keywords") - F.size("missingAtsKeywords"))
+        staged.withColumn("targets", F.col("_targets"))
+        .withColumn("targetHits", F.col("_targets") - F.size("missingCoverageTargets"))
+        .withColumn("keywords", F.col("_keywords"))
+        .withColumn("keywordHits", F.col("_keywords") - F.size("missingAtsKeywords"))
         .withColumn("jdCoverage", C.score(F.col("targetHits"), F.col("targets")))
         .withColumn("atsKeywordScore", C.score(F.col("keywordHits"), F.col("keywords")))
         .withColumn(
             "readabilityGradeLevel",
             X.grade_from_counts(F.col("_words"), F.col("_sentences"), F.col("_syllables")),
         )
-        .drop("_tokens", "_targets", "_keywords", "_bullets", "_evidence", "_text", "_words", "_sentences", "_syllables")
+        .drop("_wanted", "_have", "_targets", "_keywords", "_bullets", "_evidence", "_text", "_folded", "_words", "_sentences", "_syllables")
     )
 
 

@@ -96,3 +96,18 @@ def test_embedding_summary_names_all_vectors(spark):
     assert sorted(i for r in rows for i in r.vector_ids.split("|")) == ids
     assert all(len(r.vector_ids.split("|")) == r.document_count for r in rows)
     assert {(r.index_name, r.collection, r.stamped) for r in rows} == {("index", "collection", True)}
+
+
+def test_descriptions_are_prepared_once_before_the_join(spark):
+    for name in ("evaluate_report", "quality_gate"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "forall" in plan[: plan.index("Join ")] and "zip_with" in plan[plan.index("Join ") :]
+        assert "zip_with" not in plan[: plan.index("Join ")]  # descriptions are cut into tokens before they meet resumes
+
+
+def test_a_prepared_description_gives_the_same_report(spark):
+    rows = corpus.jobs(spark, SF, evaluation.prepare_jobs).withColumn("chunks", F.array(F.struct(F.lit("HANDLED Returns").alias("text"))))
+    made = ["missingCoverageTargets", "missingAtsKeywords", "hallucinations", "targets", "targetHits", "keywords", "keywordHits", "readabilityGradeLevel"]
+    one = evaluation.evaluate(rows, wanted="wanted").select("k", *made)
+    other = evaluation.evaluate(rows.drop("wanted")).select("k", *made)
+    assert one.exceptAll(other).isEmpty() and one.count() == other.count() > 0

@@ -94,3 +94,25 @@ def test_personal_data(spark):
 def test_skill_words_and_escape(spark):
     assert values(spark, ["Use SQL and c++ C++ with Python, a B x"], X.skill_words("t")) == [["C++", "Python", "SQL", "Use"]]
     assert values(spark, ['<a href="x">&</a>'], X.escape_xml("t")) == ["&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"]
+
+
+def test_endings_and_syllables_of_many_words(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("aeiyngsdtE1é") for _ in range(rng.randint(1, 8))) for _ in range(4000)})
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = df.select("t", X.tokens("t").alias("a"), X.normalise_token(F.lower("t")).alias("b"), X.syllable_count("t").alias("n")).collect()
+    assert all(r.a == [r.b] for r in got)
+
+    def syllables(word):
+        groups = re.findall("[aeiouy]+", word.lower())
+        return max(len(groups) - (word.lower().endswith("e") and len(groups) > 1), 1)
+
+    assert [r.n for r in got] == [syllables(r.t) for r in got]
+    text = "  " + " \t\n ".join(words) + " "
+    one = spark.createDataFrame([(text,), (" ",)], "t string").select(X.syllable_count("t"), X.word_counts(F.array("t"))[0]).collect()
+    assert [tuple(r) for r in one] == [(sum(map(syllables, words)), len(words)), (0, 0)]

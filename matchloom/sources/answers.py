@@ -31,7 +31,8 @@ def answered_once(
         return spark.read.schema(schema).parquet(store).groupBy("_question").agg(F.min(out).alias(out))
 
     keyed = settle(df, _question=F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256))
-    questions = keyed.select("_question", *inputs).dropDuplicates(["_question"])
+    # as keys of a hash aggregate; the inputs follow from the hash, but picking one of them would sort whole texts
+    questions = keyed.select("_question", *inputs).distinct()
     for batch in range(batches):
         some = questions.where(F.pmod(F.crc32("_question"), F.lit(batches)) == batch) if batches > 1 else questions
         new = some.join(kept().select("_question"), "_question", "left_anti")

@@ -111,3 +111,8 @@ def test_a_prepared_description_gives_the_same_report(spark):
     one = evaluation.evaluate(rows, wanted="wanted").select("k", *made)
     other = evaluation.evaluate(rows.drop("wanted")).select("k", *made)
     assert one.exceptAll(other).isEmpty() and one.count() == other.count() > 0
+
+
+def test_embed_once_parses_once(spark):
+    files = QUERIES["embed_once"](spark, SF).inputFiles()
+    assert any("/queries-" in f for f in files) and not any("orders.parquet" in f for f in files)

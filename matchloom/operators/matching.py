@@ -12,7 +12,7 @@ operators run one of two plans and only emit matches:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -296,19 +296,26 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 SCORE_DIGITS = 12  # equal vectors tie whatever the shape of their block
 
 
-def _best_of(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and scores of the ``k`` best vectors of each query in turn; scores are made for some queries at a time."""
+def _best_of(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, parts=None, visits=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the ``k`` best vectors of each query in turn; scores are made for some queries at a time.
+
+    With ``parts`` (of the vectors) only those in parts that ``visits`` (a function of some queries) names count.
+    """
     strip = max(1, SCORE_CELLS // max(len(v), 1))
     for at in range(0, len(q), strip):
         scores = q[at : at + strip] @ v.T
         np.round(scores, SCORE_DIGITS, out=scores)
+        if parts is not None:
+            scores[~visits(q[at : at + strip])[:, parts]] = -np.inf
         for row in scores:
             best = _top(row, ids, k)
+            if parts is not None:
+                best = best[row[best] > -np.inf]
             yield ids[best], row[best]
 
 
-def _best_rows(query_ids, q: np.ndarray, doc_ids: np.ndarray, v: np.ndarray, k: int):
-    for qid, (ids, scores) in zip(query_ids, _best_of(q, doc_ids, v, k)):
+def _best_rows(query_ids, q: np.ndarray, doc_ids: np.ndarray, v: np.ndarray, k: int, parts=None, visits=None):
+    for qid, (ids, scores) in zip(query_ids, _best_of(q, doc_ids, v, k, parts, visits)):
         for doc, score in zip(ids, scores):
             yield qid, doc, float(score)
 
@@ -322,16 +329,22 @@ def nearest(
     doc_id: str = "doc_id",
     vector: str = "embedding",
     force_grid: bool = False,
+    part: str | None = None,
+    visits: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """The ``k`` vectors of highest cosine similarity per query: (keys, query_id, doc_id, score, rank).
 
     Exact. Each task scores a block of vectors by matrix products for some queries at a time (``SCORE_CELLS``) and keeps
     ``k`` rows per query, so what is shuffled is tasks x queries x k rows, never a pair per vector.
     ``keys=()`` searches across tenants. Rank starts at 1; ties go to the smaller id.
+
+    ``part``, an int column of ``vectors``, and ``visits``, from unit vectors of queries to a boolean matrix (queries x
+    parts), leave out the vectors of parts that a query does not visit. No query is copied per part.
     """
     keys = list(keys)
     queries = queries.select(*keys, query_id, vector).where(F.size(vector) > 0).dropna(subset=[*keys, query_id])
-    vectors = vectors.select(*keys, doc_id, vector).where(F.size(vector) > 0).dropna(subset=[*keys, doc_id])
+    of_part = [part] if part else []
+    vectors = vectors.select(*keys, doc_id, vector, *of_part).where(F.size(vector) > 0).dropna(subset=[*keys, doc_id, *of_part])
     schema = T.StructType(
         [T.StructField(n, vectors.schema[n].dataType) for n in keys]
         + [
@@ -357,23 +370,24 @@ def nearest(
             best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
                 groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
-                for key, part in groups:
+                for key, rows in groups:
                     key = key if isinstance(key, tuple) else (key,)
                     if key not in shared.value:
                         continue
                     qids, q = shared.value[key]
-                    v, ids = _matrix(part[vector]), part[doc_id].to_numpy()
-                    for qid, (cand_ids, cand) in zip(qids, _best_of(q, ids, v, k)):
+                    v, ids = _matrix(rows[vector]), rows[doc_id].to_numpy()
+                    parts = rows[part].to_numpy() if part else None
+                    for qid, (cand_ids, cand) in zip(qids, _best_of(q, ids, v, k, parts, visits)):
                         old = best.get((key, qid))
                         if old is not None:
                             cand_ids, cand = np.concatenate([old[0], cand_ids]), np.concatenate([old[1], cand])
                             at = _top(cand, cand_ids, k)
                             cand_ids, cand = cand_ids[at], cand[at]
                         best[(key, qid)] = (cand_ids, cand)
-            rows = [
+            found = [
                 (*key, qid, d, float(s)) for (key, qid), (ids, sc) in best.items() for d, s in zip(ids, sc)
             ]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(found, columns=names)
 
         hits = vectors.mapInPandas(scan, schema)
     else:
@@ -391,7 +405,8 @@ def nearest(
             if not len(qs) or not len(vs):
                 return pd.DataFrame([], columns=names)
             key = tuple(group_key[:n_keys])
-            rows = _best_rows(qs[query_id].tolist(), _matrix(qs[vector]), vs[doc_id].to_numpy(), _matrix(vs[vector]), k)
+            parts = vs[part].to_numpy() if part else None
+            rows = _best_rows(qs[query_id].tolist(), _matrix(qs[vector]), vs[doc_id].to_numpy(), _matrix(vs[vector]), k, parts, visits)
             return pd.DataFrame([(*key, *r) for r in rows], columns=names)
 
         by = [*keys, "_lb", "_rb"]

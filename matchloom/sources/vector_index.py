@@ -6,7 +6,8 @@
 Centres are fitted on a bounded sample; every vector is stored in the bucket of its nearest centre. An upsert routes its
 rows in the same way; where a key moves to another bucket it also leaves a mark in the old one, so that each bucket is
 right by itself. A search visits the buckets nearest to each query, reads these partitions only, and scores exactly what
-is in them (``matching.nearest`` within tenant and bucket, then the best over the buckets).
+is in them (``matching.nearest`` within tenant and bucket, then the best over the buckets; where most buckets are visited,
+within the tenant, with a mask of the buckets each query visits).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SAMPLE_ROWS = 16_384
 #: Rows a bucket is to hold, and the most buckets there are.
 BUCKET_ROWS, MAX_BUCKETS = 20_000, 4096
 RECALL = 0.95
+#: A search that visits this share of the buckets or more meets whole tenants, and leaves out by a mask what it does not visit.
+MASKED_SHARE = 0.25
 KEYS = ("tenantId", "id", "bucket")
 ORDER = ("version", "digest")
 
@@ -76,6 +79,18 @@ def _routed(centres: np.ndarray, probes: int, vector: str) -> Column:
     return route(F.col(vector))
 
 
+def _visits(centres: np.ndarray, probes: int):
+    """Which buckets the queries look at, as a boolean matrix."""
+
+    def visits(q: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(q), len(centres)), dtype=bool)
+        near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+        np.put_along_axis(found, near, True, axis=1)
+        return found
+
+    return visits
+
+
 def _centres(spark: SparkSession, path: str) -> tuple[np.ndarray, int]:
     rows = spark.read.parquet(f"{path}/centres").orderBy("bucket").collect()  # MAX_BUCKETS rows at most
     return np.array([r.centre for r in rows]), rows[0].probes
@@ -153,6 +168,10 @@ def search(
     if visited == len(centres):  # every bucket for every query: no query is routed or copied
         held = rows(spark, path).select("tenantId", F.col("id").alias("doc_id"), vector)
         return matching.nearest(queries, held, k, ["tenantId"], query_id, "doc_id", vector)
+    if visited >= MASKED_SHARE * len(centres):
+        # a copy of a query per bucket, and its best of each bucket, would be far more rows than the vectors themselves
+        held = rows(spark, path).select("tenantId", "bucket", F.col("id").alias("doc_id"), vector)
+        return matching.nearest(queries, held, k, ["tenantId"], query_id, "doc_id", vector, part="bucket", visits=_visits(centres, visited))
     asked = queries.where(F.size(vector) > 0).select("tenantId", query_id, vector, _routed(centres, visited, vector).alias("bucket"))
     asked = materialise(asked.withColumn("bucket", F.explode("bucket")), "asked")
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # MAX_BUCKETS numbers at most

@@ -273,3 +273,35 @@ def test_search_of_all_buckets_copies_no_query(spark, tmp_path, monkeypatch):
         near = sorted((j for j in unit if tenant[j] == tenant[i]), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))
         want.update({(i, n + 1): j for n, j in enumerate(near[:3])})
     assert got == want
+
+
+def test_search_of_many_buckets_copies_no_query(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from matchloom.operators import matching
+
+    rng = np.random.default_rng(8)
+    data = [("ab"[i % 2], i, [float(x) for x in rng.normal(size=4)]) for i in range(200)] + [("a", 500, None)]
+    df = spark.createDataFrame(data, "tenantId string, id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    vector_index.create(df, path, buckets=8)
+    asked = df.withColumnRenamed("id", "query_id")
+    columns = ["tenantId", "query_id", "rank", "doc_id", "score"]
+
+    def found():
+        return sorted(tuple(r) for r in vector_index.search(spark, path, asked, k=3, probes=3).select(columns).collect())
+
+    monkeypatch.setattr(vector_index, "MASKED_SHARE", 2.0)
+    want = found()
+    exact = sorted(tuple(r) for r in vector_index.search(spark, path, asked, k=3, probes=8).select(columns).collect())
+    assert len(want) == 600 and want != exact  # some neighbours lie in buckets not visited
+    monkeypatch.undo()
+
+    def routed(*_):
+        raise AssertionError("a query was copied")
+
+    monkeypatch.setattr(vector_index, "materialise", routed)
+    assert found() == want
+    monkeypatch.setattr(matching, "SHARED_QUERIES", 0)  # by blocks
+    monkeypatch.setattr(matching, "VECTOR_BLOCK_ROWS", 30)
+    assert found() == want

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -105,13 +106,18 @@ def stream_retention(
 
 
 STUCK_OUTPUT = "tenantId string, jobId string, startedAt timestamp"
+#: Groups the jobs are dealt to by a hash; each keeps its jobs as one value.
+STUCK_SHARDS = 512
+_NEVER = -(1 << 63)  # no STATUS yet, or no timer
 
 
 class StuckJobs(StatefulProcessor):
-    """State of a job: its latest STATUS, and whether a RESULT has come, early or late. A timer waits for the limit.
+    """State of the jobs of a shard: of each its latest STATUS, whether a RESULT has come, early or late, and its timer.
 
     A job is reported when event time passes its latest RUNNING plus the limit while neither a later STATUS
-    (such as FAILED) nor a RESULT is there: the rule of ``tables.stuck_jobs``.
+    (such as FAILED) nor a RESULT is there: the rule of ``tables.stuck_jobs``. The rows of a batch meet the state of all
+    jobs of the shard at once: a call to the state store per job would cost far more than the rule. The shard's own timer
+    waits for the earliest of its jobs.
     """
 
     def __init__(self, limit_seconds: int):
@@ -119,46 +125,82 @@ class StuckJobs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "millis long, status string")
-        self.ended = handle.getValueState("ended", "ended boolean")
+        self.jobs = handle.getValueState("jobs", "held binary")
+
+    def _held(self) -> list[pd.DataFrame]:
+        held = self.jobs.get()
+        return [pa.ipc.open_stream(held[0]).read_pandas()] if held else []
+
+    def _hold(self, held: pd.DataFrame) -> None:
+        table, sink = pa.Table.from_pandas(held, _HELD, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        self.jobs.update((sink.getvalue().to_pybytes(),))
+
+    def _wait(self, due: pd.Series) -> None:
+        waiting = due[due != _NEVER]
+        if len(waiting):
+            self.handle.registerTimer(int(waiting.min()))
+
+    @staticmethod
+    def _latest(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """One row per job: its latest STATUS, by moment and status."""
+        rows = pd.concat(parts, ignore_index=True).sort_values(["millis", "status"], kind="stable")
+        by_job = rows.groupby(["tenantId", "jobId"], sort=False, dropna=False, as_index=False)
+        return by_job.agg({"millis": "last", "status": "last", "ended": "max", "due": "max", "touched": "max"})
 
     def handleInputRows(self, key, rows, timerValues):
-        last = tuple(self.last.get()) if self.last.exists() else None
-        ended = self.ended.exists()
-        for row in rows:
-            if row.entityType == "RESULT" and not ended:
-                ended = True
-                self.ended.update((True,))
-            elif row.entityType == "STATUS" and row.millis is not None:
-                last = max(last or (row.millis, row.status or ""), (row.millis, row.status or ""))
+        parts = []
+        for part in rows:
+            dated = (part["entityType"] == "STATUS") & part["millis"].notna()
+            frame = pd.DataFrame({"tenantId": part["tenantId"], "jobId": part["jobId"]})
+            frame["millis"] = part["millis"].where(dated, _NEVER).astype("int64")
+            frame["status"] = part["status"].where(dated & part["status"].notna(), "").astype(object)
+            frame["ended"], frame["due"], frame["touched"] = part["entityType"] == "RESULT", _NEVER, True
+            parts = [self._latest([*parts, frame])] if parts else [frame]
+        jobs = self._latest([held.assign(touched=False) for held in self._held()] + parts)
+        # event time may have passed the limit already
+        waits = (jobs["millis"] + self.limit_ms).clip(lower=timerValues.getCurrentWatermarkInMs()) + 1
+        waits = waits.where((jobs["status"] == "RUNNING") & ~jobs["ended"].astype(bool), _NEVER)
+        jobs["due"] = jobs["due"].mask(jobs["touched"].astype(bool), waits)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if last is not None:
-            self.last.update(last)
-            if last[1] == "RUNNING" and not ended:
-                # event time may have passed the limit already
-                self.handle.registerTimer(max(last[0] + self.limit_ms, timerValues.getCurrentWatermarkInMs()) + 1)
+        self._hold(jobs)
+        self._wait(jobs["due"])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        millis = self.last.get()[0]
-        yield Row(tenantId=key[0], jobId=key[1], startedAt=dt.datetime.fromtimestamp(millis / 1000, dt.timezone.utc))
+        (jobs,) = self._held()
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        stuck = (jobs["due"] != _NEVER) & (jobs["due"] <= passed)
+        jobs["due"] = jobs["due"].mask(stuck, _NEVER)
+        self._hold(jobs)
+        self._wait(jobs["due"])
+        found = jobs.loc[stuck, ["tenantId", "jobId"]].reset_index(drop=True)
+        yield found.assign(startedAt=pd.to_datetime(jobs.loc[stuck, "millis"].to_numpy(), unit="ms", utc=True))
 
     def close(self) -> None:
         pass
 
 
+_HELD = pa.schema(
+    [("tenantId", pa.string()), ("jobId", pa.string()), ("millis", pa.int64()), ("status", pa.string()), ("ended", pa.bool_()), ("due", pa.int64())]
+)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_stuck(stream: DataFrame, limit_seconds: int = R.STUCK_AFTER_SECONDS, ts: str = "ts", lateness: str = "10 minutes") -> DataFrame:
+def stream_stuck(
+    stream: DataFrame, limit_seconds: int = R.STUCK_AFTER_SECONDS, ts: str = "ts", lateness: str = "10 minutes", shards: int = STUCK_SHARDS
+) -> DataFrame:
     """Jobs whose latest STATUS is RUNNING for longer than the limit in event time, without a RESULT.
 
     The session must keep state in RocksDB (``spark.sql.streaming.stateStore.providerClass``). The mark of an ended
-    job stays, so that a RESULT that comes before its STATUS ends the job too.
+    job stays, so that a RESULT that comes before its STATUS ends the job too. Jobs are dealt to ``shards`` groups, whose
+    number stays as it is for the life of a checkpoint; a batch reads and writes the state of the groups it has rows of.
     """
     rows = stream.withWatermark(ts, lateness)
-    rows = rows.select("tenantId", "jobId", "entityType", "status", F.unix_millis(F.col(ts).cast("timestamp")).alias("millis"), ts)
-    return rows.groupBy("tenantId", "jobId").transformWithState(
+    shard = F.pmod(F.xxhash64("tenantId", "jobId"), F.lit(shards)).cast("int").alias("shard")
+    rows = rows.select(shard, "tenantId", "jobId", "entityType", "status", F.unix_millis(F.col(ts).cast("timestamp")).alias("millis"), ts)
+    return rows.groupBy("shard").transformWithStateInPandas(
         StuckJobs(limit_seconds), STUCK_OUTPUT, outputMode="append", timeMode="eventTime"
     )

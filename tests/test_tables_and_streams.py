@@ -305,3 +305,29 @@ def test_search_of_many_buckets_copies_no_query(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(matching, "SHARED_QUERIES", 0)  # by blocks
     monkeypatch.setattr(matching, "VECTOR_BLOCK_ROWS", 30)
     assert found() == want
+
+
+def test_stuck_stream_keeps_jobs_by_shard(spark, tmp_path, rocksdb):
+    import random
+
+    rng = random.Random(5)
+    schema = "tenantId string, jobId string, entityType string, status string, ts timestamp"
+    kinds = [("STATUS", "RUNNING"), ("STATUS", "RUNNING"), ("STATUS", "FAILED"), ("RESULT", "COMPLETED"), ("STATUS", None)]
+    batches = [[(f"t{rng.randrange(2)}", f"j{rng.randrange(120)}", *rng.choice(kinds), at(b)) for _ in range(60)] for b in range(5)]
+    batches += [[("t", "last", "RESULT", "COMPLETED", at(60))], [("t", "last", "RESULT", "COMPLETED", at(61))]]
+    stream = write_batches(spark, tmp_path, batches, schema)
+    writer = streams.stream_stuck(stream, lateness="0 seconds", shards=3).writeStream.format("parquet")
+    query = writer.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted((r.tenantId, r.jobId, r.startedAt) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    latest, done = {}, set()
+    for tenant, job, kind, status, ts in (r for b in batches for r in b):
+        if kind == "RESULT":
+            done.add((tenant, job))
+        else:
+            latest[tenant, job] = max(latest.get((tenant, job), (ts, "")), (ts, status or ""))
+    want = sorted((*k, ts.replace(tzinfo=None)) for k, (ts, status) in latest.items() if status == "RUNNING" and k not in done)
+    assert want and found == want
+    # a shard holds two rows at most, its jobs and its timer, however many jobs there are
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held and max(held) <= 4 * 3

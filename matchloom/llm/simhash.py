@@ -15,6 +15,7 @@ groups. Only 16 bits differ within a part: it holds 65,536 fingerprints at most.
 ``similar_documents`` links by similarity of the texts instead, where dozens of bits may differ: its fingerprints have 256
 bits, and its grids take coordinates of the same embedding at random, as many grids as the share of pairs that must meet asks for. There the
 fingerprints only find families of candidates; within a family the sets of shingles themselves decide about each link.
+What grids miss is found by prefixes of the sets: no link is left to chance.
 """
 
 from __future__ import annotations
@@ -608,13 +609,108 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, families: DataFrame, simi
     return parted.mapInArrow(_verify(similarity), "a long, b long").distinct()
 
 
+def _counted(shingle_words: int, seed: int, bits: int):
+    """How many shingles of the sets of some texts fall into each of ``2**bits`` buckets, a row per bucket and slice."""
+    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for part in slices(batches):
+            hashes = [_shingles(t, shingle_words, seed) for t in part.column(0).to_pylist()]
+            found, n = np.unique(np.concatenate(hashes) >> np.uint64(64 - bits), return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n)], schema=schema)
+
+    return run
+
+
+def _prefixes(similarity: float, shingle_words: int, seed: int, bits: int, hot: np.ndarray, ranks: np.ndarray):
+    """The rarest shingles of each set, so many that two sets of that similarity share one: those of buckets that are not
+    ``hot`` first, the others by the count of their bucket, equal ones by their hash. All sets follow one order."""
+    schema = pa.schema([("shingle", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+
+    def run(batches):
+        for part in slices(batches):
+            found = []
+            for text in part.column(0).to_pylist():
+                hashes = _shingles(text, shingle_words, seed)
+                if not len(hashes):
+                    continue
+                bucket = (hashes >> np.uint64(64 - bits)).view(np.int64)
+                at = np.minimum(np.searchsorted(hot, bucket), max(len(hot) - 1, 0))
+                rank = np.where(hot[at] == bucket, ranks[at], 0) if len(hot) else np.zeros(len(hashes), np.int64)
+                first = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1
+                chosen = hashes[np.lexsort((hashes, rank))[:first]].view(np.int64)
+                found.append((chosen, np.full(first, _name(hashes)), np.full(first, len(hashes)), np.arange(first)))
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], schema=schema)
+
+    return run
+
+
+def _meeting(similarity: float):
+    """Pairs of nodes of different components that share a shingle of their prefixes, and may be as similar by the sizes
+    of their sets and the places of the shingle in them."""
+    share = similarity / (1 + similarity)
+
+    def close(held):
+        if not held:
+            return
+        node, component, n, left = (np.concatenate(c) for c in zip(*held))
+        for at in range(0, len(node) - 1 if (component != component[0]).any() else 0, 64):
+            strip = slice(at, at + 64)
+            apart = component[strip, None] != component[None, at:]
+            alike = np.minimum(left[strip, None], left[None, at:]) >= share * (n[strip, None] + n[None, at:]) - 1e-6
+            alike &= np.minimum(n[strip, None], n[None, at:]) >= similarity * np.maximum(n[strip, None], n[None, at:]) - 1e-6
+            once = (node[strip, None] < node[None, at:]) | (np.arange(len(node) - at) >= 64)
+            i, j = np.nonzero(apart & alike & once)
+            if len(i):
+                yield pa.record_batch([pa.array(node[at + i]), pa.array(node[at + j])], schema=_VERIFIED)
+
+    def run(batches):
+        held_shingle, held = None, []
+        for batch in until_end(batches):
+            if not batch.num_rows:
+                continue
+            shingle, *rest = (c.to_numpy() for c in batch.columns)
+            bounds = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
+            for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(shingle)]):
+                if shingle[a] != held_shingle:
+                    yield from close(held)
+                    held_shingle, held = shingle[a], []
+                held.append(tuple(c[a:b] for c in rest))
+        yield from close(held)
+
+    return run
+
+
+def _missed_links(docs: DataFrame, nodes: DataFrame, named: DataFrame, similarity: float, shingle_words: int, seed: int) -> DataFrame:
+    """Verified links ``a``, ``b`` between nodes that ``named`` (``node``, ``component``) holds apart: all there are.
+
+    Two sets of that similarity share a shingle of their prefixes (``_prefixes``), whatever their fingerprints say. The
+    order follows the counts of shingles in buckets, so that common passages come last; only the buckets of far more
+    shingles than the others have reach the driver.
+    """
+    spark, texts = docs.sparkSession, docs.select("text")
+    bits = 24
+    counted = texts.mapInArrow(_counted(shingle_words, seed, bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "shingle_counts")
+    limit = 4 * int(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >> bits) + 16
+    crowded = counted.where(F.col("n") > limit).orderBy("bucket").toArrow()  # 2**bits / 4 rows at most
+    hot, ranks = crowded.column("bucket").to_numpy(), crowded.column("n").to_numpy()
+    shingles = texts.mapInArrow(_prefixes(similarity, shingle_words, seed, bits, hot, ranks), "shingle long, set long, n long, place long")
+    placed = nodes.select("set", "node").join(named, "node", "left").select("set", "node", F.coalesce("component", "node").alias("component"))
+    met = shingles.distinct().join(placed, "set").select("shingle", "node", "component", "n", (F.col("n") - F.col("place")).alias("left"))
+    met = met.repartition("shingle").sortWithinPartitions("shingle")
+    pairs = materialise(met.mapInArrow(_meeting(similarity), "a long, b long").distinct(), "met")
+    return _verified_links(docs, nodes, components(pairs), similarity, _shingle_sets(shingle_words, seed))
+
+
 def similar_documents(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5, seed: int = 42
 ) -> DataFrame:
     """``doc_id``, ``component_id`` (smallest doc_id reachable) for every document whose doc_id is not null.
 
     Documents link if the Jaccard similarity of their shingle sets is ``similarity`` or more. Fingerprints of 256 bits
-    find the candidates (``candidate_distance``), the sets decide. Equal sets always link; documents without words are
+    find most candidates (``candidate_distance``), prefixes of the sets all others; the sets decide. Equal sets always link; documents without words are
     one group. A repeated doc_id is one node. An empty table gives an empty result. Other columns are not read.
     """
     docs = small_batches(docs).where(F.col(doc_id).isNotNull())
@@ -626,7 +722,9 @@ def similar_documents(
     rows = rows.select("doc_id", "set")
     families = similar_families(nodes, similarity)
     links = _verified_links(docs, nodes, families, similarity, _shingle_sets(shingle_words, seed))
-    named = components(links.union(_repeated(rows, nodes)))
+    links = materialise(links.union(_repeated(rows, nodes)), "links")
+    missed = materialise(_missed_links(docs, nodes, components(links), similarity, shingle_words, seed), "missed")
+    named = components(links.union(missed))
     owners = rows.join(nodes, "set").select("doc_id", "node").distinct()
     found = owners.join(named, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

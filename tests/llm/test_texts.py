@@ -659,3 +659,18 @@ def test_families_do_not_depend_on_the_first_grids(spark, monkeypatch):
         monkeypatch.setattr(simhash, "FIRST_GRIDS", first)
         got.append(dict(simhash.similar_documents(frame(spark, rows)).collect()))
     assert got[0] == got[1]
+
+
+def test_no_similar_pair_is_left_to_chance(spark, monkeypatch):
+    rows = _graded_rows()
+    rnd = random.Random(23)
+    for pair in range(150, 250):  # short texts, whose fingerprints spread wide, one word changed at an end
+        words = [f"p{pair}w{i}" for i in range(rnd.randint(9, 40))]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join([*words[:-1], "other"]))]
+    rows = [(d, t + " one common passage of many words that all of these texts hold") if d >= 400 else (d, t) for d, t in rows]
+    texts = dict(rows)
+    alike = [_jaccard(texts[2 * p], texts[2 * p + 1]) >= 0.8 for p in range(250)]
+    assert 100 < sum(alike) < 250
+    monkeypatch.setattr(simhash, "grid_size", lambda *_: (60, 1))  # hardly any pair shares a cell
+    got = dict(simhash.similar_documents(frame(spark, rows)).collect())
+    assert [got[2 * p] == got[2 * p + 1] for p in range(250)] == alike
